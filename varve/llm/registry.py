@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..jobs.shipping import shipped
-from . import packing, repair
+from . import byte_bpe, kd_shards, line_quality, packing, repair
 
-_MODULES = (repair, packing)
+_MODULES = (repair, kd_shards, line_quality, packing, byte_bpe)
 
 
 def queries() -> dict:
