@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..jobs.shipping import shipped
-from . import byte_bpe, kd_shards, line_quality, packing, repair
+from . import bit_slices, byte_bpe, kd_shards, line_quality, packing, pseudonyms, repair, toxicity
 
-_MODULES = (repair, kd_shards, line_quality, packing, byte_bpe)
+_MODULES = (repair, bit_slices, toxicity, pseudonyms, kd_shards, line_quality, packing, byte_bpe)
 
 
 def queries() -> dict:
