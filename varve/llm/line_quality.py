@@ -211,6 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines:
     return Field.fit(features, np.repeat((rows.quality.to_numpy() > 0).astype(np.int64), rows.n.to_numpy()), first)
 
 
+def _verdict(x: Lines, field: Field | None, content_share: float) -> list[np.ndarray]:
+    """base_failed, n_lines, content_lines, content_words and kept."""
+    labels = field.viterbi(x.features, x.first) if field else np.ones(len(x.row), np.int8)
+    n = len(x.n_words)
+    content = np.bincount(x.row, weights=labels * x.words, minlength=n).astype(np.int64)
+    failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
+    return [failed, np.diff(x.first), np.bincount(x.row, weights=labels, minlength=n).astype(np.int64), content, ~failed & (content >= content_share * x.n_words)]
+
+
 def judge(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> DataFrame:
     """SCHEMA for each row of ``docs`` (doc_id, text).
 
@@ -221,16 +230,23 @@ def judge(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = Lines(part.column("text"))
-            labels = field.viterbi(x.features, x.first) if field else np.ones(len(x.row), np.int8)
-            n = part.num_rows
-            content = np.bincount(x.row, weights=labels * x.words, minlength=n).astype(np.int64)
-            failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
-            out = [x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, failed, np.diff(x.first), np.bincount(x.row, weights=labels, minlength=n).astype(np.int64), content, ~failed & (content >= content_share * x.n_words)]
+            out = [x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, *_verdict(x, field, content_share)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(v if v.dtype == bool else v.astype(np.int64)) for v in out)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def retained(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with all their columns."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield part.select(columns).filter(pa.array(_verdict(Lines(part.column("text")), field, content_share)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
