@@ -3,17 +3,26 @@
 Texts are cut at single spaces. The two vocabularies in use never merge across
 such a cut: one drops white space, the other lets a space open the next token.
 Only where white space stands on both sides of a space does the cut depend on
-what lies around it; such a text goes to the library as a whole.
+what lies around it; such a text goes to the library as a whole. A new piece
+that is letters and then marks is put together from the two, as both
+vocabularies part them, so a word costs the library one call with or without a
+comma after it.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
 
+#: Letters of Latin-1, then marks that both vocabularies cut off.
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_FOLD = {i: i + 32 for i in range(65, 91)}
+
+
 class _Pieces(dict):
     def __init__(self):
         super().__init__()
@@ -32,7 +41,7 @@ class Encoder:
     ``entries`` bounds the cache, which is emptied when it is full.
     """
 
-    def __init__(self, path: str, spaces: bool, entries: int = 700_000):
+    def __init__(self, path: str, spaces: bool, entries: int = 1_200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.entries = spaces, entries
@@ -49,22 +58,55 @@ class Encoder:
     def _learn(self) -> None:
         new, self.pieces.new = self.pieces.new, []
         at = len(self.pieces) - len(new)
+        words, rest, joined = [], [], []  # places in new of letters, of what else goes to the library, and (place, letters, marks)
+        self.pieces.new = new
+        for i, piece in enumerate(new):  # grows by the parts of joined pieces
+            m = _SIMPLE.fullmatch(piece)
+            if m is None:
+                rest.append(i)
+                continue
+            stem, marks = m[1], m[2]
+            if not self.spaces and not stem.islower():
+                stem = stem.translate(_FOLD)
+            if stem == piece:
+                words.append(i)
+            elif marks:
+                joined.append((at + i, self.pieces[stem], self.pieces[marks]))
+            else:
+                joined.append((at + i, self.pieces[stem], -1))
+        self.pieces.new = []
         while len(self.pieces) > len(self.start):
             self.start, self.count, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.odd))
-        if self.spaces:
-            self.odd[at : len(self.pieces)] = np.fromiter((not p[1:] or p[1].isspace() if p[0] == " " else False for p in new), bool, len(new))
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, np.uint32)
-            per = np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            where = slice(at + i, at + i + len(part))
-            self.count[where] = per
-            self.start[where] = self.used + np.cumsum(per) - per
-            self.used += len(ids)
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            made = self.tokenizer.encode(("" if self.spaces else " ").join([new[k] for k in part]), add_special_tokens=False)
+            which = np.array(made.word_ids, np.int64)
+            if len(which) and which[-1] == len(part) - 1:  # one word for each piece
+                self._store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(which, minlength=len(part)))
+            else:
+                rest += part
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            made = self.tokenizer.encode([new[k] for k in part], is_pretokenized=True, add_special_tokens=False)
+            self._store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64))
+            if self.spaces:
+                self.odd[at + np.array(part)] = [new[k][0] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
+        if joined:
+            own, stem, marks = np.array(joined).T
+            both = np.stack([stem, np.maximum(marks, 0)], 1).ravel()
+            count = self.count[both].astype(np.int64)
+            count[1::2][marks < 0] = 0
+            end = np.cumsum(count)
+            ids = self.ids[np.repeat(self.start[both] - (end - count), count) + np.arange(int(end[-1]))]
+            self._store(own, ids, count[::2] + count[1::2])
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, per: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[at] = per
+        self.start[at] = self.used + np.cumsum(per) - per
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.entries:
