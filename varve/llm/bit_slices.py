@@ -17,6 +17,7 @@ group of ``group`` queries, and a group once to each block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._tables import kept
+
 INDEX_SCHEMA = "block long, n int, dims int, shift int, ids binary, values binary, low binary, slices binary"
 #: Components beyond this are scored without the index, in unbounded integers.
 _LARGE = 1 << 26
@@ -106,70 +109,40 @@ _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _INDEX = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in INDEX_SCHEMA.split(", ")])
 
 
-def _add(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
-    """Adds bitmaps that stand at powers of two by carry-save adders; the slices of the sum, lowest first."""
-    out, weight = [], 0
-    while columns:
-        own = columns.pop(weight, [])
-        carries = columns.setdefault(weight + 1, [])
-        while len(own) > 2:
-            a, b, c = own.pop(), own.pop(), own.pop()
-            x = a ^ b
-            own.append(x ^ c)
-            a &= b
-            x &= c
-            a |= x
-            carries.append(a)
-        if len(own) == 2:
-            a, b = own
-            own = [a ^ b]
-            carries.append(a & b)
-        out.append(own[0] if own else None)
-        if not carries:
-            columns.pop(weight + 1)
-        weight += 1
-    return out
-
-
 def sums(slices: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-    """Slices of sum_j |q_j| u_j for each query and row; u_j are the slices' values, or their complements where q_j is negative."""
+    """Slices, lowest first, of sum_j |q_j| u_j for each query and row; u_j are the slices' values, or their complements where q_j is negative.
+
+    Bitmaps are made when their weight's turn comes, and three of a weight at
+    once become one of it and a carry, so few are held at a time.
+    """
     dims, bits, words = slices.shape
     size, sign = np.abs(q), np.where(q < 0, np.uint64(2**64 - 1), np.uint64(0))
-    columns: dict[int, list[np.ndarray]] = {}
-    lazy: dict[int, list[tuple]] = {}
+    todo: dict[int, list[tuple]] = {}
     for t in range(int(size.max()).bit_length() if size.size else 0):
         on = np.where(size >> t & 1, np.uint64(2**64 - 1), np.uint64(0))
         for j in np.flatnonzero(on.any(axis=0)):
             for s in range(bits):
-                lazy.setdefault(t + s, []).append((j, s, on[:, j]))
-    # the lowest weight first, so that few bitmaps are held at a time
-    out, carries, weight = [], [], 0
-    while lazy or carries:
-        own, nxt = carries, []
-        for j, s, on in lazy.pop(weight, []):
-            made = slices[j, s][None, :] ^ sign[:, j][:, None]
-            made &= on[:, None]
-            own.append(made)
-            if len(own) >= 3:
-                a, b, c = own.pop(), own.pop(), own.pop()
-                x = a ^ b
-                own.append(x ^ c)
-                a &= b
-                x &= c
-                a |= x
-                nxt.append(a)
-        part = _add({0: own}) if own else [np.zeros((len(q), words), np.uint64)]
-        out.append(part[0] if part[0] is not None else np.zeros((len(q), words), np.uint64))
-        if len(part) > 1 and part[1] is not None:
-            nxt.append(part[1])
-        for k, extra in enumerate(part[2:], 2):
-            if extra is not None:
-                lazy.setdefault(weight + k, [])
-                columns.setdefault(weight + k, []).append(extra)
-        weight += 1
-        carries = nxt + columns.pop(weight, [])
-        if not lazy.get(weight, True):
-            lazy.pop(weight)
+                todo.setdefault(t + s, []).append((j, s, on[:, j]))
+    out: list[np.ndarray] = []
+    carries: list[np.ndarray] = []
+    while todo or carries:
+        held: list[np.ndarray] = []
+        after: list[np.ndarray] = []
+        made = ((slices[j, s][None, :] ^ sign[:, j][:, None]) & on[:, None] for j, s, on in todo.pop(len(out), []))
+        for c in chain(carries, made):
+            if len(held) < 2:
+                held.append(c)
+                continue
+            a, b = held
+            x = a ^ b
+            held = [x ^ c]
+            after.append(a & b | x & c)
+        if len(held) == 2:
+            a, b = held
+            held = [a ^ b]
+            after.append(a & b)
+        out.append(held[0] if held else np.zeros((len(q), words), np.uint64))
+        carries = after
     return out
 
 
@@ -274,8 +247,6 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = 5, group: int = 8192,
 
 
 def op2_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ._tables import kept
-
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(kept(index(vectors), "bsi"), vectors.where("vec_id % 50 = 0"))
 
