@@ -9,8 +9,8 @@ from varve.llm import bit_slices, kd_shards, toxicity
 from varve.llm.components import components
 
 
-def searched(spark, rows, queries, **k):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+def searched(spark, vectors, queries, **k):
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
     got = bit_slices.search(bit_slices.index(df, **k), df.where(queries)).orderBy("query_id", "rank").collect()
     return [tuple(r) for r in got]
 
@@ -28,7 +28,7 @@ def test_search_is_exact_with_ties_and_holes(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=7)]) for i in range(300)]
     rows += [(i, rows[5][1]) for i in range(300, 420)]  # one very common vector
-    rows += [(500, None), (501, [1.0, None, 0, 0, 0, 0, 0]), (502, [float("nan")] * 7), (503, [float("inf")] * 7), (None, [1.0] * 7), (550, [0.0] * 7)]
+    rows += [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 7), (503, [float("inf")] * 7), (None, [1.0] * 7), (550, [0.0] * 7)]
     want = best(rows, lambda i: i % 50 == 0)
     assert searched(spark, rows, "vec_id % 50 = 0") == want
     assert searched(spark, rows, "vec_id % 50 = 0", rows=64, bits=3) == want
