@@ -41,7 +41,7 @@ class Encoder:
     ``entries`` bounds the cache, which is emptied when it is full.
     """
 
-    def __init__(self, path: str, spaces: bool, entries: int = 1_200_000):
+    def __init__(self, path: str, spaces: bool, entries: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.entries = spaces, entries
@@ -148,9 +148,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
-    """One encoder in each Python worker, kept between tasks."""
-    key = (path, spaces)
+def encoder(path: str, spaces: bool, entries: int) -> Encoder:
+    """One encoder in each Python worker, kept between tasks; an entry of its cache takes about 200 bytes."""
+    key = (path, spaces, entries)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaces)
+        _encoders[key] = Encoder(path, spaces, entries)
     return _encoders[key]

@@ -114,7 +114,7 @@ class Block:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache: int = 400_000) -> DataFrame:
     """Packs ``docs`` (doc_id, text) into sequences; a row of SCHEMA for each piece.
 
     Each document is its ids by the tokenizer, then ``end_id``. ``loss_column``:
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_co
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", block_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            bare, counts = encoder(path, True).encode(texts)
+            bare, counts = encoder(path, True, cache).encode(texts)
             tokens = counts + 1
             first = np.cumsum(tokens) - tokens
             ids = np.full(int(tokens.sum()), end_id, "<u4")
