@@ -46,10 +46,14 @@ def dropped(*tables: DataFrame) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, row_bytes: int | str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A hint to broadcast a table from kept() if its measured size is within ``limit``; else the table as it is.
+def fits(df: DataFrame, row_bytes: int | str, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table from kept() is within ``limit`` by its measured size.
 
     row_bytes: bytes of a row, or an expression that gives them.
     """
-    size = df.agg(F.sum(F.expr(str(row_bytes)).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return (df.agg(F.sum(F.expr(str(row_bytes)).cast("long"))).first()[0] or 0) <= limit
+
+
+def small_side(df: DataFrame, row_bytes: int | str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast a table from kept() if it fits; else the table as it is."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df

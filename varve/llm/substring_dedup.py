@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scan import U, Words, grams, mix, slices
-from ._tables import documents, kept, small_side
+from ._tables import documents, fits, kept
 
 _LAST = (1 << 63) - 1
 
@@ -179,7 +179,7 @@ def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
     extra = window - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text"):
             words = Words(part.column("text"))
             hashes = words.hashes()
             marks = part.column("marks")
@@ -198,12 +198,12 @@ def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
             end = np.cumsum(length)
             inner = np.arange(int(end[-1])) - np.repeat(end - length, length)
             own = hashes[np.repeat(first, length) + inner]
-            print_ = np.add.reduceat(mix(own + inner.astype(np.uint64) * U(0x9E3779B97F4A7C15)), end - length) ^ anchor
+            digest = np.add.reduceat(mix(own + inner.astype(np.uint64) * U(0x9E3779B97F4A7C15)), end - length) ^ anchor
             rid = part.column("rid").to_numpy()[row]
             doc = part.column("doc").to_numpy()[row]
-            order = np.lexsort((start, rid, doc, print_))
+            order = np.lexsort((start, rid, doc, digest))
             lead = np.ones(len(order), bool)
-            lead[1:] = print_[order][1:] != print_[order][:-1]
+            lead[1:] = digest[order][1:] != digest[order][:-1]
             which = np.flatnonzero(lead)[np.cumsum(lead) - 1]  # of each the first equal context here
             kind = np.zeros(len(order), np.int32)
             twin = (rid[order] == rid[order][which]) & (start[order] == start[order][which])  # repeated rows
@@ -255,6 +255,21 @@ def _by_document(runs: DataFrame, name: str) -> DataFrame:
     return kept(runs.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias(name)), name)
 
 
+def _with(docs: DataFrame, table: DataFrame, name: str, every: bool) -> DataFrame:
+    """``docs`` with the runs of ``table`` by rid; ``every``: also those without, as null.
+
+    If the list of rids fits a broadcast, texts without runs stay where they
+    are and only the others are shuffled.
+    """
+    if not fits(table, 16):
+        return docs.join(table, "rid", "left" if every else "inner")
+    ids = F.broadcast(table.select("rid"))
+    some = docs.join(ids, "rid", "left_semi").join(table, "rid")
+    if not every:
+        return some
+    return some.unionByName(docs.join(ids, "rid", "left_anti").withColumn(name, F.lit(None).cast(table.schema[name].dataType)))
+
+
 def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """``docs`` (doc_id, text) with the words of repeated windows cut from text, and n_words and n_removed.
 
@@ -272,8 +287,8 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     keyed = own.withColumn("rid", F.xxhash64("doc_id", "text"))
     marks = _by_document(mark(keyed, window, gram), "marks")
     ordered = keyed.select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    cuts = _by_document(compare(ordered.join(small_side(marks, "24 + 8 * size(marks)"), "rid"), window, gram), "cuts")
-    joined = keyed.join(small_side(cuts, "24 + 8 * size(cuts)"), "rid", "left").drop("rid")
+    cuts = _by_document(compare(_with(ordered, marks, "marks", False), window, gram), "cuts")
+    joined = _with(keyed, cuts, "cuts", True).drop("rid")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
