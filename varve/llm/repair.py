@@ -10,8 +10,9 @@ document is decoded from its own symbols alone, and expansion lengths tell
 where an id lies without expanding what comes before it.
 
 Re-Pair works in rounds: each counts adjacent pairs, gives the most frequent
-ones rules, and replaces their occurrences, the more frequent pair first where
-two overlap, until no pair is frequent enough.
+ones (those of at least one in ``share`` places) rules, and replaces their
+occurrences, the more frequent pair first where two overlap, until no pair is
+frequent enough or ``rounds`` are over.
 """
 
 from __future__ import annotations
@@ -34,34 +35,44 @@ FILE_SCHEMA = "shard int, block int, first_doc long, n_docs long, n_tokens long,
 _BUCKETS = 20
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 5, per_round: int = 2000, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 6, share: int = 40000, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rule pairs, expansion lengths) of ids, of which each document has counts[i]."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[(np.cumsum(counts) - 1)[counts > 0]] = True
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(seq) < 2 * least:
             break
-        a, b, ok = seq[:-1], seq[1:], ~last[:-1]
-        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKETS)
-        count = np.bincount(bucket[ok], minlength=1 << _BUCKETS)
-        floor = max(least, int(np.partition(count, -per_round)[-per_round]))
-        at = np.flatnonzero((count >= floor)[bucket] & ok)
-        if not len(at):
+        a, b = seq[:-1], seq[1:]
+        # other factors in each round, so pairs that share a bucket in one are apart in the next
+        bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)
+        heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS) >= max(least, len(seq) // share))
+        if not len(heavy):
             break
+        slot = np.full(1 << _BUCKETS, -1, np.int32)
+        slot[heavy] = np.arange(len(heavy))
+        which = slot[bucket]
+        at = np.flatnonzero((which >= 0) & ~last[:-1])
+        which = which[at]
         key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        pairs, which, often = np.unique(key, return_inverse=True, return_counts=True)
-        good = often >= least
-        at, which = at[good[which]], which[good[which]]
+        pairs = np.zeros(len(heavy), np.uint64)
+        pairs[which[::-1]] = key[::-1]  # the first pair of a bucket; another one there waits for the next round
+        own = pairs[which] == key
+        at, which = at[own], which[own]
+        often = np.bincount(which, minlength=len(pairs))
+        good = often[which] >= least
+        at, which = at[good], which[good]
         if not len(at):
             break
-        weight = often[which]  # where two occurrences overlap, the more frequent pair's stays, else the left one
+        weight = often[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
         touch = np.diff(at) == 1
-        beats = np.ones(len(at), bool)
-        beats[1:] &= ~(touch & (weight[1:] <= weight[:-1]))
-        beats[:-1] &= ~(touch & (weight[1:] > weight[:-1]))
+        run = np.append(True, ~touch | (weight[1:] != weight[:-1]))
+        begins = np.flatnonzero(run)
+        beats = (np.arange(len(at)) - begins[np.cumsum(run) - 1]) % 2 == 0
+        clash = np.flatnonzero(touch & run[1:] & beats[:-1] & beats[1:])
+        beats[np.where(weight[clash] < weight[clash + 1], clash, clash + 1)] = False
         at, which = at[beats], which[beats]
         used = np.bincount(which, minlength=len(pairs))
         keep = used >= 8
@@ -151,7 +162,7 @@ class Block:
         return expand(self.symbols, self.rule_ids, self.rule_start, self.lengths, self.base)
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache: int = 1_200_000) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the file table to the shared folder; returns it as read back.
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
@@ -164,7 +175,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
         shard, block = TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", block_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            bare, counts = encoder(path, False).encode(texts)
+            bare, counts = encoder(path, False, cache).encode(texts)
             tokens = counts + 1
             ids = np.full(int(tokens.sum()), end_id, np.uint32)
             ids[np.arange(len(bare)) + np.repeat(np.arange(len(texts)), counts)] = bare
