@@ -40,6 +40,14 @@ def test_search_of_few_large_and_no_rows(spark):
     assert searched(spark, rows[:1], "vec_id % 50 = 0") == [] == searched(spark, rows, "vec_id < 0")
 
 
+def test_copies_of_a_query_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=7)]) for i in range(1, 300)] + [(0, [4.0] * 7)] * 40
+    want = best(rows, lambda i: i == 0)
+    assert searched(spark, rows, "vec_id = 0") == want
+    assert searched(spark, rows, "vec_id = 0", bits=14) == want
+
+
 @pytest.fixture(scope="module")
 def placed(spark):
     rng = np.random.default_rng(2)

@@ -147,10 +147,13 @@ def sums(slices: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
 
 
 def boundary(slices: list[np.ndarray], valid: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
-    """Bitmaps of the rows whose sum is at least the k-th largest, from the top slice downward, less each query's slack."""
+    """Bitmaps of the rows whose sum is at least the k-th largest, from the top slice downward, less each query's slack.
+
+    valid: the bitmap of the rows that count, one for all queries or one for each.
+    """
     queries = slices[0].shape[0] if slices else len(slack)
     inside = np.zeros((queries, 1), np.int64)
-    equal = np.broadcast_to(valid, (queries, len(valid))).copy()
+    equal = np.broadcast_to(valid, (queries, valid.shape[-1])).copy()
     kth = np.zeros(queries, np.int64)
     for w in range(len(slices) - 1, -1, -1):
         both = equal & slices[w]
@@ -189,15 +192,15 @@ def top(block: dict, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple
     words = -(-n // 64)
     slices = np.frombuffer(block["slices"], "<u8").reshape(dims, -1, words)
     whole = q.astype(np.int64)
-    valid = np.full(words, np.uint64(2**64 - 1))
-    if n % 64:
-        valid[-1] = np.uint64((1 << n % 64) - 1)
     out = []
     side = max(1, 4096 // words)
     for at in range(0, len(whole), side):
         part = whole[at : at + side]
         slack = np.abs(part).sum(axis=1) * ((1 << block["shift"]) - 1) >> block["shift"]
-        found = boundary(sums(slices, part) or [np.zeros((len(part), words), np.uint64)], valid, k + 1, slack + 1)
+        other = np.zeros((len(part), words * 64), bool)  # a query's own rows, however many, take none of its k places
+        other[:, :n] = query_ids[at : at + side, None] != ids
+        valid = np.packbits(other, axis=1, bitorder="little").view("<u8")
+        found = boundary(sums(slices, part) or [np.zeros((len(part), words), np.uint64)], valid, k, slack + 1)
         rows = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, :n]
         which, row = np.nonzero(rows)
         for b in range(0, len(which), 1 << 17):
