@@ -120,6 +120,26 @@ def test_repeated_passages(spark):
     assert removed(frame(spark, rows)) == without_repeats(rows)
 
 
+def test_no_automaton_takes_all_contexts_of_a_common_line(spark, monkeypatch):
+    class Small(substring_dedup.Automaton):
+        def add(self, symbols):
+            super().add(symbols)
+            assert len(self.next) < 3000
+
+    monkeypatch.setattr(substring_dedup, "Automaton", Small)
+    monkeypatch.setattr(substring_dedup, "MOST_CONTEXTS", 40, raising=False)
+    r = random.Random(7)
+    lines = [" ".join(f"c{i}w{j}" for j in range(8)) for i in range(300)]
+    value = [substring_dedup.grams(substring_dedup.Words(pa.array([line])).hashes(), 8)[0] for line in lines]
+    line = lines[int(np.argmin(value))]  # so small a hash is the anchor of nearly all its windows
+    before, after = ([" ".join(f"{c}{r.randint(0, 10**6)}" for _ in range(20)) for _ in range(250)] for c in "ab")
+    rows = [(i, f"{before[i]} {line} {after[i]}") for i in range(250)]
+    rows += [(300 + i, f"{before[i]} {line} {after[i + 1]}") for i in range(0, 40, 3)] + [(400 + i, f"{line} {after[i][:60]}" * 2) for i in range(5)]
+    assert removed(frame(spark, [*rows, rows[0], rows[-1]])) == without_repeats(rows)
+    monkeypatch.setattr(substring_dedup, "MOST_CONTEXTS", 1)
+    assert removed(frame(spark, texts(4, 5))) == without_repeats(texts(4, 5))
+
+
 def test_repeated_passages_of_odd_rows(spark):
     long = " ".join(f"u{i}" for i in range(30))
     rows = [(1, long), (1, long), (2, long), (None, long), (3, None)]

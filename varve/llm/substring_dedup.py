@@ -5,14 +5,17 @@ among its runs of ``gram`` words. Equal windows have equal anchors, so windows
 only have to meet others of their anchor. Three passes over the documents:
 
 1. Anchors: successive windows with one anchor are one row. Rows that share an
-   anchor are marked as repeated.
+   anchor are marked as repeated, and rows are counted by anchor.
 2. Contexts: the words of the windows of each repeated anchor. They are dealt
    out by anchor; a task's anchors are its shard of the reference. Within an
    anchor contexts come in the order (doc_id, start). Each is streamed through
    the suffix automaton of those before it; wherever the matching statistic
    reaches ``window``, the window that ends there occurs earlier. A context
    equal to an earlier one is repeated as a whole. Then the automaton takes it
-   in, unless it is equal to one that it has.
+   in, unless it is equal to one that it has. Anchors with more than
+   MOST_CONTEXTS rows, as a line or the edge of a passage that many documents
+   share, get no automaton: their windows are dealt out one by one, by a hash
+   of the whole window, and all but the first of a window are repeated.
 3. Cut: a document's repeated windows are united, and their words removed.
 
 What repeats within a slice of a task is settled there and sent as one row, so
@@ -36,6 +39,10 @@ from ._scan import U, Words, grams, mix, slices
 from ._tables import documents, fits, kept
 
 _LAST = (1 << 63) - 1
+#: Rows of an anchor that may meet in one automaton; each has 32 words at most at the default sizes.
+MOST_CONTEXTS = 1024
+#: Anchors are told apart by this many classes when those with more rows are listed; an anchor that shares such a class goes by windows too.
+_CLASSES = 1 << 20
 
 
 class Automaton:
@@ -127,7 +134,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def mark(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """rid, start and n: runs of windows whose anchor comes more than once; start counts the document's words."""
+    """rid, start and n: runs of windows whose anchor comes more than once; start counts the document's words.
+
+    A row with n = 0 has in rid the class of an anchor with more than MOST_CONTEXTS runs.
+    """
+    most = MOST_CONTEXTS
     schema = "key long, kind int, rid long, start int, n int"
     names = ["key", "kind", "rid", "start", "n"]
 
@@ -141,27 +152,36 @@ def mark(docs: DataFrame, window: int, gram: int) -> DataFrame:
             rid = part.column("rid").to_numpy()[row]
             order = np.argsort(anchor, kind="stable")
             new = np.diff(anchor[order], prepend=anchor[order][:1] ^ U(1)) != 0
-            many = np.zeros(len(anchor), bool)
-            many[order] = np.repeat(np.diff(np.flatnonzero(new), append=len(order)) > 1, np.diff(np.flatnonzero(new), append=len(order)))
+            here = np.zeros(len(anchor), np.int64)
+            here[order] = np.repeat(np.diff(np.flatnonzero(new), append=len(order)), np.diff(np.flatnonzero(new), append=len(order)))
             lead = np.zeros(len(anchor), bool)
             lead[order] = new
-            # 0: may repeat elsewhere; 1: repeats here, sent for those elsewhere; 2: repeats here, settled
-            kind = np.where(many, np.where(lead, 1, 2), 0).astype(np.int32)
-            key = np.where(kind == 2, mix(rid.view(np.uint64) ^ first.astype(np.uint64)), anchor)
+            # 0: may repeat elsewhere; more: repeats here so many times, sent for those elsewhere; -1: repeats here, settled
+            kind = np.where(here > 1, np.where(lead, here, -1), 0).astype(np.int32)
+            key = np.where(kind < 0, mix(rid.view(np.uint64) ^ first.astype(np.uint64)), anchor)
             yield pa.RecordBatch.from_arrays([_signed(key), pa.array(kind), pa.array(rid), pa.array((first - words.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # a row that has met no other yet, and the last key
+        total = 0  # runs of the last key
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, kind, rid, start, n = (batch.column(c).to_numpy() for c in names)
+            at = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            runs = np.add.reduceat(np.where(kind < 0, 0, np.maximum(kind, 1)).astype(np.int64), at)
+            runs[0] += total if key[0] == before else 0
+            total = int(runs[-1])
+            crowded = key[at][runs > most] & (_CLASSES - 1)
+            if len(crowded):
+                none = np.zeros(len(crowded), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.array(none), pa.array(none)], names=["rid", "start", "n"])
             if held is not None:
                 key, kind, rid, start, n = (np.append(h, x) for h, x in zip(held, (key, kind, rid, start, n), strict=True))
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[1:] == key[:-1]
             same[0] = held is None and before is not None and key[0] == before
-            found = same[:-1] | same[1:] | (kind > 0)
+            found = same[:-1] | same[1:] | (kind != 0)
             before = key[-1]
             held = None
             if not found[-1]:
@@ -172,12 +192,34 @@ def mark(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "rid long, start int, n int")
 
 
-def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """rid, start and n: runs of windows that occur earlier, given documents with the runs to look at in marks."""
+def compare(marked: DataFrame, window: int, gram: int, crowded: np.ndarray) -> DataFrame:
+    """rid, start and n: runs of windows that occur earlier, given documents with the runs to look at in marks.
+
+    crowded: the classes of anchors whose windows are dealt out one by one.
+    """
     schema = "key long, kind int, doc long, rid long, start int, n int, symbols binary"
     names = ["key", "kind", "doc", "rid", "start", "n", "symbols"]
     extra = window - 1
 
+    def alone(hashes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, rid: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """A row (kind 2) for each different window of these runs, its key the window's hash and its symbols the anchor; the others are settled."""
+        shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        anchor, doc, rid = (np.repeat(x, n) for x in (anchor, doc, rid))
+        first, start = np.repeat(first, n) + shift, np.repeat(start, n) + shift
+        value = grams(hashes, window)[first]
+        order = np.lexsort((start, rid, doc, anchor, value))
+        anchor, doc, rid, first, start, value = (x[order] for x in (anchor, doc, rid, first, start, value))
+        lead = np.ones(len(value), bool)
+        lead[1:] = (value[1:] != value[:-1]) | (anchor[1:] != anchor[:-1])
+        which = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        stay = np.flatnonzero(lead | (rid != rid[which]) | (start != start[which]))  # repeated rows go
+        lead = lead[stay]
+        key = np.where(lead, value[stay], mix(rid.view(np.uint64) ^ first.astype(np.uint64))[stay])
+        ends = np.append(0, np.cumsum(np.where(lead, 8, 0))).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(stay), [None, pa.py_buffer(ends), pa.py_buffer(anchor[stay][lead].tobytes())])
+        kind = np.where(lead, 2, 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([_signed(key), pa.array(kind), pa.array(doc[stay]), pa.array(rid[stay]), pa.array(start[stay].astype(np.int32)), pa.array(np.ones(len(stay), np.int32)), data], names=names)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column("text"))
@@ -194,13 +236,19 @@ def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
             anchor = value[first]
             for j in range(1, window - gram + 1):
                 np.minimum(anchor, value[first + j], out=anchor)
+            rid = part.column("rid").to_numpy()[row]
+            doc = part.column("doc").to_numpy()[row]
+            single = np.isin(anchor & U(_CLASSES - 1), crowded)
+            if single.any():
+                yield alone(hashes, *(x[single] for x in (anchor, doc, rid, first, start, n)))
+                if single.all():
+                    continue
+                row, start, n, first, anchor, rid, doc = (x[~single] for x in (row, start, n, first, anchor, rid, doc))
             length = n + extra
             end = np.cumsum(length)
             inner = np.arange(int(end[-1])) - np.repeat(end - length, length)
             own = hashes[np.repeat(first, length) + inner]
             digest = np.add.reduceat(mix(own + inner.astype(np.uint64) * U(0x9E3779B97F4A7C15)), end - length) ^ anchor
-            rid = part.column("rid").to_numpy()[row]
-            doc = part.column("doc").to_numpy()[row]
             order = np.lexsort((start, rid, doc, digest))
             lead = np.ones(len(order), bool)
             lead[1:] = digest[order][1:] != digest[order][:-1]
@@ -224,12 +272,15 @@ def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 if kind == 1:
                     out.append((rid, start, n))
                     continue
-                if key != last:
-                    last, seen, waiting, automaton = key, {}, [], None
+                if (key, kind) != last:
+                    last, seen, waiting, automaton = (key, kind), {}, [], None
                 if (first := seen.get(symbols)) is not None:
                     if first != (rid, start):
                         out.append((rid, start, n))
                     continue
+                if kind == 2:
+                    seen[symbols] = (rid, start)
+                    continue
                 if seen:  # there are earlier contexts, all different from it
                     automaton = automaton or Automaton()
                     for w in waiting:
@@ -248,13 +299,20 @@ def compare(marked: DataFrame, window: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["rid", "start", "n"])
 
     sent = marked.select("doc", "rid", "text", "marks").mapInArrow(send, schema)
-    return sent.repartition("key").sortWithinPartitions("key", "doc", "rid", "start").mapInArrow(stream, "rid long, start int, n int")
+    return sent.repartition("key").sortWithinPartitions("key", "kind", "doc", "rid", "start").mapInArrow(stream, "rid long, start int, n int")
 
 
 def _by_document(runs: DataFrame, name: str) -> DataFrame:
     return kept(runs.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias(name)), name)
 
 
+def _marked(runs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """mark()'s runs by document, and the classes of anchors with too many rows; there are _CLASSES of these at most."""
+    table = kept(runs.groupBy("rid", (F.col("n") == 0).alias("crowded")).agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
+    classes = table.where("crowded").select("rid").toArrow().column("rid").to_numpy()
+    return table.where("not crowded").select("rid", "marks"), np.sort(classes).astype(np.uint64)
+
+
 def _with(docs: DataFrame, table: DataFrame, name: str, every: bool) -> DataFrame:
     """``docs`` with the runs of ``table`` by rid; ``every``: also those without, as null.
 
@@ -285,9 +343,9 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     own = docs.drop(*mine)
     columns = own.columns
     keyed = own.withColumn("rid", F.xxhash64("doc_id", "text"))
-    marks = _by_document(mark(keyed, window, gram), "marks")
+    marks, crowded = _marked(mark(keyed, window, gram))
     ordered = keyed.select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    cuts = _by_document(compare(_with(ordered, marks, "marks", False), window, gram), "cuts")
+    cuts = _by_document(compare(_with(ordered, marks, "marks", False), window, gram, crowded), "cuts")
     joined = _with(keyed, cuts, "cuts", True).drop("rid")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields]
 
