@@ -136,6 +136,15 @@ def test_lasso_is_optimal_and_linreg_is_least_norm(spark):
         fit.fit(df, "forest")
 
 
+def test_gram_of_more_columns_than_4000(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(24, 4100)), rng.normal(size=24)
+    xx, xy, yy, n = fit.gram(training(spark, x, y).coalesce(2))[0]
+    assert np.allclose(xx, x.T @ x) and np.allclose(xy, x.T @ y) and abs(yy - y @ y) < 1e-9 and n == 24
+    parts = fit.gram(training(spark, x[:, :300], y).withColumn("half", (F.col("order") / 12).cast("int")), "half")
+    assert sorted(parts) == [0, 1] and all(np.allclose(parts[k][0], x[12 * k : 12 * k + 12, :300].T @ x[12 * k : 12 * k + 12, :300]) and parts[k][3] == 12 for k in parts)
+
+
 def test_selection(spark):
     m = spark.createDataFrame([("a", 0, 0.01, 6.6), ("b", 1, 0.05, 3.8), ("c", 2, 0.04, 4.2), ("d", 3, None, None)], "feature string, col_idx long, pval double, z2 double")
     names = lambda *x: spark.createDataFrame([(v,) for v in x], "feature string")

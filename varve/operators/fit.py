@@ -1,8 +1,7 @@
 """Ridge with leave-one-out, lasso with five folds, and least squares, all from Gram matrices.
 
 The Gram matrix of p selected columns is summed from the batches of the tasks;
-only p x p numbers reach the driver, and p is bounded by the selection
-(MOST_FEATURES). No intercept is fitted: columns and target come projected.
+only p x p numbers reach the driver, whose memory is what bounds p. No intercept is fitted: columns and target come projected.
 """
 
 from __future__ import annotations
@@ -12,13 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import alphas
 
 METHODS = ("ridge", "lasso", "linreg")
-MOST_FEATURES = 4000
+#: Numbers of a line of a Gram matrix that are sent in one row.
+TILE = 128
 
 
 @dataclass
@@ -30,31 +31,66 @@ class Fit:
 def gram(rows: DataFrame, by: str | None = None) -> dict:
     """X'X, X'y, y'y and the count of rows (x, y), for each value of ``by`` (None: of all under 0).
 
-    Tasks send one row for each value of ``by``.
+    Tasks send the upper half of their sums in tiles, a row for TILE numbers of
+    a line, which are added tile by tile as they stream in after a shuffle.
     """
+    schema = "key long, i int, j int, g array<double>"
+
+    def frame(at: np.ndarray, g: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": at[:, 0], "i": at[:, 1].astype(np.int32), "j": at[:, 2].astype(np.int32), "g": list(g)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
             for key, own in pdf.groupby("key"):
-                z = np.column_stack([np.stack(list(own["x"])), own["y"].to_numpy()])
-                g = np.append((z.T @ z).ravel(), len(z))
-                total[key] = total[key] + g if key in total else g
+                z = np.column_stack([np.stack(list(own["x"])), own["y"].to_numpy(), np.ones(len(own))])
+                g = z.T @ z
+                if key in total:
+                    total[key] += g
+                else:
+                    total[key] = g
         for key, g in total.items():
-            yield pd.DataFrame({"key": [key], "g": [g]})
+            tiles = -(-len(g) // TILE)
+            for i in range(0, len(g), TILE):
+                lines = np.zeros((min(TILE, len(g) - i), tiles * TILE - i))
+                lines[:, : len(g) - i] = g[i : i + TILE, i:]
+                at = np.array([(key, i + k, j) for k in range(len(lines)) for j in range(i, len(g), TILE)], np.int64)
+                yield frame(at, lines.reshape(-1, TILE))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last tile, which may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = pdf[["key", "i", "j"]].to_numpy(np.int64)
+            first = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1)
+            at, g = at[first], np.add.reduceat(np.stack(list(pdf["g"])), first, axis=0)
+            if held is not None:
+                if (held[0] == at[:1]).all():
+                    g[0] += held[1][0]
+                else:
+                    yield frame(*held)
+            held = at[-1:], g[-1:]
+            if len(at) > 1:
+                yield frame(at[:-1], g[:-1])
+        if held is not None:
+            yield frame(*held)
 
     keyed = rows.select("x", "y", (F.col(by) if by else F.lit(0)).cast("long").alias("key"))
-    parts = keyed.mapInPandas(run, "key long, g array<double>")
-    out: dict[int, np.ndarray] = {}
-    width = None
-    for key, g in ((r["key"], r["g"]) for r in parts.groupBy("key").agg(F.collect_list("g").alias("gs")).select("key", F.expr("aggregate(slice(gs, 2, size(gs)), gs[0], (a, b) -> zip_with(a, b, (x, y) -> x + y))").alias("g")).collect()):
-        out[key] = np.array(g)
-        width = int(round((len(g) - 1) ** 0.5))
-    if width is None:
+    place = ["key", "i", "j"]
+    sums = keyed.mapInPandas(run, schema).repartition(*place).sortWithinPartitions(*place).mapInPandas(add, schema).toArrow()
+    if not sums.num_rows:
         raise ValueError("there are no training rows")
-    if width - 1 > MOST_FEATURES:
-        raise ValueError(f"{width - 1} features are selected; the driver's part is made for {MOST_FEATURES}")
-    return {k: (g[:-1].reshape(width, width)[:-1, :-1], g[:-1].reshape(width, width)[:-1, -1], float(g[-2]), int(g[-1])) for k, g in out.items()}
+    width = pc.max(sums.column("i")).as_py() + 1
+    out: dict[int, np.ndarray] = {}
+    for batch in sums.to_batches():
+        key, i, j = (batch.column(c).to_numpy() for c in place)
+        g = batch.column("g").flatten().to_numpy().reshape(-1, TILE)
+        for k, line, at, tile in zip(key.tolist(), i.tolist(), j.tolist(), g, strict=True):
+            own = out.setdefault(k, np.zeros((width, width)))
+            at, tile = max(at, line), tile[max(0, line - at) : width - at]
+            own[line, at : at + len(tile)] = own[at : at + len(tile), line] = tile
+    return {k: (g[:-2, :-2], g[:-2, -2], float(g[-2, -2]), int(g[-1, -1])) for k, g in sorted(out.items())}
 
 
 def ridge(rows: DataFrame) -> Fit:
@@ -102,7 +138,10 @@ def descend(xx: np.ndarray, xy: np.ndarray, n: int, alpha: float, start: np.ndar
 
 
 def lasso(rows: DataFrame, seed: int = 42, folds: int = 5) -> Fit:
-    """rows (x, y, order): contiguous folds by order; the score is the positive mean squared error at the chosen penalty."""
+    """rows (x, y, order): contiguous folds by order; the score is the positive mean squared error at the chosen penalty.
+
+    A task goes down the penalties for one fold.
+    """
     total = rows.count()
     edges = np.cumsum([total // folds + (i < total % folds) for i in range(folds)]).tolist()
     fold = F.lit(folds - 1)
@@ -111,12 +150,25 @@ def lasso(rows: DataFrame, seed: int = 42, folds: int = 5) -> Fit:
     parts = gram(rows.withColumn("fold", fold), "fold")
     xx, xy = sum(p[0] for p in parts.values()), sum(p[1] for p in parts.values())
     grid = sorted(alphas(), reverse=True)
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((xx, xy, list(parts.values())))
+
+    def path(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["id"].tolist():
+                xx, xy, folds = sent.value
+                own = folds[k]
+                rest, toward = xx - own[0], xy - own[1]
+                b, found = np.zeros(len(xy)), []
+                for alpha in grid:
+                    b = descend(rest, toward, total - own[3], alpha, b, seed)
+                    found.append((own[2] - 2 * b @ own[1] + b @ own[0] @ b) / own[3])
+                yield pd.DataFrame({"k": [k], "errors": [found]})
+
     errors = np.zeros((len(grid), len(parts)))
-    for k, own in enumerate(parts.values()):
-        b = np.zeros(len(xy))
-        for i, alpha in enumerate(grid):
-            b = descend(xx - own[0], xy - own[1], total - own[3], alpha, b, seed)
-            errors[i, k] = (own[2] - 2 * b @ own[1] + b @ own[0] @ b) / own[3]
+    for r in spark.range(0, len(parts), 1, len(parts)).mapInPandas(path, "k long, errors array<double>").collect():
+        errors[:, r["k"]] = r["errors"]
+    sent.destroy()
     best = int(np.argmin(errors.mean(axis=1)))
     b = np.zeros(len(xy))
     for alpha in grid[: best + 1]:
