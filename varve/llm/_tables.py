@@ -15,9 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder, if all runs on this machine."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.TemporaryDirectory(prefix="varve-")
         atexit.register(folder.cleanup)
         set_to = f"file://{folder.name}"
@@ -25,21 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/varve/{spark.sparkContext.applicationId}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the plan starts anew there, and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/varve/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that kept() wrote once nothing reads them any more."""
     for df in tables:
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that kept() wrote for this application, once its results are written."""
+    _delete(spark, _own_dir(spark))
 
 
 #: Bytes up to which small_side() broadcasts; larger tables are joined by a shuffle.

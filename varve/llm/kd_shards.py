@@ -3,24 +3,33 @@
 A node that is to hold m leaves is split where m // 2 leaves' share of its
 bytes lies, along the dimension in which it is widest (its extent over the
 root's). Rows are ordered by that dimension, then by a hash of the text, then
-by a hash of doc_id, so rows of equal text stay together unless the cut has to
-go through them. The cut, a weighted quantile, is found by histograms of ten
-bits at a time: every pass sums bytes for all nodes of a level at once, and the
-driver sees 1024 sums a node at most. Refinement ends once the bucket that the
-cut lies in weighs less than ``tolerance`` of a shard.
+by a hash of the row, so rows of equal text stand together. The cut, a weighted
+quantile, is found by histograms: every pass sums the bytes of all nodes of a
+level by one digit of the order, and narrows each cut to a bucket. A cut moves
+to the nearer edge of its bucket once that weighs less than ``tolerance`` of a
+shard. If the bucket is one text, its rows stay together up to ``whole`` of a
+shard, which bounds how far a shard can lie off; only heavier groups are parted.
+
+Each level writes the rows' nodes and drops the table before, so no plan grows
+with the depth, and joins the rows with a table of one row a node. The driver
+sees MOST_SUMS sums a pass at most: with more nodes the digits are shorter.
 
 Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import documents, kept
+from ._tables import documents, dropped, kept
 
-#: Bits of the three parts of the order, each in digits of ten bits.
-_V, _H, _D = 20, 60, 40
+#: Bits of the three parts of the order: the dimension, the text's hash, the row's.
+BITS = {"v": 24, "h": 60, "d": 36}
+_PARTS = tuple(BITS)
+MOST_SUMS = 1 << 17
 
 
 def _meta(docs: DataFrame) -> DataFrame:
@@ -31,82 +40,105 @@ def _meta(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("crc"),
         F.char_length(text).alias("chars"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << _H) - 1)).alias("h"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).bitwiseAND(F.lit((1 << _D) - 1)).alias("d"),
+        F.xxhash64(text).bitwiseAND(F.lit((1 << BITS["h"]) - 1)).alias("h"),
+        # the table is written before it is used, so the rows' numbers stay; they part repeated rows of one doc_id
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << BITS["d"]) - 1)).alias("d"),
     )
-    top = (1 << _V) - 1
-    length = F.least(F.floor(F.log2(F.col("size").cast("double")) * F.lit(float(1 << 14))), F.lit(top)).cast("long")
+    top = (1 << BITS["v"]) - 1
+    length = F.least(F.floor(F.log2(F.col("size").cast("double")) * F.lit(float(1 << 18))), F.lit(top)).cast("long")
     width = F.floor(F.col("chars") / F.col("size") * F.lit(float(top))).cast("long")  # code points a byte
-    return base.select("doc_id", "size", "crc", "h", "d", length.alias("v0"), width.alias("v1"))
-
-
-def _digits() -> list[tuple[str, int]]:
-    return [(part, shift) for part, bits in (("v", _V), ("h", _H), ("d", _D)) for shift in range(bits - 10, -1, -10)]
-
-
-def _params(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A few rows of whole numbers for each node of a level: node, dim and the cut."""
-    return F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({n}L, {dim}, {v}L, {h}L, {d}L)" for n, dim, v, h, d in rows) + " AS t(node, dim, cut_v, cut_h, cut_d)"))
-
-
-def _along() -> Column:
-    return F.when(F.col("dim") == 0, F.col("v0")).otherwise(F.col("v1"))
-
-
-def _descend(meta: DataFrame, params: DataFrame) -> DataFrame:
-    """Moves the rows of the nodes in params to their children, 2 n before the cut and 2 n + 1 from it on."""
-    v = _along()
-    before = (v < F.col("cut_v")) | ((v == F.col("cut_v")) & ((F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("d") < F.col("cut_d")))))
-    child = F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(before, 0).otherwise(1))
-    return meta.join(params, "node", "left").select("doc_id", "size", "crc", "h", "d", "v0", "v1", child.alias("node"))
-
-
-def _cuts(meta: DataFrame, nodes: dict[int, tuple[int, float]], slack: float) -> dict[int, dict[str, int]]:
-    """The cut of each node, given its dimension and the bytes that are to lie before it."""
-    cuts = {n: {"v": 0, "h": 0, "d": 0} for n in nodes}
-    left = {n: bytes_ for n, (_, bytes_) in nodes.items()}
-    open_ = set(nodes)
-    known: dict[str, int] = {}
-    for part, shift in _digits():
-        if not open_:
-            break
-        params = _params(meta.sparkSession, [(n, nodes[n][0], *cuts[n].values()) for n in sorted(open_)])
-        rows = meta.join(params, "node").withColumn("v", _along())
-        for p, s in known.items():  # what the cut shares with a row so far
-            rows = rows.where(F.shiftright(p, s) == F.shiftright(f"cut_{p}", s))
-        sums = rows.groupBy("node", (F.shiftright(part, shift) % 1024).alias("digit")).agg(F.sum("size").alias("bytes")).collect()
-        known[part] = shift
-        per: dict[int, list[tuple[int, int]]] = {}
-        for r in sums:
-            per.setdefault(r["node"], []).append((r["digit"], r["bytes"]))
-        for n, buckets in per.items():
-            buckets.sort()
-            for k, (value, weight) in enumerate(buckets):
-                if weight > left[n] or k == len(buckets) - 1:
-                    light = weight <= slack
-                    cuts[n][part] += (value + (light and 2 * left[n] >= weight)) << shift  # the nearer side of a light bucket
-                    if light:
-                        open_.discard(n)
-                    break
-                left[n] -= weight
-    return cuts
-
-
-def tree(meta: DataFrame, shards: int, tolerance: float = 0.002) -> tuple[DataFrame, dict[int, int]]:
+    return base.select("doc_id", "size", "crc", "h", "d", length.alias("v0"), width.alias("v1"), F.lit(1).cast("long").alias("node"))
+
+
+class Cut:
+    """Where a node is cut, as far as it is known: values of v, h and d, and the lowest known bit of each."""
+
+    def __init__(self, dim: int, before: float):
+        self.dim, self.before = dim, before  # the dimension, and the bytes still to lie before the cut
+        self.value = dict.fromkeys(_PARTS, 0)
+        self.shift = dict.fromkeys(_PARTS, 63)
+        self.part, self.done = "v", False
+
+    def next_digit(self, bits: int) -> int:
+        """The lowest bit of the next digit."""
+        return max(0, min(self.shift[self.part], BITS[self.part]) - bits)
+
+    def narrow(self, buckets: list[tuple], shift: int, light: float, whole: float) -> None:
+        """Goes on to the bucket (digit, bytes, v, h, one text) that the cut lies in."""
+        for k, (digit, weight, v, h, one) in enumerate(buckets):
+            if weight <= self.before and k < len(buckets) - 1:
+                self.before -= weight
+                continue
+            one = one and self.part != "d"
+            self.value[self.part] += digit << shift
+            self.shift[self.part] = shift
+            if one:
+                self.value |= {"v": v, "h": h}
+                self.shift |= {"v": 0, "h": 0}
+            if weight <= light or one and weight <= whole or self.part == "d" and shift == 0:
+                last = "h" if one else self.part
+                self.value[last] += (2 * self.before >= weight) << self.shift[last]
+                self.done = True
+            elif one:
+                self.part = "d"
+            elif shift == 0:
+                self.part = _PARTS[_PARTS.index(self.part) + 1]
+            return
+
+
+def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table, to be broadcast: a row for each node of a level."""
+    text = json.dumps(rows).replace("'", "")
+    return F.broadcast(spark.sql(f"SELECT inline(from_json('{text}', 'array<struct<{schema}>>'))"))
+
+
+_NODE = "node:bigint,dim:int,cut_v:bigint,cut_h:bigint,cut_d:bigint"
+
+
+def _node(n: int, cut: Cut) -> dict:
+    return {"node": n, "dim": cut.dim} | {f"cut_{p}": cut.value[p] for p in _PARTS}
+
+
+def _find(meta: DataFrame, cuts: dict[int, Cut], light: float, whole: float) -> None:
+    """Passes over the rows until every cut is known."""
+    while todo := {n: c for n, c in cuts.items() if not c.done}:
+        bits = max(1, min(12, (MOST_SUMS // len(todo)).bit_length() - 1))
+        shift = {n: c.next_digit(bits) for n, c in todo.items()}
+        params = [_node(n, c) | {"part": c.part, "digit": shift[n]} | {f"known_{p}": c.shift[p] for p in _PARTS} for n, c in todo.items()]
+        rows = meta.join(_rows(meta.sparkSession, params, _NODE + ",part:string,digit:int,known_v:int,known_h:int,known_d:int"), "node").withColumn("v", F.expr("IF(dim = 0, v0, v1)"))
+        inside = rows.where(" and ".join(f"shiftright({p}, known_{p}) = shiftright(cut_{p}, known_{p})" for p in _PARTS))
+        digit = F.expr("CASE part WHEN 'v' THEN shiftright(v, digit) - shiftright(cut_v, digit) WHEN 'h' THEN shiftright(h, digit) - shiftright(cut_h, digit) ELSE shiftright(d, digit) - shiftright(cut_d, digit) END")
+        sums = inside.groupBy("node", digit.alias("at")).agg(F.sum("size").alias("bytes"), F.min("v").alias("v"), F.min("h").alias("h"), F.expr("min(v) = max(v) and min(h) = max(h)").alias("one"))
+        found: dict[int, list[tuple]] = {}
+        for r in sums.collect():
+            found.setdefault(r["node"], []).append((r["at"], r["bytes"], r["v"], r["h"], r["one"]))
+        for n, buckets in found.items():
+            todo[n].narrow(sorted(buckets), shift[n], light, whole)
+
+
+def _descend(meta: DataFrame, cuts: dict[int, Cut]) -> DataFrame:
+    """Moves the rows of the nodes that are cut to their children, 2 n before the cut and 2 n + 1 from it on."""
+    joined = meta.join(_rows(meta.sparkSession, [_node(n, c) for n, c in cuts.items()], _NODE), "node", "left").withColumn("v", F.expr("IF(dim = 0, v0, v1)"))
+    before = "(v < cut_v or v = cut_v and (h < cut_h or h = cut_h and d < cut_d))"
+    return joined.withColumn("node", F.expr(f"IF(dim IS NULL, node, node * 2 + IF({before}, 0, 1))")).select(*meta.columns)
+
+
+def tree(meta: DataFrame, shards: int, tolerance: float = 0.002, whole: float = 0.08) -> tuple[DataFrame, dict[int, int]]:
     """meta with each row's leaf as node, and the shard of each leaf."""
-    root = meta.agg(F.sum("size"), *(f(v) for v in ("v0", "v1") for f in (F.min, F.max))).first()
-    meta = meta.withColumn("node", F.lit(1).cast("long"))
-    shard, level = {1: 0}, {1: shards}  # leaves that each node is to hold
-    extent = [max(1, (root[2] or 0) - (root[1] or 0)), max(1, (root[4] or 0) - (root[3] or 0))]
+    level, shard, extent, total = {1: shards}, {1: 0}, None, 0  # leaves that each node is to hold
     while level := {n: m for n, m in level.items() if m > 1}:
-        found = meta.groupBy("node").agg(F.sum("size").alias("total"), *(f(v).alias(f"{v}{n}") for v in ("v0", "v1") for n, f in (("low", F.min), ("high", F.max)))).collect()
-        split = {r["node"]: (max((0, 1), key=lambda k, r=r: (r[f"v{k}high"] - r[f"v{k}low"]) / extent[k]), r["total"] * (level[r["node"]] // 2) / level[r["node"]]) for r in found if r["node"] in level}
-        if not split:
+        found = [r for r in meta.groupBy("node").agg(F.sum("size").alias("total"), *(f(v).alias(f"{v}{n}") for v in ("v0", "v1") for n, f in (("low", F.min), ("high", F.max)))).collect() if r["node"] in level]
+        if not found:
             break
-        cuts = _cuts(meta, split, tolerance * root[0] / shards)
-        meta = _descend(meta, _params(meta.sparkSession, [(n, dim, *cuts[n].values()) for n, (dim, _) in split.items()]))
+        span = lambda r, k: r[f"v{k}high"] - r[f"v{k}low"]
+        if extent is None:
+            extent, total = [max(1, span(found[0], k)) for k in (0, 1)], found[0]["total"]
+        cuts = {r["node"]: Cut(max((0, 1), key=lambda k, r=r: span(r, k) / extent[k]), r["total"] * (level[r["node"]] // 2) / level[r["node"]]) for r in found}
+        _find(meta, cuts, tolerance * total / shards, whole * total / shards)
+        before, meta = meta, kept(_descend(meta, cuts), "kd")
+        dropped(before)
         below = {}
-        for n in split:
+        for n in cuts:
             half = level[n] // 2
             below |= {2 * n: half, 2 * n + 1: level[n] - half}
             shard |= {2 * n: shard[n], 2 * n + 1: shard[n] + half}
@@ -114,19 +146,22 @@ def tree(meta: DataFrame, shards: int, tolerance: float = 0.002) -> tuple[DataFr
     return meta, shard
 
 
-def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, parts: int = 256) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, parts: int = 256, whole: float = 0.08) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of ``docs`` (doc_id, text).
 
-    ``target_bytes`` instead of ``shards``: as many shards as it takes. A null
-    text counts as empty. Repeated rows each get a slot. An empty table gives
-    no row; other columns are ignored. Slots are numbered in ``parts`` parts of
-    a shard, by a hash of doc_id, so no task orders a whole shard.
+    ``target_bytes`` instead of ``shards``: as many shards as it takes. Rows of
+    equal text share a shard unless they weigh more than ``whole`` of one. A
+    null text counts as empty; a null doc_id is placed as any other; repeated
+    rows each get a slot. A text longer than a shard makes that shard as large.
+    An empty table gives no row; other columns are ignored. Slots are numbered
+    in ``parts`` parts of a shard, by the rows' hashes, so no task orders a
+    whole shard.
     """
     meta = kept(_meta(docs), "kd")
     if shards is None:
         shards = max(1, -(-(meta.agg(F.sum("size")).first()[0] or 1) // target_bytes))
-    placed, shard = tree(meta, shards)
-    numbers = F.broadcast(docs.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({n}L, {i})" for n, i in shard.items()) + " AS t(node, shard)"))
+    placed, shard = tree(meta, shards, whole=whole)
+    numbers = _rows(docs.sparkSession, [{"node": n, "shard": i} for n, i in shard.items()], "node:bigint,shard:int")
     rows = placed.join(numbers, "node").select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("d") % parts).cast("int").alias("part"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
@@ -136,6 +171,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
 
 
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes. Nulls, repeats and empty tables: see kd_shards()."""
     return kd_shards(documents(spark, sf_dir))
 
 
