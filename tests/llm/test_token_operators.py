@@ -13,7 +13,7 @@ from varve.llm import byte_bpe, packing, repair
 from varve.llm._encode import Encoder
 
 SCHEMA = "doc_id long, text string"
-PARTS = ["'", "'s", "'re", "''", "s", "t", " ", " ", "  ", "\n", "\t", "!", "1", "é", "É", "中", "Word", "the", "A", "Σ", ".", ",", " ", "İ", "ß", "<|endoftext|>", "ﬁ", "word,", " .", "?!", "😀", "\x85", "\x1c", "²", "Ⅷ", "\0"]
+PARTS = ["'", "'s", "'re", "''", "s", "t", " ", " ", "  ", "\n", "\t", "!", "1", "é", "É", "中", "Word", "the", "A", "Σ", ".", ",", " ", "İ", "ß", "<|endoftext|>", "ﬁ", "word,", " .", "?!", "😀", "\x85", "\x1c", "²", "Ⅷ", "\0", "x.\nY", "$$$", "#", "a\n"]
 
 
 def mixed(seed, n, most=12):
@@ -27,7 +27,7 @@ def frame(spark, texts):
 
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_encoding_is_the_librarys(name, spaces):
-    own, library = Encoder(public_tokenizers.path(name), spaces, entries=2000), Tokenizer.from_file(public_tokenizers.path(name))
+    own, library = Encoder(public_tokenizers.path(name), spaces, cache_bytes=200_000), Tokenizer.from_file(public_tokenizers.path(name))
     library.encode_special_tokens = True
     texts = mixed(1, 4000)
     for at in range(0, len(texts), 300):

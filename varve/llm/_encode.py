@@ -1,12 +1,17 @@
 """Encoding with the tokenizers library through a bounded cache of pieces that the library has encoded.
 
-Texts are cut at single spaces. The two vocabularies in use never merge across
-such a cut: one drops white space, the other lets a space open the next token.
-Only where white space stands on both sides of a space does the cut depend on
-what lies around it; such a text goes to the library as a whole. A new piece
-that is letters and then marks is put together from the two, as both
-vocabularies part them, so a word costs the library one call with or without a
-comma after it.
+Texts are cut at single spaces and single line feeds. The two vocabularies in
+use never merge across such a cut: one drops white space, the other lets a
+space open the next token and a line feed between other characters stand alone.
+Only where more white space stands beside a cut does it depend on what lies
+around it; such a text is not cut at line feeds, or goes to the library as a
+whole. A new piece that is letters and then marks is put together from the two,
+as both vocabularies part them, so a word costs the library one call whatever
+marks follow it.
+
+The cache has two generations: once the younger is full it becomes the older,
+and the one before goes. A piece that comes again moves to the younger, so
+frequent pieces stay and rare ones leave.
 """
 
 from __future__ import annotations
@@ -17,10 +22,13 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-
-#: Letters of Latin-1, then marks that both vocabularies cut off.
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters of Latin-1, then ASCII marks but the apostrophe, which may open a token with letters.
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _FOLD = {i: i + 32 for i in range(65, 91)}
+#: A line feed with other white space beside it.
+_WIDE = re.compile(r"\n(?:\s|(?<=\s\n))")
+#: Bytes that an entry takes besides its text.
+_ENTRY = 150
 
 
 class _Pieces(dict):
@@ -34,33 +42,64 @@ class _Pieces(dict):
         return at
 
 
+class _Generation:
+    """Pieces by their place, and the ids of each."""
+
+    def __init__(self):
+        self.pieces = _Pieces()
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.used = self.bytes = 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.count = np.zeros(1 << 16, np.int32)
+        self.odd = np.zeros(1 << 16, bool)
+
+    def room(self) -> None:
+        while len(self.pieces) > len(self.start):
+            self.start, self.count, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.odd))
+
+    def store(self, at: np.ndarray, ids: np.ndarray, per: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[at] = per
+        self.start[at] = self.used + np.cumsum(per) - per
+        self.used += len(ids)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places one after another, and how many each has."""
+        per = self.count[at].astype(np.int64)
+        return self.ids[np.repeat(self.start[at] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))], per
+
+
 class Encoder:
     """encode(texts) -> (ids, counts): the ids of all texts one after another, and how many each has.
 
     ``spaces``: whether the vocabulary keeps white space (byte-level) or drops it.
-    ``entries`` bounds the cache, which is emptied when it is full.
+    ``cache_bytes`` bounds each generation of the cache.
     """
 
-    def __init__(self, path: str, spaces: bool, entries: int = 400_000):
+    def __init__(self, path: str, spaces: bool, cache_bytes: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces, self.entries = spaces, entries
-        self._reset()
-
-    def _reset(self) -> None:
-        self.pieces = _Pieces()
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.count = np.zeros(1 << 18, np.int32)
-        self.odd = np.zeros(1 << 18, bool)
+        self.spaces, self.cache_bytes = spaces, cache_bytes
+        vocabulary = self.tokenizer.get_vocab()
+        # a token that opens a word with its space, or one that closes a word
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token[0] == "Ġ" if spaces else token.endswith("</w>")
+        self.feed = vocabulary.get("Ċ", -1)
+        self.now, self.old = _Generation(), _Generation()
 
     def _learn(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
-        at = len(self.pieces) - len(new)
-        words, rest, joined = [], [], []  # places in new of letters, of what else goes to the library, and (place, letters, marks)
-        self.pieces.new = new
+        now, old = self.now, self.old.pieces.get
+        pieces, new = now.pieces, now.pieces.new
+        at = len(pieces) - len(new)
+        known: list[tuple[int, int]] = []  # places here and in the older generation
+        words, heads, rest, joined = [], [], [], []  # places in new of words, of words without a space before, of what else goes to the library, and (place, letters, marks)
         for i, piece in enumerate(new):  # grows by the parts of joined pieces
+            if (place := old(piece)) is not None:
+                known.append((at + i, place))
+                continue
             m = _SIMPLE.fullmatch(piece)
             if m is None:
                 rest.append(i)
@@ -69,70 +108,76 @@ class Encoder:
             if not self.spaces and not stem.islower():
                 stem = stem.translate(_FOLD)
             if stem == piece:
-                words.append(i)
+                (words if piece[0] == " " or not self.spaces else heads).append(i)
             elif marks:
-                joined.append((at + i, self.pieces[stem], self.pieces[marks]))
-            else:
-                joined.append((at + i, self.pieces[stem], -1))
-        self.pieces.new = []
-        while len(self.pieces) > len(self.start):
-            self.start, self.count, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.odd))
-        for i in range(0, len(words), 1024):
-            part = words[i : i + 1024]
-            made = self.tokenizer.encode(("" if self.spaces else " ").join([new[k] for k in part]), add_special_tokens=False)
-            which = np.array(made.word_ids, np.int64)
-            if len(which) and which[-1] == len(part) - 1:  # one word for each piece
-                self._store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(which, minlength=len(part)))
+                joined.append((at + i, pieces[stem], pieces[marks]))
             else:
-                rest += part
+                joined.append((at + i, pieces[stem], -1))
+        pieces.new = []
+        now.room()
+        now.bytes += _ENTRY * len(new) + sum(map(len, new))
+        if known:
+            own, from_ = np.array(known).T
+            now.store(own, *self.old.take(from_))
+            now.odd[own] = self.old.odd[from_]
+        # words one after another are one call to the library, and their tokens show where each begins or ends
+        for places, between in ((words, "" if self.spaces else " "), (heads, "\n")):
+            for i in range(0, len(places), 1024):
+                part = places[i : i + 1024]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+                if between == "\n":
+                    feed = ids == self.feed
+                    own, which, found = ids[~feed], np.cumsum(feed)[~feed], int(feed.sum()) + 1
+                else:
+                    edge = self.edge[ids]
+                    own, which, found = ids, np.cumsum(edge) - (1 if self.spaces else edge), int(edge.sum())
+                    found = -1 if len(ids) and not edge[0 if self.spaces else -1] else found
+                if found == len(part):
+                    now.store(at + np.array(part), own, np.bincount(which, minlength=len(part)))
+                else:
+                    rest += part
         for i in range(0, len(rest), 1024):
             part = rest[i : i + 1024]
             made = self.tokenizer.encode([new[k] for k in part], is_pretokenized=True, add_special_tokens=False)
-            self._store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64))
+            now.store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64))
             if self.spaces:
-                self.odd[at + np.array(part)] = [new[k][0] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
+                now.odd[at + np.array(part)] = [new[k][0] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
         if joined:
             own, stem, marks = np.array(joined).T
-            both = np.stack([stem, np.maximum(marks, 0)], 1).ravel()
-            count = self.count[both].astype(np.int64)
-            count[1::2][marks < 0] = 0
-            end = np.cumsum(count)
-            ids = self.ids[np.repeat(self.start[both] - (end - count), count) + np.arange(int(end[-1]))]
-            self._store(own, ids, count[::2] + count[1::2])
-
-    def _store(self, at: np.ndarray, ids: np.ndarray, per: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.count[at] = per
-        self.start[at] = self.used + np.cumsum(per) - per
-        self.used += len(ids)
+            ids, per = now.take(np.stack([stem, np.maximum(marks, 0)], 1).ravel())
+            if (marks < 0).any():
+                ids = ids[np.repeat(np.stack([np.ones(len(marks), bool), marks >= 0], 1).ravel(), per)]
+                per[1::2][marks < 0] = 0
+            now.store(own, ids, per[::2] + per[1::2])
+
+    def _split(self, text: str) -> list[str] | None:
+        """A text's pieces; None if it has a zero byte, which marks the cuts."""
+        if not self.spaces:
+            return text.replace("\n", " ").split(" ")
+        if "\x00" in text:
+            return None
+        if "\n" in text and not _WIDE.search(text):
+            text = text.replace("\n", "\x00\n\x00")
+        pieces = text.replace(" ", "\x00 ").split("\x00")  # each piece but a line's first keeps the space before it
+        return pieces[not pieces[0] : len(pieces) - (not pieces[-1])] if not pieces[0] or not pieces[-1] else pieces
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > self.entries:
-            self._reset()
-        if self.spaces:  # each piece but a text's first keeps the space before it
-            split = [t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        else:
-            split = [t.split(" ") for t in texts]
+        if self.now.bytes > self.cache_bytes:
+            self.now, self.old = _Generation(), self.now
+        split = [self._split(t) for t in texts]
         whole = {i for i, s in enumerate(split) if s is None}
         sizes = np.array([len(s) if s is not None else 0 for s in split], np.int64)
-        if self.spaces:
-            flat = chain.from_iterable([p for p in s if p] if not s[0] else s for s in split if s is not None)
-            sizes = np.array([0 if s is None else len(s) - (not s[0]) for s in split], np.int64)
-        else:
-            flat = chain.from_iterable(split)
-        at = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, int(sizes.sum()))
-        if self.pieces.new:
+        at = np.fromiter(map(self.now.pieces.__getitem__, chain.from_iterable([s for s in split if s is not None])), np.int64, int(sizes.sum()))
+        del split
+        if self.now.pieces.new:
             self._learn()
-        counts = np.add.reduceat(np.append(self.count[at], 0), np.minimum(np.cumsum(sizes) - sizes, len(at))) if len(texts) else sizes
+        now = self.now
+        counts = np.add.reduceat(np.append(now.count[at], 0), np.minimum(np.cumsum(sizes) - sizes, len(at))) if len(texts) else sizes
         counts = np.where(sizes > 0, counts, 0).astype(np.int64)
-        if self.spaces and len(at) and self.odd[at].any():
+        if self.spaces and len(at) and now.odd[at].any():
             rows = np.repeat(np.arange(len(texts)), sizes)
-            whole |= set(rows[self.odd[at]].tolist())
-        per = self.count[at].astype(np.int64)
-        total = int(per.sum())
-        ids = self.ids[np.repeat(self.start[at] - (np.cumsum(per) - per), per) + np.arange(total)]
+            whole |= set(rows[now.odd[at]].tolist())
+        ids, _ = now.take(at)
         if whole:
             ends = np.cumsum(counts)
             parts, last = [], 0
@@ -148,9 +193,10 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: bool, entries: int) -> Encoder:
-    """One encoder in each Python worker, kept between tasks; an entry of its cache takes about 200 bytes."""
-    key = (path, spaces, entries)
+def encoder(path: str, spaces: bool, cache_bytes: int) -> Encoder:
+    """One encoder in each Python worker, kept between tasks; its cache takes twice cache_bytes at most, and what one call learns."""
+    key = (path, spaces, cache_bytes)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaces, entries)
+        _encoders.clear()
+        _encoders[key] = Encoder(path, spaces, cache_bytes)
     return _encoders[key]

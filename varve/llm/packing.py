@@ -46,7 +46,11 @@ class Block:
         return int(min(residual[0], self.tokens[item] - start, free + residual[2]))
 
     def pack(self) -> list[list[tuple[int, int, int]]]:
-        """Bins of (item, start, length)."""
+        """Bins of (item, start, length).
+
+        Items of equal demand form a class, and a pick looks at classes, of
+        which there are far fewer than short items.
+        """
         bins: list[list[tuple[int, int, int]]] = []
         start = np.zeros(len(self.tokens), np.int64)
         live = np.flatnonzero(self.tokens > 0)
@@ -57,40 +61,52 @@ class Block:
                 start[i] += length
                 if length < self.caps[0]:
                     break
-        demand = np.ones((len(self.tokens), 3), np.int64)
-        demand[:, 0] = self.tokens - start
-        demand[:, 2] = np.maximum(0, self.tokens - np.maximum(start, self.loss_from))
-        weight = demand[live].mean(axis=0) / self.caps**2 if len(live) else np.zeros(3)
-        alive = np.zeros(len(self.tokens), bool)
-        alive[live] = True
-        while alive.any():
-            if len(live) > 2 * alive.sum() + 16:
-                live = live[alive[live]]
+        demand = np.ones((len(live), 3), np.int64)
+        demand[:, 0] = (self.tokens - start)[live]
+        demand[:, 2] = np.maximum(0, self.tokens - np.maximum(start, self.loss_from))[live]
+        weight = demand.mean(axis=0) / self.caps**2 if len(live) else np.zeros(3)
+        kinds, which = np.unique(demand, axis=0, return_inverse=True)
+        which = which.ravel()
+        stacks = [part.tolist() for part in np.split(live[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which, minlength=len(kinds)))[:-1])] if len(live) else []
+        place = {tuple(k): c for c, k in enumerate(kinds.tolist())}
+        waiting = np.array([len(x) for x in stacks], np.int64)  # items of each class
+        while waiting.any():
+            if len(waiting) > 2 * np.count_nonzero(waiting) + 64:
+                on = np.flatnonzero(waiting)
+                kinds, waiting, stacks = kinds[on], waiting[on], [stacks[c] for c in on.tolist()]
+                place = {tuple(k): c for c, k in enumerate(kinds.tolist())}
             residual, content = self.caps.copy(), []
             while residual[0] > 0 and residual[1] > 0:
-                own = demand[live]
-                fits = alive[live] & (own <= residual).all(axis=1)
+                fits = (waiting > 0) & (kinds <= residual).all(axis=1)
                 if residual[1] == 1:  # the last segment has to fill the sequence
-                    fits &= own[:, 0] == residual[0]
+                    fits &= kinds[:, 0] == residual[0]
                 if fits.any():
-                    best = int(live[np.argmax(np.where(fits, own @ (weight * residual), -1.0))])
-                    content.append((best, int(start[best]), int(demand[best, 0])))
-                    residual -= demand[best]
-                    alive[best] = False
+                    best = int(np.argmax(np.where(fits, kinds @ (weight * residual), -1.0)))
+                    item = stacks[best].pop()
+                    content.append((item, int(start[item]), int(kinds[best, 0])))
+                    residual -= kinds[best]
+                    waiting[best] -= 1
                     continue
-                left = live[alive[live]]
-                if not len(left):
+                if not waiting.any():
                     break
-                best = int(left[np.argmax(demand[left, 0])])
-                length = self._room(best, int(start[best]), residual)
+                best = int(np.argmax(np.where(waiting > 0, kinds[:, 0], -1)))
+                item = stacks[best][-1]
+                length = self._room(item, int(start[item]), residual)
                 if length <= 0:
                     break
-                content.append((best, int(start[best]), length))
-                residual -= (length, 1, self._loss(best, int(start[best]), int(start[best]) + length))
-                start[best] += length
-                demand[best, 0] -= length
-                demand[best, 2] = self._loss(best, int(start[best]), int(self.tokens[best]))
-                alive[best] = demand[best, 0] > 0
+                stacks[best].pop()
+                waiting[best] -= 1
+                content.append((item, int(start[item]), length))
+                residual -= (length, 1, self._loss(item, int(start[item]), int(start[item]) + length))
+                start[item] += length
+                left = (int(self.tokens[item] - start[item]), 1, self._loss(item, int(start[item]), int(self.tokens[item])))
+                if left[0] > 0:  # what is left joins the class of its demand
+                    if left not in place:
+                        place[left] = len(stacks)
+                        kinds, waiting = np.vstack([kinds, left]), np.append(waiting, 0)
+                        stacks.append([])
+                    stacks[place[left]].append(item)
+                    waiting[place[left]] += 1
             bins += self._even(content)
         return bins
 
@@ -114,7 +130,7 @@ class Block:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
     """Packs ``docs`` (doc_id, text) into sequences; a row of SCHEMA for each piece.
 
     Each document is its ids by the tokenizer, then ``end_id``. ``loss_column``:
@@ -131,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_co
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", block_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            bare, counts = encoder(path, True, cache).encode(texts)
+            bare, counts = encoder(path, True, cache_bytes).encode(texts)
             tokens = counts + 1
             first = np.cumsum(tokens) - tokens
             ids = np.full(int(tokens.sum()), end_id, "<u4")

@@ -9,10 +9,9 @@ whose pair may hold earlier rules. Symbols never cross a document's end, so a
 document is decoded from its own symbols alone, and expansion lengths tell
 where an id lies without expanding what comes before it.
 
-Re-Pair works in rounds: each counts adjacent pairs, gives the most frequent
-ones (those of at least one in ``share`` places) rules, and replaces their
-occurrences, the more frequent pair first where two overlap, until no pair is
-frequent enough or ``rounds`` are over.
+Re-Pair works in rounds: each counts adjacent pairs exactly, gives all frequent
+ones rules, and replaces their occurrences, the more frequent pair first where
+two overlap, until no pair is left that is frequent and pays for its rule.
 """
 
 from __future__ import annotations
@@ -35,38 +34,52 @@ FILE_SCHEMA = "shard int, block int, first_doc long, n_docs long, n_tokens long,
 _BUCKETS = 20
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 6, share: int = 40000, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rule pairs, expansion lengths) of ids, of which each document has counts[i]."""
+def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, pair of each place, pairs, counts): where pairs stand that occur ``often`` times or more; ``last`` marks the documents' last symbols.
+
+    Pairs are counted by hash buckets first; those in heavy buckets exactly.
+    """
+    a, b = seq[:-1], seq[1:]
+    # other factors in each round, so pairs that share a bucket in one are apart in the next
+    bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)
+    heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS) >= often)
+    slot = np.full(1 << _BUCKETS, -1, np.int32)
+    slot[heavy] = np.arange(len(heavy))
+    which = slot[bucket]
+    at = np.flatnonzero((which >= 0) & ~last[:-1])
+    which = which[at]
+    key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+    pairs = np.zeros(len(heavy), np.uint64)
+    pairs[which[::-1]] = key[::-1]  # the first pair of a bucket
+    other = np.flatnonzero(pairs[which] != key)
+    if len(other):  # the others of the bucket get places of their own
+        more, place = np.unique(key[other], return_inverse=True)
+        which[other] = len(pairs) + place
+        pairs = np.concatenate([pairs, more])
+    counts = np.bincount(which, minlength=len(pairs))
+    good = counts[which] >= often
+    return at[good], which[good], pairs, counts
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rule pairs, expansion lengths) of ids, of which each document has counts[i].
+
+    A pair is frequent with ``least`` occurrences, and one in ``share`` places;
+    a rule that would be used fewer than ``pays`` times is not made.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[(np.cumsum(counts) - 1)[counts > 0]] = True
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    for turn in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        a, b = seq[:-1], seq[1:]
-        # other factors in each round, so pairs that share a bucket in one are apart in the next
-        bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)
-        heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS) >= max(least, len(seq) // share))
-        if not len(heavy):
-            break
-        slot = np.full(1 << _BUCKETS, -1, np.int32)
-        slot[heavy] = np.arange(len(heavy))
-        which = slot[bucket]
-        at = np.flatnonzero((which >= 0) & ~last[:-1])
-        which = which[at]
-        key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        pairs = np.zeros(len(heavy), np.uint64)
-        pairs[which[::-1]] = key[::-1]  # the first pair of a bucket; another one there waits for the next round
-        own = pairs[which] == key
-        at, which = at[own], which[own]
-        often = np.bincount(which, minlength=len(pairs))
-        good = often[which] >= least
-        at, which = at[good], which[good]
+    often = max(least, len(seq) // share)
+    turn = 0
+    while len(seq) >= 2 * least:
+        at, which, pairs, weight = _frequent(seq, last, turn, often)
+        turn += 1
         if not len(at):
             break
-        weight = often[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
+        weight = weight[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
         touch = np.diff(at) == 1
         run = np.append(True, ~touch | (weight[1:] != weight[:-1]))
         begins = np.flatnonzero(run)
@@ -74,8 +87,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 6, sh
         clash = np.flatnonzero(touch & run[1:] & beats[:-1] & beats[1:])
         beats[np.where(weight[clash] < weight[clash + 1], clash, clash + 1)] = False
         at, which = at[beats], which[beats]
-        used = np.bincount(which, minlength=len(pairs))
-        keep = used >= 8
+        keep = np.bincount(which, minlength=len(pairs)) >= pays
         if not keep.any():
             break
         number = np.cumsum(keep) - 1 + base + len(lengths)
@@ -86,15 +98,11 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = 6, sh
         added = size(left) + size(right)
         rules.append(np.stack([left, right], 1))
         lengths = np.concatenate([lengths, added])
-        seq = seq.copy()
         seq[at] = number[which].astype(np.uint32)
-        last = last.copy()
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        if len(at) * 50 < len(seq):
-            break
     symbols = np.zeros(len(counts), np.int64)
     ends = np.flatnonzero(last) + 1
     symbols[counts > 0] = np.diff(ends, prepend=0)
@@ -162,7 +170,7 @@ class Block:
         return expand(self.symbols, self.rule_ids, self.rule_start, self.lengths, self.base)
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache: int = 1_200_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the file table to the shared folder; returns it as read back.
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
@@ -175,7 +183,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
         shard, block = TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", block_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            bare, counts = encoder(path, False, cache).encode(texts)
+            bare, counts = encoder(path, False, cache_bytes).encode(texts)
             tokens = counts + 1
             ids = np.full(int(tokens.sum()), end_id, np.uint32)
             ids[np.arange(len(bare)) + np.repeat(np.arange(len(texts)), counts)] = bare
