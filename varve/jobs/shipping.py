@@ -10,11 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Bytes that a Python worker gets at once, unless the application sets it; Spark's own bound of rows lets long texts fill a batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Once for each application: a zip of the package's sources."""
+    """Once for each application: a zip of the package's sources. Bounds the batches that Python workers get."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId in _sent:
         return
     root = Path(__file__).resolve().parents[1]
