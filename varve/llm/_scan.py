@@ -39,7 +39,7 @@ def _power(which: str, n: int) -> np.ndarray:
         base = np.full(size, _BASE if which == "up" else _BASE_INV, np.uint64)
         base[0] = 1
         have = np.cumprod(base)
-        if size <= 1 << 24:
+        if size == 1 << 20:  # a longer text's are not kept
             _powers[which] = have
     return have[:n]
 
@@ -55,7 +55,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about ``limit`` bytes of ``column``, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
