@@ -48,6 +48,14 @@ def test_copies_of_a_query_take_no_places(spark):
     assert searched(spark, rows, "vec_id = 0", bits=14) == want
 
 
+def test_search_in_many_passes_with_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as query_id", "2 as block", "3 as score")
+    got = bit_slices.search(bit_slices.index(df, rows=50), df.where("vec_id % 20 = 0"), group_bytes=100).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == best(rows, lambda i: i % 20 == 0)
+
+
 @pytest.fixture(scope="module")
 def placed(spark):
     rng = np.random.default_rng(2)
@@ -77,6 +85,35 @@ def test_shards_of_odd_tables(spark):
     assert {r.shard for r in kd_shards.kd_shards(df, None, target_bytes=10**6).collect()} == {0}
 
 
+def test_light_groups_stay_whole_and_heavy_ones_part(spark):
+    r = np.random.default_rng(6)
+    texts = ["".join(r.choice(list("abcdé "), int(n))) for n in r.lognormal(5, 0.7, 800)]
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(7, "one row again and again " * 10)] * 900 + [(5000, "long " * 3000)]
+    got = kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 20).collect()
+    shards, load, total = {}, {}, sum(x["size"] for x in got)
+    for x in got:
+        shards.setdefault((x.text_crc32, x["size"]), []).append(x.shard)
+        load[x.shard] = load.get(x.shard, 0) + x["size"]
+    assert all(len(set(s)) == 1 for (_, n), s in shards.items() if n * len(s) <= 0.08 * total / 20)
+    # a cut lies off by half a group that stays whole, or by the one long text
+    assert max(load.values()) <= 1.1 * total / 20 + 15016 and len(got) == len(rows)
+    assert len(set(shards[zlib.crc32(("one row again and again " * 10).encode()), 256])) > 1
+
+
+def test_cut_is_the_weighted_quantile(spark):
+    """The root's cut against all prefixes of the sorted rows."""
+    r = np.random.default_rng(7)
+    rows = [(int(i), int(s), 0, int(h), int(d), int(v), 0, 1) for i, (s, h, d, v) in enumerate(zip(r.integers(16, 900, 500), r.integers(0, 1 << 60, 500), r.integers(0, 1 << 36, 500), r.integers(0, 40, 500)))]
+    df = spark.createDataFrame(rows, "doc_id long, size long, crc long, h long, d long, v0 long, v1 long, node long")
+    total = sum(x[1] for x in rows)
+    for share in (0.5, 0.3):
+        cut = kd_shards.Cut(0, total * share)
+        kd_shards._find(df, {1: cut}, 0.0, 0.0)
+        before = sum(x[1] for x in rows if (x[5], x[3], x[4]) < tuple(cut.value.values()))
+        at = np.append(0, np.cumsum([x[1] for x in sorted(rows, key=lambda x: (x[5], x[3], x[4]))]))
+        assert abs(before - total * share) == np.abs(at - total * share).min()
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (301, 300)]
@@ -109,5 +146,18 @@ def test_chain_on_held_out_documents(spark):
     assert np.mean([g for g, y in hits if y]) >= 0.95 and np.mean([g for g, y in hits if not y]) <= 0.02
     assert got[9002].toxic and not got[9000].toxic and got[9000].n_words == 0
     assert len(chain[1].earlier) == 1 and len(chain[2].earlier) == 2
+    # the chain against its formula, a link at a time
+    scored = got[700]
+    words = [w for w in rows[700][1].lower().split()]
+    counts = {}
+    for w in words:
+        for f in toxicity.features_of(w):
+            counts[f] = counts.get(f, 0) + 1
+    p = []
+    for link, name in zip(chain, names):
+        x = sum(float(w) * (0.5 + 0.5 * min(1.0, 100 * counts[int(f)] / len(words))) for f, w in zip(link.columns, link.weights) if int(f) in counts)
+        p.append(1 / (1 + np.exp(-(x + sum(4.0 * (q - 0.5) * float(e) for q, e in zip(p, link.earlier)) + link.bias))))
+        assert abs(scored[f"p_{name}"] - p[-1]) < 1e-5 and scored[name] == (scored[f"p_{name}"] >= link.threshold)
+    assert toxicity.score(docs.union(docs.where("doc_id < 5")), chain, names).count() == 908
     none = toxicity.score(docs, toxicity.train(docs, marks.limit(0)), names)
     assert {(r.p_toxic, r.toxic) for r in none.collect()} == {(0.0, False)} and toxicity.score(docs.limit(0), chain, names).count() == 0

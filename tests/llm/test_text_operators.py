@@ -58,6 +58,43 @@ def test_viterbi_is_the_best_path():
             assert tuple(got[a:b]) == max(paths, key=lambda p: score(p, a))
 
 
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(2)
+    features, first = rng.normal(size=(9, 3)), np.array([0, 4, 5, 9])
+    place = np.full((4, 3), -1)
+    for i in range(3):
+        place[: first[i + 1] - first[i], i] = np.arange(first[i], first[i + 1])
+    gold, scale, params = rng.integers(0, 2, 9), rng.random(3) + 0.5, rng.normal(size=9)
+    f = lambda p: line_quality.Field.likelihood(p, features, gold[np.maximum(place, 0)], place >= 0, np.maximum(place, 0), scale)
+    value, grad = f(params)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-5
+        assert abs((f(params + step)[0] - f(params - step)[0]) / 2e-5 - grad[k]) < 1e-6
+    # against the sum over all labellings
+    want = 0.0
+    for i in range(3):
+        own = range(first[i], first[i + 1])
+        score = lambda path: params[7 + path[0]] + sum(params[3 + 2 * p + q] for p, q in zip(path, path[1:])) + sum(c * (features[k] @ params[:3]) for c, k in zip(path, own))  # noqa: B023, E731
+        paths = [tuple(int(c) for c in np.binary_repr(k, len(own))) for k in range(1 << len(own))]
+        want += scale[i] * (score(tuple(gold[list(own)])) - np.log(sum(np.exp(score(p)) for p in paths)))
+    assert abs(value - want) < 1e-9
+
+
+def test_boilerplate_within_a_good_document(spark):
+    r = random.Random(8)
+    line = lambda: " ".join(r.choice("cat sat mat dog ran far home day sun".split()) for _ in range(12)) + "."
+    junk = lambda: " | ".join(r.choice("BUY NOW FREE CLICK".split()) + "##" for _ in range(6)) + " !!"
+    rows, labels = [], []
+    for i in range(150):
+        lines = [junk() if i % 3 == 0 or k in (3, 4) and i % 2 else line() for k in range(60)]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 3 != 0), 0))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in line_quality.judge(docs, line_quality.train(docs, marks)).collect()}
+    for i in range(121, 150):
+        assert got[i].content_lines == (0 if i % 3 == 0 else 58 if i % 2 else 60)
+
+
 def test_field_learns_lines_and_judges(spark):
     good = ["The cat sat on the mat and slept all day long.\nIt was quite warm, and nobody came to see it at all."] * 1
     rows, labels = [], []
@@ -76,8 +113,8 @@ def test_field_learns_lines_and_judges(spark):
     assert not got[9000].kept and got[9000].n_words == 0 and got[9004].base_failed
     assert sorted(r.doc_id for r in line_quality.retained(docs, field).collect()) == sorted(i for i, r in got.items() if r.kept)
     assert line_quality.train(docs, marks.limit(0)) is None and line_quality.judge(docs.limit(0), None).count() == 0
-    extra = docs.selectExpr("doc_id", "text", "1 as n_words", "'x' as kept")
-    assert line_quality.judge(extra, None).count() == len(rows)
+    extra = docs.union(docs.where("doc_id < 3")).selectExpr("doc_id", "text", "1 as n_words", "'x' as kept")
+    assert line_quality.judge(extra, None).count() == len(rows) + 3 == line_quality.retained(extra, None).count() + line_quality.judge(extra, None).where("not kept").count()
 
 
 def joined(df, **k):
@@ -107,10 +144,18 @@ def test_near_duplicates_of_odd_rows(spark):
     many = "one two three four five six seven"
     rows = [(1, many), (1, many), (2, many.upper()), (None, many), (3, None)]
     df = frame(spark, rows).selectExpr("doc_id", "text", "7 as id", "'r' as rep", "1 as n_shingles")
-    assert joined(df) == {1: (3, 1), 2: (3, 1), 3: (0, 3)}
+    assert joined(df) == {1: (3, 1), 2: (3, 1), 3: (0, 3), None: (3, None)}
     assert joined(df.limit(0)) == {}
 
 
+def test_a_repeated_id_is_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, None), (4, b), (5, b)]
+    got = ngram_join.join(frame(spark, rows)).collect()
+    # the smallest text stands for the document; a null one before all others
+    assert sorted(tuple(r) for r in got) == [(1, 26, 1), (2, 26, 1), (3, 36, 3), (4, 0, 4), (5, 36, 3)]
+
+
 def removed(df, **k):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(substring_dedup.dedup(df, **k)).collect()}
 
@@ -180,6 +225,36 @@ def test_pseudonyms(spark):
     assert out[8] is None and out[9] == "" and got[8].n_chars is None and got[7].n_chars == len(out[7])
 
 
+def test_pseudonyms_against_plain_python(spark):
+    import datetime
+    import hashlib
+
+    def feistel(x, a, b, tweak):
+        l, r = divmod(x, b)
+        digest = lambda i, half: int(hashlib.sha256(f"k:{tweak}:{i}:{half}".encode()).hexdigest()[:15], 16)
+        for i in range(10):
+            l, r = ((l + digest(i, r)) % a, r) if i % 2 == 0 else (l, (r + digest(i, l)) % b)
+        return l * b + r
+
+    def card(d):
+        body = f"{feistel(int(d[:-1]), 10 ** (len(d) // 2), 10 ** ((len(d) - 1) // 2), 'card'):0{len(d) - 1}d}"
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def day(y, m, d):
+        return datetime.date(1900, 1, 1) + datetime.timedelta(feistel((datetime.date(y, m, d) - datetime.date(1900, 1, 1)).days, 17, 4297, "date"))
+
+    phone = f"{feistel(2125551212, 10**5, 10**5, 'phone'):010d}"
+    ip = feistel((97 << 24) + (51 << 16) + (17 << 8) + 173, 65536, 65536, "ip")
+    v = feistel((122 * 99 + 44) * 9999 + 6788, 898 * 99, 9999, "ssn")
+    area = v // 989901 + 1
+    want = [card("4845168114407329"), day(1984, 2, 29).isoformat(), f"{phone[:3]}-{phone[3:6]}-{phone[6:]}", ".".join(str(ip >> s & 255) for s in (24, 16, 8, 0)), f"{area + (area > 665):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}", day(2020, 1, 2).isoformat() + "T03:04:05"]
+    rows = ["4845168114407329", "1984-02-29", "212-555-1212", "97.51.17.173", "123-45-6789", "2020-01-02T03:04:05"]
+    df = spark.createDataFrame([*enumerate(rows), *enumerate(rows), (None, rows[0])], SCHEMA)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in pseudonyms.pseudonymise(df, "k").collect())
+    assert got == sorted([*enumerate(want), *enumerate(want), (-1, want[0])])
+    assert pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_the_permutation_is_one(spark):
     for a, b in ((17, 43), (10, 100), (1, 7)):
         sql = pseudonyms.feistel("id", a, b, "t").replace("{key}", "'k'")

@@ -97,7 +97,7 @@ def test_grammar_round_trip_and_random_access():
     ids = rng.choice(8, int(counts.sum()), p=[0.4, 0.3, 0.1, 0.05, 0.05, 0.05, 0.03, 0.02]).astype(np.uint32)
     seq, symbols, rules, lengths = repair.compress(ids, counts, 100, least=8)
     assert len(rules) and len(seq) < len(ids) and symbols.sum() == len(seq)
-    block = repair.Block({"base": 100, "width": 4, "doc_ids": np.arange(80).astype("<i8").tobytes(), "doc_tokens": counts.astype("<u4").tobytes(), "doc_symbols": symbols.astype("<u4").tobytes(), "symbols": seq.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(), "expansions": lengths.astype("<u4").tobytes()})
+    block = repair.Shard({"base": 100, "width": 4, "doc_ids": np.arange(80).astype("<i8").tobytes(), "doc_tokens": counts.astype("<u4").tobytes(), "doc_symbols": symbols.astype("<u4").tobytes(), "symbols": seq.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(), "expansions": lengths.astype("<u4").tobytes()})
     assert (block.all() == ids).all()
     ends = np.cumsum(counts)
     for i in range(80):
@@ -173,3 +173,28 @@ def test_packing_under_all_limits():
             assert s == at
             at += n
         assert at == t
+
+
+def test_packing_of_repeats_ties_and_prompts(spark):
+    rows = [(1, "one two three " * 40, "one two")] * 30 + [(2, "", ""), (2, None, None), (3, "word " * 9000, "word " * 8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt string").repartition(2)
+    got = packing.pack(df, prompt_column="prompt", max_segments=5, max_loss=600).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0) and sum(r.start == 0 for r in got) == len(rows)
+    for part in by.values():
+        assert len(part) <= 5 and sum(r.length for r in part) <= 1024 and sum(r.loss_tokens for r in part) <= 600
+    assert sum(r.loss_tokens for r in got if r.doc_id == 3) == 1001  # 1000 words and the end
+
+
+def test_packing_of_short_items_takes_classes():
+    tokens = np.random.default_rng(3).integers(2, 6, 20000)
+    bins = packing.Block(tokens, np.zeros(20000, np.int64), 1024, 512).pack()
+    assert sum(x[2] for c in bins for x in c) == tokens.sum() and sum(sum(x[2] for x in c) < 1024 for c in bins) <= 10
+
+
+def test_byte_bpe_of_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], SCHEMA).selectExpr("*", "1 as n_tokens", "'x' as bytes", "2 as ends")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in byte_bpe.digests(byte_bpe.encode(df)).collect())
+    assert got == [(0, 0), (1, 2), (1, 2), (2, 0)]

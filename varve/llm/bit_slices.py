@@ -10,8 +10,9 @@ significant slice of the result downward. The low bits that the index leaves
 out bound how far a score can lie from its sum; all rows within that bound of
 the k-th are the boundary, whose scores are computed exactly.
 
-Queries meet blocks in groups of bounded size: a block is sent once for each
-group of ``group`` queries, and a group once to each block.
+Queries are broadcast in groups of bounded size. The index stays where it is:
+for each group a pass goes over its blocks, and only the k best rows of each
+query and block move. Queries beyond all groups' bound make more passes.
 """
 
 from __future__ import annotations
@@ -56,11 +57,12 @@ def _matrix(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index(vectors: DataFrame, bits: int = 5, rows: int = 32768, scale: float = 256.0) -> DataFrame:
+def index(vectors: DataFrame, bits: int = 5, rows: int = 8192, scale: float = 256.0) -> DataFrame:
     """INDEX_SCHEMA rows, a block each, of ``vectors`` (vec_id, embedding).
 
     Vectors that are null or hold a null or non-finite component take no part,
-    nor do those without a vec_id.
+    nor do those without a vec_id. Repeated rows are indexed each; an empty
+    table gives no block; other columns are ignored.
     """
 
     def block(number: int, ids: np.ndarray, x: np.ndarray) -> dict:
@@ -219,37 +221,50 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[rank < k], ids[rank < k], score[rank < k]
 
 
-def search(blocks: DataFrame, queries: DataFrame, k: int = 5, group: int = 8192, scale: float = 256.0) -> DataFrame:
+def search(blocks: DataFrame, queries: DataFrame, k: int = 5, group_bytes: int = 32 << 20, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id and score: the k best rows for each of ``queries`` (vec_id, embedding), ties to the smaller vec_id.
 
     A row does not match itself (the same vec_id). Of repeated query ids the
     smallest vector is the query; repeated rows in the index each take part.
-    Scores beyond a long are held at its ends. Without queries or rows there
-    is no result.
+    Vectors of other lengths end in zeros. Scores beyond a long are held at its
+    ends. Without queries or rows there is no result; other columns are
+    ignored. blocks: of index(), best a kept table. ``group_bytes`` bounds the
+    queries that are broadcast at once.
     """
+    spark = blocks.sparkSession
     asked = queries.where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    groups = max(1, -(-asked.count() // group))
-    numbers = [r[0] for r in blocks.select("block").collect()]  # one number for each block of up to 32768 rows
-    if not numbers:
-        numbers = [-1]
-    sent = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("q_group")).withColumn("q_block", F.explode(F.array(*[F.lit(b) for b in numbers])) if len(numbers) <= 256 else F.explode(F.lit(numbers)))
-    held = blocks.withColumn("b_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            ids, rows = quantised(right.select(["query_id", "query"]).rename_columns(["vec_id", "embedding"]).combine_chunks().to_batches()[0], scale)
-            found = top({c: left.column(c)[0].as_py() for c in left.column_names}, ids, _matrix(rows), k)
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ([], [], []))]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
-
-    pairs = held.groupBy("block", "b_group").cogroup(sent.groupBy("q_block", "q_group")).applyInArrow(run, "query_id long, vec_id long, score long")
+    asked = kept(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    count, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    groups = max(1, -(-count * (8 * (longest or 0) + 8) // group_bytes))
+    schema = "query_id long, vec_id long, score long"
+    names = blocks.columns
+
+    def one_pass(which: int) -> DataFrame:
+        table = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == which).toArrow().combine_chunks()
+        ids, rows = quantised(table.to_batches()[0], scale) if table.num_rows else (np.zeros(0, np.int64), [])
+        sent = spark.sparkContext.broadcast((ids, _matrix(rows)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                for i in range(batch.num_rows if len(ids) else 0):
+                    found = top({c: batch.column(c)[i].as_py() for c in names}, ids, q, k)
+                    cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+
+        # a block is a lot of work and few bytes, so blocks are dealt out one by one
+        return blocks.repartition(max(1, number)).mapInArrow(run, schema)
+
+    number = min(blocks.count(), 4096)
+    pairs = one_pass(0)
+    for which in range(1, groups):
+        pairs = pairs.union(one_pass(which))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every vector whose vec_id is divisible by 50. Nulls, repeats and empty tables: see search()."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(kept(index(vectors), "bsi"), vectors.where("vec_id % 50 = 0"))
 

@@ -175,5 +175,22 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_kd_shards": op6_kd_shards}
-SQL: dict[str, str] = {}
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op6_kd_shards: rows and bytes in all, shards within a tenth and one row of their mean, slots without gaps, light groups of equal texts whole."""
+    rows = kept(op6_kd_shards(spark, sf_dir), "balance")
+    per = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    even = per.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_shards"), F.expr("bool_and(low = 0 and high = n - 1)").alias("gapless"), F.expr("max(bytes) <= 1.1 * avg(bytes) + max(longest)").alias("balanced"))
+    groups = rows.groupBy("text_crc32", "size").agg(F.sum("size").alias("group_bytes"), F.expr("max(shard) = min(shard)").alias("one"))
+    total = F.broadcast(rows.agg(F.sum("size").alias("all_bytes")))
+    whole = groups.join(total).agg(F.expr("bool_and(one or group_bytes > 0.08 * all_bytes / 40)").alias("groups_whole"))
+    return even.join(F.broadcast(whole))
+
+
+QUERIES = {"op6_kd_shards": op6_kd_shards, "shard_balance": shard_balance}
+#: The columns of op6_kd_shards need crc32, which SQL lacks.
+SQL = {
+    "shard_balance": """
+WITH s AS (SELECT octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(size) AS BIGINT) AS bytes, CAST(40 AS BIGINT) AS n_shards, TRUE AS gapless, TRUE AS balanced, TRUE AS groups_whole FROM s
+"""
+}

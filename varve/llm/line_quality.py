@@ -1,9 +1,12 @@
 """Line sequence labelling for quality: a linear-chain conditional random field marks lines as content or boilerplate.
 
-The field is fitted on a bounded sample of labelled documents (``sample``
-documents, ``sample_lines`` lines of each), every line taking its document's
-label. Viterbi decoding then labels the lines of all documents, and the share
-of a document's words in content lines decides whether it stays.
+The field is fitted on a bounded sample of labelled documents, cut into
+segments of lines. In a document of bad quality every line is boilerplate; in a
+good one the lines that repeat an earlier one, or are mostly symbols, bars or
+digits, are boilerplate too, so the labels change within documents and the
+field learns when they do. Viterbi decoding then labels the lines of all
+documents, and the share of a document's words in content lines decides whether
+it stays.
 """
 
 from __future__ import annotations
@@ -117,46 +120,60 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray, begin: np.ndarray):
         self.weights, self.moves, self.begin = weights, moves, begin
 
+    @staticmethod
+    def likelihood(params: np.ndarray, features: np.ndarray, gold: np.ndarray, real: np.ndarray, at: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray]:
+        """The weighted log likelihood of sequences side by side and its gradient.
+
+        ``at`` has the line at each step of each sequence, ``real`` where there
+        is one, ``gold`` its label, ``scale`` each sequence's weight.
+        """
+        longest, n = real.shape
+        d = features.shape[1]
+        w, moves, begin = params[:d], params[d : d + 4].reshape(2, 2), params[d + 4 :]
+        emit = np.zeros((longest, n, 2))
+        emit[:, :, 1] = (features @ w)[at]
+        emit[~real] = 0
+        alpha = np.empty((longest, n, 2))
+        alpha[0] = begin + emit[0]
+        for t in range(1, longest):
+            alpha[t] = np.where(real[t][:, None], np.logaddexp(alpha[t - 1][:, :1] + moves[0], alpha[t - 1][:, 1:] + moves[1]) + emit[t], alpha[t - 1])
+        beta = np.zeros((longest, n, 2))
+        pair = np.zeros((2, 2))
+        norm = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
+        for t in range(longest - 1, 0, -1):
+            after = moves[None] + (emit[t] + beta[t])[:, None, :]
+            joint = np.exp(alpha[t - 1][:, :, None] + after - norm[:, None, None]) * (real[t] * scale)[:, None, None]
+            pair += joint.sum(axis=0)
+            beta[t - 1] = np.where(real[t][:, None], np.logaddexp(after[:, :, 0], after[:, :, 1]), beta[t])
+        p = np.exp(alpha + beta - norm[None, :, None]) * (real * scale)[:, :, None]
+        miss = np.bincount(at[real], weights=((gold * scale)[real] - p[:, :, 1][real]), minlength=len(features))
+        seen = np.zeros((2, 2))
+        both = real[1:]
+        np.add.at(seen, (gold[:-1][both], gold[1:][both]), np.broadcast_to(scale, both.shape)[both])
+        first = np.array([scale[gold[0] == y].sum() for y in (0, 1)])
+        grad = np.concatenate([features.T @ miss, (seen - pair).ravel(), first - p[0].sum(axis=0)])
+        value = float((emit[:, :, 1] * gold * scale)[real].sum() + (seen * moves).sum() + (first * begin).sum() - (scale * norm).sum())
+        return value, grad
+
     @classmethod
-    def fit(cls, features: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds: int = 120, penalty: float = 1e-3) -> Field:
+    def fit(cls, features: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds: int = 150, penalty: float = 1e-5, mixed_weight: float = 8.0) -> Field:
         """Gradient ascent on the penalised likelihood; ``first`` has where each sequence starts, and the end."""
         n, longest = len(first) - 1, int(np.diff(first).max())
         place = np.full((longest, n), -1)
         for i in range(n):
             place[: first[i + 1] - first[i], i] = np.arange(first[i], first[i + 1])
         real, at = place >= 0, np.maximum(place, 0)
-        # both labels weigh the same in all
-        share = np.clip(np.array([(labels[first[:-1]] == y).sum() for y in (0, 1)]), 1, None) / n
-        scale = (0.5 / share)[labels[first[:-1]]]
+        # sequences of mostly content and the others weigh the same in all
+        kind = (np.add.reduceat(labels, first[:-1]) * 2 > np.diff(first)).astype(np.int64)
+        share = np.clip(np.array([(kind == y).sum() for y in (0, 1)]), 1, None) / n
+        total = np.add.reduceat(labels, first[:-1])
+        mixed = (total > 0) & (total < np.diff(first))  # the few that tell when labels change
+        scale = (0.5 / share)[kind] * np.where(mixed, mixed_weight, 1.0)
         params = np.zeros(features.shape[1] + 6)
         velocity, square = np.zeros_like(params), np.zeros_like(params)
-        gold = labels[at]
-        d = features.shape[1]
-        total = scale.sum() * longest**0.5
+        d, norm = features.shape[1], scale.sum() * longest**0.5
         for step in range(1, rounds + 1):
-            w, moves, begin = params[:d], params[d : d + 4].reshape(2, 2), params[d + 4 :]
-            emit = np.zeros((longest, n, 2))
-            emit[:, :, 1] = (features @ w)[at]
-            emit[~real] = 0
-            alpha = np.empty((longest, n, 2))
-            alpha[0] = begin + emit[0]
-            for t in range(1, longest):
-                alpha[t] = np.where(real[t][:, None], np.logaddexp(alpha[t - 1][:, :1] + moves[0], alpha[t - 1][:, 1:] + moves[1]) + emit[t], alpha[t - 1])
-            beta = np.zeros((longest, n, 2))
-            pair = np.zeros((2, 2))
-            norm = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-            for t in range(longest - 1, 0, -1):
-                after = moves[None] + (emit[t] + beta[t])[:, None, :]
-                joint = np.exp(alpha[t - 1][:, :, None] + after - norm[:, None, None]) * (real[t] * scale)[:, None, None]
-                pair += joint.sum(axis=0)
-                beta[t - 1] = np.where(real[t][:, None], np.logaddexp(after[:, :, 0], after[:, :, 1]), beta[t])
-            p = np.exp(alpha + beta - norm[None, :, None]) * (real * scale)[:, :, None]
-            miss = np.bincount(at[real], weights=((gold * scale)[real] - p[:, :, 1][real]), minlength=len(features))
-            seen = np.zeros((2, 2))
-            both = real[1:]
-            np.add.at(seen, (gold[:-1][both], gold[1:][both]), np.broadcast_to(scale, both.shape)[both])
-            start = np.array([scale[gold[0] == y].sum() for y in (0, 1)]) - p[0].sum(axis=0)
-            grad = np.concatenate([features.T @ miss, (seen - pair).ravel(), start]) / total - penalty * params
+            grad = cls.likelihood(params, features, labels[at], real, at, scale)[1] / norm - penalty * params
             velocity = 0.9 * velocity + 0.1 * grad
             square = 0.99 * square + 0.01 * grad**2
             params += 0.15 * (velocity / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -188,27 +205,40 @@ class Field:
         return labels
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: int = 48) -> Field | None:
-    """Fits the field on at most ``sample`` labelled documents, chosen by a hash of doc_id, and ``sample_lines`` lines of each.
+def line_labels(x: Lines, good: np.ndarray) -> np.ndarray:
+    """1 for content: lines of good documents, but for those that repeat an earlier one or are mostly symbols, bars or digits."""
+    f = {name: x.features[:, i] > 0 for name, i in (("symbols", 3), ("bars", 5), ("digits", 12), ("again", 24))}
+    return (good[x.row] & ~(f["symbols"] | f["bars"] | f["digits"] | f["again"])).astype(np.int8)
+
 
-    None if no document of both kinds is labelled.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, segment: int = 24, segments: int = 6000) -> Field | None:
+    """Fits the field on at most ``sample`` labelled documents, chosen by a hash of doc_id.
+
+    Their lines are cut into segments of ``segment``; if there are more than
+    ``segments``, a hash of document and place chooses. None if no document of
+    both kinds is labelled.
     """
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    schema = f"doc_id long, quality int, n int, features binary"
+    schema = "doc_id long, place int, quality int, labels binary, features binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            lines = Lines(part.column("text"))
-            data = [lines.features[a : min(b, a + sample_lines)].tobytes() for a, b in zip(lines.first, lines.first[1:], strict=False)]
-            n = np.minimum(np.diff(lines.first), sample_lines).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), pa.array(n), pa.array(data, pa.binary())], names=["doc_id", "quality", "n", "features"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, schema).limit(sample).toPandas().sort_values(["doc_id", "n"], kind="stable")
+            x = Lines(part.column("text"))
+            quality = part.column("quality").cast(pa.int32()).to_numpy()
+            gold = line_labels(x, quality > 0)
+            cuts = [(r, a, min(b, a + segment)) for r, (a0, b) in enumerate(zip(x.first.tolist(), x.first[1:].tolist(), strict=False)) for a in range(a0, b, segment)]
+            row = np.array([c[0] for c in cuts], np.int64)
+            place = np.array([c[1] for c in cuts], np.int64) - x.first[row]
+            columns = [part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(quality[row]), pa.array([gold[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([x.features[a:b].tobytes() for _, a, b in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "quality", "labels", "features"])
+
+    cut = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, schema)
+    rows = cut.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "labels", "features").limit(segments).toPandas()
     if rows.quality.gt(0).nunique() < 2:
         return None
     features = np.frombuffer(b"".join(rows.features), np.float32).reshape(-1, FEATURES)
-    first = np.append(0, np.cumsum(rows.n.to_numpy()))
-    return Field.fit(features, np.repeat((rows.quality.to_numpy() > 0).astype(np.int64), rows.n.to_numpy()), first)
+    first = np.append(0, np.cumsum([len(x) for x in rows.labels]))
+    return Field.fit(features, np.frombuffer(b"".join(rows.labels), np.int8).astype(np.int64), first)
 
 
 def _verdict(x: Lines, field: Field | None, content_share: float) -> list[np.ndarray]:
@@ -223,8 +253,9 @@ def _verdict(x: Lines, field: Field | None, content_share: float) -> list[np.nda
 def judge(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> DataFrame:
     """SCHEMA for each row of ``docs`` (doc_id, text).
 
-    A null or empty text has no words and fails. Without a field every line
-    counts as content. Repeated rows are judged each; other columns are ignored.
+    A null or empty text has no words and fails; a text of any length is judged
+    as a whole. Without a field every line counts as content. Repeated rows are
+    judged each; an empty table gives no row; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +268,7 @@ def judge(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> D
 
 
 def retained(docs: DataFrame, field: Field | None, content_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with all their columns."""
+    """The rows of ``docs`` that judge() keeps, with all their columns; repeated rows are judged each, an empty table stays empty."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +279,29 @@ def retained(docs: DataFrame, field: Field | None, content_share: float = 0.5) -
 
 
 def op7_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Nulls, repeats, long texts and empty tables: see judge()."""
     docs = documents(spark, sf_dir)
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {"op7_line_labels": op7_line_labels}
-SQL: dict[str, str] = {}
+def line_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7_line_labels that SQL can express, for every document."""
+    return judge(documents(spark, sf_dir), None).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op7_line_labels": op7_line_labels, "line_base_counts": line_base_counts}
+#: The field's verdict is not for SQL.
+SQL = {
+    "line_base_counts": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tri AS (SELECT r, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM tri) WHERE c > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 2)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, line, count(*) AS c FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+dup AS (SELECT r, sum(c - 1) AS n FROM lines GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(cover.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN dup USING (r) LEFT JOIN cover USING (r)
+"""
+}

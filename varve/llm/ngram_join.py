@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scan import U, Words, grams, mix, slices
-from ._tables import documents, kept, small_side
+from ._tables import documents, dropped, kept, small_side
 from .components import components
 
 #: N-grams in the prefixes of this many documents are frequent; at most FREQUENT_MOST of them, the commonest, go last. Only the order depends on these, not the result.
@@ -286,15 +286,35 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     return root
 
 
+def one_each(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with one row for each value of ``key``, that of the smallest text; only rows whose key comes again move."""
+    again = kept(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "again")
+    if not again.limit(1).count():
+        dropped(again)
+        return docs
+    again = small_side(again, "16")
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("row")
+    return docs.join(again, key, "left_anti").select(*docs.columns).union(docs.join(again, key, "left_semi").groupBy(key).agg(first).select("row.*"))
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80, block_grams: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of ``docs`` (doc_id, text).
 
     Texts of fewer than n words are one n-gram; null and wordless texts have an
-    empty set and link with nothing. Rows with one doc_id are taken as one
-    document, whose set is that of the smallest text; rows without a doc_id are
-    left out. Other columns are ignored.
+    empty set and link with nothing; a text of any length is one set. Rows with
+    one doc_id are taken as one document, whose set is that of the smallest
+    text (null before all); each row without a doc_id comes back with its size
+    and no component. An empty table gives no row; other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    base = one_each(every.where("id is not null"), "id")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(Sets(part.column("text"), n).size.astype(np.int64)), none], names=["doc_id", "n_shingles", "component_id"])
+
+    nameless = every.where("id is null").mapInArrow(alone, "doc_id long, n_shingles long, component_id long")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -403,7 +423,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, block_grams: int = 2_00
         whole = components(links).where("id <> root")
     sizes = shared.where("kind = 3").groupBy("id").agg(F.min("n").alias("n_shingles"))
     classed = members.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
-    return sizes.join(classed, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    dropped(left, prefixes, classes, fewer, groups, placed)
+    return sizes.join(classed, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).union(nameless)
 
 
 def _sweep(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -436,6 +457,7 @@ def _runs(value: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents. Nulls, repeats and empty tables: see join()."""
     return join(documents(spark, sf_dir))
 
 

@@ -22,10 +22,11 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._encode import encoder
 from ._scan import slices
-from ._tables import documents
+from ._tables import documents, kept
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_tokens long"
 
@@ -130,18 +131,19 @@ class Block:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, prompt_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
     """Packs ``docs`` (doc_id, text) into sequences; a row of SCHEMA for each piece.
 
     Each document is its ids by the tokenizer, then ``end_id``. ``loss_column``:
-    how many ids of a document bear no loss (its prompt); without it all bear
-    loss. A null or empty text is its end id alone; repeated rows are packed as
+    how many ids of a document bear no loss. ``prompt_column`` instead: a text
+    that the document begins with, whose ids bear none. Without either all bear
+    loss. A text of any length is cut into as many sequences as it takes. A null or empty text is its end id alone; repeated rows are packed as
     often as they come; an empty table gives no row; other columns are ignored.
     Sequences are numbered within a task of the scan, whose number is in the
     upper bits.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    columns = ["doc_id", "text", *([loss_column] if loss_column else [])]
+    columns = ["doc_id", "text", *(c for c in (loss_column, prompt_column) if c)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -152,7 +154,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_co
             first = np.cumsum(tokens) - tokens
             ids = np.full(int(tokens.sum()), end_id, "<u4")
             ids[np.arange(len(bare)) + np.repeat(np.arange(len(texts)), counts)] = bare
-            prompt = np.array([x or 0 for x in part.column(loss_column).to_pylist()], np.int64) if loss_column else np.zeros(len(texts), np.int64)
+            prompt = np.zeros(len(texts), np.int64)
+            if prompt_column:
+                prompt = encoder(path, True, cache_bytes).encode([t or "" for t in part.column(prompt_column).to_pylist()])[1]
+            elif loss_column:
+                prompt = np.array([x or 0 for x in part.column(loss_column).to_pylist()], np.int64)
             block = Block(tokens, prompt, max_tokens, max_segments, max_loss or max_tokens)
             rows: list[tuple] = []
             for content in block.pack():
@@ -169,8 +175,34 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_co
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 1024 tokens. Nulls, repeats, long texts and empty tables: see pack()."""
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op8_vector_packing": op8_vector_packing}
-SQL: dict[str, str] = {}
+def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op8_vector_packing: every document once and without gaps, sequences without gaps, within 1024 and little padded."""
+    rows = kept(op8_vector_packing(spark, sf_dir), "coverage")
+    docs = rows.groupBy("doc_id").agg(F.expr("sum(length) = max(doc_tokens) and min(start) = 0 and max(start + length) = max(doc_tokens) and count(distinct start) = count(*)").alias("whole"))
+    sequences = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.expr("min(offset) = 0 and max(offset + length) = sum(length) and count(distinct offset) = count(*)").alias("gapless"))
+    padded = F.expr("sum(IF(bit_count(n) = 1, 0, 1024 - n)) <= 0.05 * sum(n)")
+    found = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.expr("bool_and(whole)").alias("docs_whole"))
+    return found.join(F.broadcast(sequences.agg(F.expr("bool_and(gapless)").alias("sequences_gapless"), F.expr("max(n) <= 1024").alias("within"), padded.alias("little_padding"))))
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations under all three limits: turns before the last assistant's are its prompt and bear no loss. A row for each piece, as pack()."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
+    text = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    # turns of one conversation are few; a table of its own keeps a conversation's turns together
+    lines = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", text.alias("line")))).alias("t"))
+    last = F.expr("coalesce(array_max(transform(t, (x, i) -> IF(x.role = 'assistant', i, -1))), -1)")
+    parts = lines.select(F.col("conv_id").alias("doc_id"), "t", last.alias("last"))
+    joined = parts.selectExpr("doc_id", "array_join(transform(t, x -> x.line), '') AS text", "IF(last < 0, array_join(transform(t, x -> x.line), ''), array_join(transform(slice(t, 1, last), x -> x.line), '')) AS prompt")
+    return pack(joined, prompt_column="prompt", max_segments=16, max_loss=768)
+
+
+QUERIES = {"op8_vector_packing": op8_vector_packing, "packing_coverage": packing_coverage, "conversation_packing": conversation_packing}
+#: Token ids are not for SQL.
+SQL = {
+    "packing_coverage": "SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, TRUE AS docs_whole, TRUE AS sequences_gapless, TRUE AS within, TRUE AS little_padding FROM documents",
+}

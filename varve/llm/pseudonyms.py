@@ -28,7 +28,7 @@ from ._tables import documents
 _MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++"
 _SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])"
 _IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
-_DATE = r"(?<![\p{L}\p{N}\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4})(?![\p{L}\p{N}]|[\-/.]\d)"
+_DATE = r"(?<![\p{L}\p{N}\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4})(?!(?!T\d)[\p{L}\p{N}]|[\-/.]\d)"  # a time may follow, as in 2020-01-02T03:04
 _PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\2\d{4})(?![\p{L}\p{N}]|-\d)"
 _SSN = r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ \-])\d{4}\3\d{4}\3\d{4}|\d{4}([ \-])\d{6}\4\d{5})(?![\p{L}\p{N}])"
@@ -71,7 +71,8 @@ def replacement() -> str:
     digits = "regexp_replace(m, '[^0-9]', '')"
     secret = "substr(concat(sha2(concat({key}, ':secret:', m), 512), sha2(concat({key}, ':more:', m), 512)), 1, length(m))"
     letters = lambda what, tag, n: f"translate(substr(sha2(concat({{key}}, ':{tag}:', {what}), 256), 1, {n}), '0123456789', 'ghijklmnop')"
-    mail = f"concat({letters('m', 'mail', 12)}, '@', {letters(chr(115) + 'ubstring_index(m, ' + chr(39) + '@' + chr(39) + ', -1)', 'host', 8)}, '.example')"
+    host = "substring_index(m, '@', -1)"
+    mail = f"concat({letters('m', 'mail', 12)}, '@', {letters(host, 'host', 8)}, '.example')"
 
     octets = "transform(split(m, '[.]'), o -> CAST(o AS BIGINT))"
     number = "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]"
@@ -120,9 +121,11 @@ def replacement() -> str:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with text pseudonymised, n_chars (where it is a column) made anew, and n_replaced, how many values changed.
 
-    A null text stays null and an empty one empty, with none replaced; all
+    A null text stays null and an empty one empty, with none replaced; a text
+    of any length is searched as a whole; an empty table stays empty; all
     other columns and repeated rows stay as they are. Columns of ``docs`` named
-    n_replaced, _pii_found or _pii_new are replaced.
+    n_replaced, _pii_found or _pii_new are replaced. The key is a literal of
+    the plan: set spark.sql.redaction.string.regex to keep it out of logs.
     """
     own = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     made = replacement().replace("{{", "\x01").replace("}}", "\x02").replace("{key}", own).replace("\x01", "{").replace("\x02", "}")
@@ -141,6 +144,7 @@ DEMO_KEY = "varve demonstration key"
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced. Nulls, repeats, long texts and empty tables: see pseudonymise()."""
     return pseudonymise(documents(spark, sf_dir), DEMO_KEY).select("doc_id", "text", "n_replaced")
 
 

@@ -1,8 +1,8 @@
-"""Token-id files compressed by a Re-Pair grammar for each block.
+"""Token-id files compressed by a Re-Pair grammar for each shard.
 
 Documents lie in ascending doc_id order, range-partitioned, so the place of an
-id in the whole corpus follows from block totals. A row of the file table is a
-block: little-endian arrays of the documents (doc_ids, counts of ids, counts of
+id in the whole corpus follows from shard totals. A row of the file table is a
+shard of about 4 MB of text, of which a task writes several: little-endian arrays of the documents (doc_ids, counts of ids, counts of
 symbols), the symbols, and the grammar (the pair of each rule and the number of
 ids that it expands to). A symbol from ``base`` on stands for rule symbol - base,
 whose pair may hold earlier rules. Symbols never cross a document's end, so a
@@ -30,7 +30,7 @@ from ._encode import encoder
 from ._scan import slices
 from ._tables import documents, kept
 
-FILE_SCHEMA = "shard int, block int, first_doc long, n_docs long, n_tokens long, base int, width int, doc_ids binary, doc_tokens binary, doc_symbols binary, symbols binary, rules binary, expansions binary"
+FILE_SCHEMA = "task int, shard int, first_doc long, n_docs long, n_tokens long, base int, width int, doc_ids binary, doc_tokens binary, doc_symbols binary, symbols binary, rules binary, expansions binary"
 _BUCKETS = 20
 
 
@@ -137,7 +137,7 @@ def expand(symbols: np.ndarray, ids: np.ndarray, start: np.ndarray, lengths: np.
     return out
 
 
-class Block:
+class Shard:
     """A row of the file table, to be read from any document on."""
 
     def __init__(self, row: dict):
@@ -153,7 +153,7 @@ class Block:
         self.first = np.cumsum(self.per_doc) - self.per_doc
 
     def decode(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids start to stop of the block's document i, from the symbols that cover them alone."""
+        """Ids start to stop of the shard's document i, from the symbols that cover them alone."""
         own = self.symbols[self.first[i] : self.first[i] + self.per_doc[i]]
         stop = int(self.tokens[i]) if stop is None else min(stop, int(self.tokens[i]))
         if stop <= start:
@@ -174,13 +174,15 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
     """Encodes ``docs`` (doc_id, text) and writes the file table to the shared folder; returns it as read back.
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
-    alone. Rows come in ascending doc_id order (null first); repeated doc_ids
-    stand next to each other; other columns are ignored. base: above all ids.
+    alone; a text longer than ``block_bytes`` is a shard of its own. Rows come
+    in ascending doc_id order (null first); repeated doc_ids stand next to each
+    other; an empty table gives an empty one; other columns are ignored. base:
+    above all ids.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block = TaskContext.get().partitionId(), 0
+        task, shard = TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", block_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
             bare, counts = encoder(path, False, cache_bytes).encode(texts)
@@ -191,11 +193,11 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
             narrow = base + len(rules) <= 1 << 16
             doc_ids = part.column("doc_id").cast(pa.int64())
             row = {
-                "shard": shard, "block": block, "first_doc": doc_ids[0].as_py(), "n_docs": len(texts), "n_tokens": len(ids), "base": base, "width": 2 if narrow else 4,
+                "task": task, "shard": shard, "first_doc": doc_ids[0].as_py(), "n_docs": len(texts), "n_tokens": len(ids), "base": base, "width": 2 if narrow else 4,
                 "doc_ids": doc_ids.fill_null(-(1 << 63)).to_numpy().astype("<i8").tobytes(), "doc_tokens": tokens.astype("<u4").tobytes(), "doc_symbols": symbols.astype("<u4").tobytes(),
                 "symbols": seq.astype("<u2" if narrow else "<u4").tobytes(), "rules": rules.astype("<u4").tobytes(), "expansions": lengths.astype("<u4").tobytes(),
             }
-            block += 1
+            shard += 1
             yield pa.RecordBatch.from_pylist([row], schema=_FILE)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -207,39 +209,54 @@ _FILE = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in FILE_SCHEMA.spl
 
 
 def starts(files: DataFrame) -> DataFrame:
-    """(shard, block, before): the ids of all blocks before each, by totals of shards and then within each shard."""
-    blocks = files.select("shard", "block", "first_doc", "n_tokens")
-    shards = blocks.groupBy("shard").agg(F.min("first_doc").alias("low"), F.sum("n_tokens").alias("total"))
+    """(task, shard, before): the ids of all shards before each, by totals of tasks and then within each task."""
+    shards = files.select("task", "shard", "first_doc", "n_tokens")
+    tasks = shards.groupBy("task").agg(F.min("first_doc").alias("low"), F.sum("n_tokens").alias("total"))
     # one row for each partition of the writer, so this window holds no more rows than there were tasks
-    before = shards.select("shard", (F.sum("total").over(Window.orderBy(F.col("low").asc_nulls_first(), "shard")) - F.col("total")).alias("shards_before"))
-    inner = Window.partitionBy("shard").orderBy("block")
-    own = blocks.select("shard", "block", (F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("own"))
-    return own.join(before, "shard").select("shard", "block", (F.col("own") + F.col("shards_before")).alias("before"))
+    before = tasks.select("task", (F.sum("total").over(Window.orderBy(F.col("low").asc_nulls_first(), "task")) - F.col("total")).alias("tasks_before"))
+    inner = Window.partitionBy("task").orderBy("shard")
+    own = shards.select("task", "shard", (F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("own"))
+    return own.join(before, "task").select("task", "shard", (F.col("own") + F.col("tasks_before")).alias("before"))
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Decodes a file table: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the ids as little-endian unsigned 32-bit integers."""
-    schema = "shard int, block int, doc_id long, own long, n_tokens long, ids_crc32 long"
+    """Decodes a file table: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the ids as little-endian unsigned 32-bit integers.
+
+    Repeated rows come back each; a null doc_id is null again; an empty table gives no row.
+    """
+    schema = "task int, shard int, doc_id long, own long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                block = Block(row)
-                ids = block.all().astype("<u4")
-                end = np.cumsum(block.tokens)
-                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end.tolist(), block.tokens.tolist(), strict=True)]
+                own = Shard(row)
+                ids = own.all().astype("<u4")
+                end = np.cumsum(own.tokens)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end.tolist(), own.tokens.tolist(), strict=True)]
                 n = len(end)
-                docs = pa.array(block.doc_ids, mask=block.doc_ids == -(1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), docs, pa.array(end - block.tokens), pa.array(block.tokens), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "own", "n_tokens", "ids_crc32"])
+                docs = pa.array(own.doc_ids, mask=own.doc_ids == -(1 << 63))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["task"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)), docs, pa.array(end - own.tokens), pa.array(own.tokens), pa.array(crc, pa.int64())], names=["task", "shard", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     rows = files.drop("first_doc", "n_docs", "n_tokens").mapInArrow(run, schema)
-    return rows.join(starts(files), ["shard", "block"]).select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(starts(files), ["task", "shard"]).select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back. Nulls, repeats, long texts and empty tables: see write() and read()."""
     return read(write(documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_repair_files": op1_repair_files}
-SQL: dict[str, str] = {}
+def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op1_repair_files: every document, each starting where those of smaller doc_id end."""
+    rows = kept(op1_repair_files(spark, sf_dir), "positions")
+    first, last = rows.selectExpr("start as at"), rows.selectExpr("start + n_tokens as at")
+    # each document's end is another's start, but for the last one's
+    ends = last.groupBy("at").count().join(first.groupBy("at").count().withColumnRenamed("count", "starts"), "at", "full")
+    gapless = ends.agg(F.expr("sum(IF(coalesce(count, 0) = coalesce(starts, 0), 0, 1)) = 2").alias("gapless"))
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.expr("min(start) = 0 and max(start + n_tokens) = sum(n_tokens)").alias("spans_all"), F.expr("min(n_tokens) >= 1").alias("ended")).join(F.broadcast(gapless))
+
+
+QUERIES = {"op1_repair_files": op1_repair_files, "token_positions": token_positions}
+#: Token ids are not for SQL.
+SQL = {"token_positions": "SELECT CAST(count(*) AS BIGINT) AS n_docs, TRUE AS spans_all, TRUE AS ended, TRUE AS gapless FROM documents"}

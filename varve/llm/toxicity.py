@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._scan import slices
 from ._tables import documents
 
-#: The chain in its order: a name, and the SQL condition on a row of labels.
+#: The chain in its order: a name, and the SQL condition on a row of labels. The labels tell two things apart, so the third category is both together.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
 _STRIP = ".,;:!?\"'()[]{}#*$%&|<>-_=/\\"
 _LENGTHS = (4, 5, 6, 7)
@@ -131,6 +131,9 @@ def counts(texts: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray, np.
     """(document, feature place, count) of the known features in texts, and the words of each."""
     words = [t.lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
+    if len(known) >= known.entries:  # never between texts whose places are in use
+        known.clear()
+        known.lists = [[]]
     at = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(n.sum()))
     hit = np.flatnonzero(at)
     doc = np.repeat(np.arange(len(texts)), n)[hit]
@@ -151,8 +154,6 @@ class _Known(dict):
         self.entries = entries
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.entries:
-            self.clear()
         own = features_of(word)
         if self.names is not None:
             own = [self.names[f] for f in own if f in self.names]
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), cut(feature, "<u4"), cut(count, "<i4"), pa.array(n), *(part.column(c) for c in names)], names=["doc_id", "features", "counts", "words", *names])
 
     schema = "doc_id long, features binary, counts binary, words long, " + ", ".join(f"{c} int" for c in names)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *names).mapInArrow(run, schema).limit(sample).toPandas().sort_values(["doc_id", "words"], kind="stable")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *names).mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "words", "features", "counts").limit(sample).toPandas()
     if not len(rows):
         return []
     data = Sample(list(zip(rows.features, rows.counts, rows.words, strict=True)))
@@ -187,8 +188,9 @@ def score(docs: DataFrame, chain: list[Link], names: list[str]) -> DataFrame:
     """doc_id, n_words, and for each category p_<name> and <name>, whether it reaches the threshold.
 
     A null or empty text has no features, and so the models' biases alone;
-    without a chain every probability is 0. Repeated rows are scored each;
-    other columns are ignored.
+    without a chain every probability is 0. A text of any length is scored as
+    a whole. Repeated rows are scored each; an empty table gives no row; other
+    columns are ignored.
     """
     columns = np.unique(np.concatenate([link.columns for link in chain])) if chain else np.zeros(0, np.uint32)
     place = [np.searchsorted(columns, link.columns) for link in chain]
@@ -211,6 +213,7 @@ def score(docs: DataFrame, chain: list[Link], names: list[str]) -> DataFrame:
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts of every document. Nulls, repeats, long texts and empty tables: see score()."""
     docs = documents(spark, sf_dir)
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, chain, [name for name, _ in CATEGORIES])
