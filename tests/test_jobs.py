@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from varve.jobs import munge, scoring
+from varve.sources import matrices
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +68,8 @@ def test_default_run(spark, files):
     text = lambda name: "".join(p.read_text() for p in sorted((top / f"out.{name}").glob("part-*")))
     assert text("preds").startswith("ENSGID\tPoPS_Score\tY\tY_proj\tproject_out_covariates_gene\tfeature_selection_gene\ttraining_gene\nG0\t")
     assert text("marginals").startswith("\tbeta\tse\tpval\tr2\tselected\nx0\t") and text("coefs").startswith("parameter\tbeta\nMETHOD\tRidgeCV\nSELECTED_CV_ALPHA\t")
-    assert text("traindata").startswith("ENSGID\tY_train\t") and len(text("matdata").splitlines()) == len(genes) + 1
+    assert text("traindata").startswith("\tY_train\t") and [r.split("\t")[0] for r in text("matdata").splitlines()] == ["", *genes]
+    assert [r.split("\t")[0] for r in text("preds").splitlines()] == ["ENSGID", *genes]
 
 
 def test_custom_target_stepwise_and_covariance(spark, files):
@@ -92,6 +94,23 @@ def test_custom_target_stepwise_and_covariance(spark, files):
         scoring.run(spark, scoring.Config(**base, method="forest"))
 
 
+def test_import_of_arrays(spark, files):
+    top, x, _, _, _, genes = files
+    (top / "a.rows.txt").write_text("\n".join(genes) + "\n")
+    for i, (a, b) in enumerate(((0, 5), (5, 9))):
+        (top / f"a.cols.{i}.txt").write_text("\n".join(f"x{j}" for j in range(a, b)) + "\n")
+        np.save(top / f"a.mat.{i}.npy", x[:, a:b].astype("<f4" if i else "<f8"))
+    matrices.import_arrays(spark, str(top / "a"), 2, str(top / "b"), rows_at_once=7)
+    chunks, layout = matrices.read_matrix(spark, str(top / "b"))
+    assert [(r["chunk_id"], r["pos"], r["feature"]) for r in layout.orderBy("col_idx").collect()] == [(int(j > 4), j - 5 * (j > 4), f"x{j}") for j in range(9)]
+    rows = {(r["chunk_id"], r["gene"]): r["x"] for r in chunks.collect()}
+    assert len(rows) == 2 * len(genes) and all(np.allclose(rows[0, g] + rows[1, g], x[i], atol=1e-6) for i, g in enumerate(genes))
+    assert [r["gene"] for r in matrices.read_rows(spark, str(top / "b")).orderBy("row_idx").collect()] == genes
+    np.save(top / "a.mat.1.npy", x[:-1, 5:])
+    with pytest.raises(ValueError):
+        matrices.import_arrays(spark, str(top / "a"), 2, str(top / "c"))
+
+
 def test_arguments():
     c = scoring.arguments(["--gene_annot_path", "a", "--feature_mat_prefix", "m", "--num_feature_chunks", "2", "--ignore_magma_covariates", "--training_chromosomes", "1", "2", "--no_verbose"])
     assert not c.use_magma_covariates and c.training_chromosomes == ["1", "2"] and c.feature_selection_p_cutoff == 0.05 and c.random_seed == 42

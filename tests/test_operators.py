@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.functions.stats import alphas, chi2_sf1
+from varve.functions.stats import alphas, chi2_sf1, erfc
 from varve.operators import association, covariance, fit, masks, munge, predict, project, select
 
 
@@ -176,6 +176,27 @@ def test_prediction_and_pick(spark):
     assert rows(predict.pick(chunks, layout), "gene") == [("a", [2.0, 3.0]), ("b", [1.0, 4.0])]
 
 
+def test_erfc_of_arrays():
+    x = np.concatenate([np.linspace(0, 6, 2001), [1e-300, 1.9999999, 2.0, 12.0, 26.0, 60.0, np.inf]])
+    want = np.array([math.erfc(v) for v in x])
+    assert np.all(np.abs(erfc(x) - want) <= 2e-13 * want + 1e-300)
+
+
+def test_a_gene_without_features_is_an_error(spark):
+    with pytest.raises(ValueError, match="lack features"):
+        association.marginal(chunked(spark, [[1.0], [2.0], [4.0]]), with_basis(spark, [1, 2, 3, 4]))
+
+
+def test_a_negative_eigenvalue_raises_the_diagonal(spark):
+    raw = spark.createDataFrame([(0, "a", "1", []), (1, "b", "1", [1.5])], "y_idx long, gene string, chr string, r array<double>")
+    target = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "gene string, y double")
+    blocks = covariance.block_rows(raw)
+    added = covariance.regularisation(blocks, target)
+    assert abs(added - 0.55) < 1e-9
+    w = np.array([r["w"] for r in covariance.whiteners(blocks, added).orderBy("i").collect()])
+    assert np.allclose(w @ np.array([[1.55, 1.5], [1.5, 1.55]]) @ w.T, np.eye(2))
+
+
 def test_chi2_tail(spark):
     got = spark.createDataFrame([(3.841458820694124,), (0.0,), (None,)], "z double").select(chi2_sf1("z")).collect()
     assert abs(got[0][0] - 0.05) < 1e-15 and got[1][0] == 1.0 and got[2][0] is None

@@ -261,6 +261,29 @@ def covariate_projection_k1(spark, d):
     return project.project_out(t, c, t).select(F.col("gene").cast("long").alias("gene_id"), _r("y").alias("y"))
 
 
+def _six(spark, d):
+    """(target, covariates): all six covariates of genes that have them."""
+    c = covariance.control_covariates(metadata(spark, d)).where("c is not null")
+    return target(spark, d).join(c.select("gene"), "gene", "left_semi"), c
+
+
+@query()
+def covariate_projection_k6(spark, d):
+    """All six covariates and the intercept; tests hold it against dense algebra."""
+    t, c = _six(spark, d)
+    return project.project_out(t, c, t).select(F.col("gene").cast("long").alias("gene_id"), _r("y").alias("y"))
+
+
+@query()
+def covariate_projection_whitened(spark, d):
+    """The same by generalised least squares under AR(1); tests hold it against dense algebra."""
+    t, c = _six(spark, d)
+    blocks = ar1_blocks(spark, d)
+    rows = t.join(project.with_intercept(c), "gene").join(blocks.select("gene"), "gene", "left_semi").select(F.lit(0).alias("chunk_id"), "gene", F.concat(F.array("y"), "c").alias("x"))
+    white = covariance.whiten(rows, covariance.whiteners(blocks)).select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
+    return project.project_out(t, c, t, white).select(F.col("gene").cast("long").alias("gene_id"), _r("y").alias("y"))
+
+
 def _chosen(df):
     return df.where("selected").select("col_idx")
 
@@ -322,20 +345,21 @@ def gram_matrix(spark, d):
     return flat.select("i", F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), _r("v", 5).alias("v"))
 
 
-RIDGE = (
-    f"{XY}, c AS (SELECT x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM xy WHERE col_idx = 0), m AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy, count(*) AS n FROM c), "
+RIDGES = (
+    f"{XY}, c AS (SELECT col_idx, x - avg(x) OVER (PARTITION BY col_idx) AS x, y - avg(y) OVER (PARTITION BY col_idx) AS y FROM xy), m AS (SELECT col_idx, sum(x * x) AS sxx, sum(x * y) AS sxy FROM c GROUP BY col_idx), "
     "k AS (SELECT unnest(generate_series(0, 24)) AS i), a AS (SELECT i, pow(10.0, -2 + i / 2.0) AS alpha FROM k), "
-    "l AS (SELECT a.i, alpha, -avg(pow((c.y - c.x * m.sxy / (m.sxx + alpha)) / (1 - c.x * c.x / (m.sxx + alpha)), 2)) AS score, any_value(m.sxy / (m.sxx + alpha)) AS beta FROM c, m, a GROUP BY a.i, alpha)"
+    "l AS (SELECT m.col_idx, a.i, -avg(pow((c.y - c.x * m.sxy / (m.sxx + alpha)) / (1 - c.x * c.x / (m.sxx + alpha)), 2)) AS score FROM c JOIN m USING (col_idx) CROSS JOIN a GROUP BY m.col_idx, a.i)"
 )
 
 
-@query(f"{RIDGE} SELECT CAST(i AS INTEGER) AS i, round(score, 6) AS score FROM l")
+@query(f"{RIDGES} SELECT CAST(col_idx AS BIGINT) AS col_idx, CAST(i AS INTEGER) AS i, round(score, 6) + 0.0 AS score FROM l")
 def ridge_single_alpha_grid(spark, d):
-    """One feature: leave-one-out scores are plain aggregates."""
-    rows = centred(spark, d, 1).select(F.col("x")[0].alias("x"), "y")
-    sxx, sxy, n = rows.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.count(F.lit(1))).first()
-    terms = [F.avg(F.pow((F.col("y") - F.col("x") * (sxy / (sxx + a))) / (1 - F.col("x") * F.col("x") / (sxx + a)), 2)) for a in alphas()]
-    return rows.agg(F.array(*terms).alias("s")).select(F.posexplode("s").alias("i", "s")).select("i", _r(-F.col("s")).alias("score"))
+    """Each feature alone: leave-one-out scores at all penalties are plain aggregates."""
+    xy = centred(spark, d).select("y", F.posexplode("x").alias("col_idx", "x"))
+    sums = xy.groupBy("col_idx").agg(F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    miss = lambda a: (F.col("y") - F.col("x") * (F.col("sxy") / (F.col("sxx") + a))) / (1 - F.col("x") * F.col("x") / (F.col("sxx") + a))
+    scores = xy.join(F.broadcast(sums), "col_idx").groupBy("col_idx").agg(F.array(*[F.avg(F.pow(miss(a), 2)) for a in alphas()]).alias("s"))
+    return scores.select(F.col("col_idx").cast("long").alias("col_idx"), F.posexplode("s").alias("i", "s")).select("col_idx", "i", _r(-F.col("s")).alias("score"))
 
 
 @query(
@@ -380,9 +404,10 @@ def natural_chr_order(spark, d):
     return c.select("chr", F.row_number().over(Window.orderBy(*masks.natural_order(F.col("chr")))).alias("place"))
 
 
-@query()
+# erf(x) = exp(-x^2) sum x^(2k+1) / gamma(k + 3/2), in positive terms
+@query(f"{MARG} SELECT col_idx, round(z2, 6) + 0.0 AS z2, round(1 - list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(sqrt(z2 / 2)) - z2 / 2 - lgamma(k + 1.5)))), 6) + 0.0 AS pval FROM s")
 def chi2_pvalue(spark, d):
-    return marginals(spark, d).select("col_idx", "z2", F.col("pval"))
+    return marginals(spark, d).select("col_idx", _r("z2").alias("z2"), _r("pval").alias("pval"))
 
 
 def _fitted(spark, d, method):

@@ -68,6 +68,8 @@ def read_target(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame |
         if not covariance.contiguous(raw).first()["contiguous"]:
             raise ValueError("a chromosome's genes are not together")
         cov = covariance.control_covariates(raw) if c.use_magma_covariates else None
+        if cov is not None and (lacking := [r[0] for r in cov.where("c is null").select("gene").limit(5).collect()]):
+            raise ValueError(f"counts of genes are not above 0: {lacking}")
         return y, cov, covariance.block_rows(raw.select("y_idx", "gene", "chr", "r")) if c.use_magma_error_cov else None
     if c.y_path is not None:
         y = files.target(spark, c.y_path)
@@ -115,6 +117,12 @@ def run(spark: SparkSession, c: Config) -> Results:
             white = whitened(blocks, used["project"], added, rows.join(used["project"], "gene", "left_semi")).select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
         y_proj = project.project_out(y, cov, used["project"], white)
     chunks, layout = matrices.read_matrix(spark, c.feature_mat_prefix, c.num_feature_chunks)
+    matrix_rows = matrices.read_rows(spark, c.feature_mat_prefix)
+    log.info("%d genes in the target, %d rows in the matrix, %d features", y.count(), matrix_rows.count(), layout.count())
+    for name, genes in used.items():
+        if (n := genes.join(matrix_rows, "gene", "left_anti").count()) and name != "project":
+            raise ValueError(f"{n} genes of the target ({name}) are not in the matrix")
+        log.info("%s: %d genes", name, genes.count())
 
     def prepared(genes: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
         basis = y_proj.join(genes, "gene", "left_semi").select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
@@ -136,6 +144,7 @@ def run(spark: SparkSession, c: Config) -> Results:
     if not chosen:
         raise ValueError("no feature is selected")
     picked = spark.createDataFrame([(r["chunk_id"], r["pos"], r["col_idx"]) for r in chosen], "chunk_id int, pos int, col_idx long")
+    log.info("%d features selected", len(chosen))
     x = predict.pick(chunks, picked).select(F.lit(0).alias("chunk_id"), "gene", "x")
     own, basis = prepared(used["train"], x)
     order = y.select("gene", F.col("y_idx").alias("order"))
@@ -143,15 +152,17 @@ def run(spark: SparkSession, c: Config) -> Results:
     numbered = training.drop("order").join(matrices.ranked(training.select("gene", "order")), "gene") if c.method == "lasso" else training
     fitted = fit.fit(numbered, c.method, c.random_seed)
     beta = spark.createDataFrame([(r["chunk_id"], r["pos"], float(b)) for r, b in zip(chosen, fitted.coef, strict=True)], "chunk_id int, pos int, beta double")
+    log.info("fitted: %s", ", ".join(f"{k} {v}" for k, v in fitted.meta.items()))
     scores = predict.predict(chunks, beta).withColumnRenamed("score", "PoPS_Score")
     named = {"feature_selection_gene": used["select"], "training_gene": used["train"]}
     if cov is not None:
         named = {"project_out_covariates_gene": used["project"], **named}
     preds = predict.annotate(scores, y, named, y_proj if cov is not None else None)
     coefs = [*fitted.meta.items(), *((r["feature"], repr(float(b))) for r, b in zip(chosen, fitted.coef, strict=True))]
-    out = Results(marginals, coefs, preds.join(annotation.select("gene", "row_idx"), "gene"), training, [r["feature"] for r in chosen])
+    out = Results(marginals, coefs, preds.join(matrix_rows, "gene"), training, [r["feature"] for r in chosen])
     if c.out_prefix:
-        write(spark, c, out, x)
+        write(spark, c, out, x.join(matrix_rows, "gene"))
+        log.info("written to %s.*", c.out_prefix)
     return out
 
 
@@ -164,8 +175,8 @@ def write(spark: SparkSession, c: Config, r: Results, x: DataFrame) -> None:
     write_tsv(r.preds.orderBy("row_idx").select(F.col("gene").alias("ENSGID"), *columns), f"{c.out_prefix}.preds")
     if c.save_matrix_files:
         wide = [F.col("x")[i].alias(name) for i, name in enumerate(r.selected)]
-        write_tsv(r.training.orderBy("order").select(F.col("gene").alias("ENSGID"), F.col("y").alias("Y_train"), *wide), f"{c.out_prefix}.traindata")
-        write_tsv(x.orderBy("gene").select(F.col("gene").alias("ENSGID"), *wide), f"{c.out_prefix}.matdata")
+        write_tsv(r.training.orderBy("order").select(F.col("gene").alias(""), F.col("y").alias("Y_train"), *wide), f"{c.out_prefix}.traindata")
+        write_tsv(x.orderBy("row_idx").select(F.col("gene").alias(""), *wide), f"{c.out_prefix}.matdata")
 
 
 def arguments(argv: list[str] | None = None) -> Config:

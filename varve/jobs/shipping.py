@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 #: Bytes that a Python worker gets at once, unless the application sets it; Spark's own bound of rows lets long texts fill a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

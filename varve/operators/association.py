@@ -47,9 +47,16 @@ def _summed(joined: DataFrame, run, name: str) -> DataFrame:
 
 
 def marginal(chunks: DataFrame, basis: DataFrame) -> DataFrame:
-    """(chunk_id, pos, beta, se, z2, pval, r2, n) of every column; null where the column is nearly constant."""
+    """(chunk_id, pos, beta, se, z2, pval, r2, n) of every column; null where the column is nearly constant.
+
+    A gene of the basis without values is an error.
+    """
     m = basis_moments(basis)
     k = len(m["sv"])
+    found = chunks.join(basis.select("gene"), "gene", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    if (found or 0) < m["n"]:
+        lacking = [r[0] for r in basis.join(chunks, "gene", "left_anti").select("gene").limit(5).collect()]
+        raise ValueError(f"genes of the target lack features: {lacking}")
     rows = chunks.select("chunk_id", "gene", "x").join(residual_target(basis, m), "gene")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,17 +68,18 @@ def marginal(chunks: DataFrame, basis: DataFrame) -> DataFrame:
     names = [f"a{i}" for i in range(k)]
     a = _summed(rows, first, ", ".join(names))
     inverse = np.linalg.inv(m["vv"])
-    coef = a.select("chunk_id", "pos", F.array(*[sum((F.lit(float(inverse[i, j])) * F.col(f"a{j}") for j in range(k)), F.lit(0.0)) for i in range(k)]).alias("b"))
-    per_chunk = coef.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda s: s["b"]).alias("coef"))
+    moments = a.toPandas().sort_values(["chunk_id", "pos"])  # a row for each column
+    coef = {int(c): own[names].to_numpy() @ inverse.T for c, own in moments.groupby("chunk_id")}
+    sent = chunks.sparkSession.sparkContext.broadcast(coef)
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, own in pdf.groupby("chunk_id"):
                 x, v, e = np.stack(list(own["x"])), np.stack(list(own["v"])), own["e"].to_numpy()
-                x = x - v @ np.stack(list(own["coef"].iloc[0])).T
+                x = x - v @ sent.value[int(chunk)].T
                 yield pd.DataFrame({"chunk_id": int(chunk), "pos": np.arange(x.shape[1]), "part": list(np.stack([(x * x).sum(0), x.T @ e], 1))})
 
-    sums = _summed(rows.join(per_chunk, "chunk_id"), second, "ssx, sxy")
+    sums = _summed(rows, second, "ssx, sxy")
     coef_y = np.linalg.solve(m["vv"], m["vy"])
     left = float(m["yy"] - m["vy"] @ coef_y)
     mean = float(m["sy"] - m["sv"] @ coef_y) / m["n"]

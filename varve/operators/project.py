@@ -22,16 +22,32 @@ def project_out(target: DataFrame, covariates: DataFrame, used: DataFrame, white
     The fit is over ``used`` genes, on ``whitened`` (gene, y, c) of them if an
     error covariance is given; residuals are of all genes and unwhitened.
     """
-    c = with_intercept(covariates)
-    rows = target.join(c, "gene")
-    if rows.count() < target.count():
-        raise ValueError("genes of the target lack covariates")
-    fitted = whitened if whitened is not None else rows.join(used.select("gene"), "gene", "left_semi")
-    k = fitted.select(F.size("c")).first()[0]
+    k = covariates.select(F.size("c")).first()[0]
     col = [F.col("c")[i] for i in range(k)]
-    sums = fitted.agg(F.array(*[F.sum(a * b) for a in col for b in col]).alias("cc"), F.array(*[F.sum(a * F.col("y")) for a in col]).alias("cy")).first()
-    b = np.linalg.pinv(np.array(sums["cc"]).reshape(k, k), hermitian=True) @ np.array(sums["cy"])
-    return rows.select("gene", (F.col("y") - sum((F.lit(float(v)) * F.col("c")[i] for i, v in enumerate(b)), F.lit(0.0))).alias("y"))
+    some = whitened is None
+    rows = target.join(covariates, "gene", "left")
+    if some:
+        rows = rows.join(used.select("gene", F.lit(True).alias("is_used")), "gene", "left")
+    on = F.coalesce("is_used", F.lit(False)) if some else F.lit(False)
+    # one pass: what is missing, whether a column is constant already (over all genes with covariates), and the sums of the fit with an intercept
+    with_one = [*col, F.lit(1.0)]
+    sums = rows.agg(
+        F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).alias("missing"),
+        F.array(*[F.sum(F.when(on, a * b)) for a in with_one for b in with_one]).alias("cc"),
+        F.array(*[F.sum(F.when(on, a * F.col("y"))) for a in with_one]).alias("cy"),
+    ).first()
+    if sums["missing"]:
+        raise ValueError("genes of the target lack covariates")
+    flat = covariates.agg(F.greatest(*[near_zero(F.var_pop(c)).cast("int") for c in col], F.lit(0))).first()[0]
+    width = k if flat else k + 1
+    if whitened is not None:
+        own = [F.col("c")[i] for i in range(width)]
+        sums = whitened.agg(F.array(*[F.sum(a * b) for a in own for b in own]).alias("cc"), F.array(*[F.sum(a * F.col("y")) for a in own]).alias("cy")).first()
+        cc, cy = np.array(sums["cc"]).reshape(width, width), np.array(sums["cy"])
+    else:
+        cc, cy = np.array(sums["cc"], float).reshape(k + 1, k + 1)[:width, :width], np.array(sums["cy"], float)[:width]
+    b = np.linalg.pinv(cc, hermitian=True) @ cy
+    return rows.select("gene", (F.col("y") - sum((F.lit(float(v)) * c for v, c in zip(b, with_one, strict=False)), F.lit(0.0))).alias("y"))
 
 
 def residual_values(values: DataFrame, basis: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Files of genes are small (a line for each gene), so each is read as one text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,9 +69,9 @@ def custom_covariates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
-    """(place, feature) of a list of features, one a token."""
+    """(place, feature) of a list of features, one a token; a line for each of some features, so one task numbers them."""
     tokens = lines(spark, path).select("row_idx", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("at", "feature"))
-    return tokens.select((F.col("row_idx") * 1000 + F.col("at")).cast("long").alias("place"), "feature")
+    return tokens.select(F.row_number().over(Window.orderBy("row_idx", "at")).cast("long").alias("place"), "feature")
 
 
 def feature_files(spark: SparkSession, folder: str) -> list[DataFrame]:

@@ -11,6 +11,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import files
+
+
+def read_rows(spark: SparkSession, prefix: str) -> DataFrame:
+    """(row_idx, gene): the matrix's rows in order."""
+    return spark.read.parquet(f"{prefix}.rows").select("row_idx", "gene")
+
+
+def import_arrays(spark: SparkSession, prefix: str, chunks: int, to: str, rows_at_once: int = 256) -> None:
+    """Reads a matrix kept as <prefix>.rows.txt, <prefix>.cols.<i>.txt and <prefix>.mat.<i>.npy and writes it to ``to`` as the munge job does.
+
+    Headers are read through the path's file system. A task reads one array's
+    bytes, 2 GB at most, and gives them out in ranges of rows; arrays are of
+    doubles or floats in row order.
+    """
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    genes = files.lines(spark, f"{prefix}.rows.txt").select("row_idx", F.trim("line").alias("gene"))
+    numbered = genes.select((F.row_number().over(Window.orderBy("row_idx")) - 1).cast("long").alias("row_idx"), "gene")  # a row for each gene
+    numbered.write.mode("overwrite").parquet(f"{to}.rows")
+    n = spark.read.parquet(f"{to}.rows").count()
+    first, parts, layouts = 0, [], []
+    for i in range(chunks):
+        path = jvm.org.apache.hadoop.fs.Path(f"{prefix}.mat.{i}.npy")
+        stream = path.getFileSystem(conf).open(path)
+        head = bytes(stream.readNBytes(4096))
+        stream.close()
+        at = io.BytesIO(head)
+        version = np.lib.format.read_magic(at)
+        shape, column_order, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(at)
+        if column_order or len(shape) != 2 or shape[0] != n or kind.kind != "f":
+            raise ValueError(f"{prefix}.mat.{i}.npy is {shape} of {kind}, there are {n} rows")
+        names = [r["line"] for r in files.lines(spark, f"{prefix}.cols.{i}.txt").orderBy("row_idx").select(F.trim("line").alias("line")).collect()]
+        if len(names) != shape[1]:
+            raise ValueError(f"{prefix}.cols.{i}.txt lists {len(names)} features, the array has {shape[1]}")
+        layouts += [(i, k, first + k, name) for k, name in enumerate(names)]
+        first += shape[1]
+        width = shape[1] * kind.itemsize
+        parts.append((i, at.tell(), width, kind.str))
+    for i, offset, width, kind in parts:
+
+        def run(batches: Iterator[pd.DataFrame], i=i, offset=offset, width=width, kind=kind) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for data in pdf["content"]:
+                    array = np.frombuffer(data, kind, offset=offset).reshape(n, -1)
+                    for at in range(0, n, rows_at_once):
+                        x = array[at : at + rows_at_once].astype(np.float64)
+                        yield pd.DataFrame({"chunk_id": i, "row_idx": np.arange(at, at + len(x)), "x": list(x)})
+
+        rows = spark.read.format("binaryFile").load(f"{prefix}.mat.{i}.npy").select("content").mapInPandas(run, "chunk_id int, row_idx long, x array<double>")
+        rows.join(F.broadcast(spark.read.parquet(f"{to}.rows")), "row_idx").select("chunk_id", "row_idx", "gene", "x").write.mode("overwrite" if i == 0 else "append").partitionBy("chunk_id").parquet(f"{to}.mat")
+    spark.createDataFrame(layouts, "chunk_id int, pos int, col_idx long, feature string").write.mode("overwrite").parquet(f"{to}.cols")
+
 
 def read_matrix(spark: SparkSession, prefix: str, chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, gene, x) and the layout (chunk_id, pos, col_idx, feature) that the munge job wrote; ``chunks``: the first so many."""
