@@ -7,6 +7,7 @@ never uses those bytes inside a longer sequence.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:  # no such interface
+    _LIBC = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,11 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         base = np.full(size, _BASE if which == "up" else _BASE_INV, np.uint64)
         base[0] = 1
         have = np.cumprod(base)
-        if size == 1 << 20:  # a longer text's are not kept
+        if size == 1 << 18:  # a longer text's are not kept
             _powers[which] = have
     return have[:n]
 
@@ -55,6 +60,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns what Arrow and the allocator hold without use to the system: a worker that is reused holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about ``limit`` bytes of ``column``, and one row at least."""
     for batch in batches:
@@ -68,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18)
             stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 class Words:
