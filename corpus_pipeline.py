@@ -72,7 +72,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token sequences; a row for each piece. A null or empty text is its end id alone; repeated rows are packed each; an empty table gives no row."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, block_bytes=2 << 20, cache_bytes=12 << 20)  # beside what the stages before leave in the executors
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packed)]
