@@ -34,19 +34,21 @@ FILE_SCHEMA = "task int, shard int, first_doc long, n_docs long, n_tokens long,
 _BUCKETS = 20
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int, where: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, pair of each place, pairs, counts): where pairs stand that occur ``often`` times or more; ``last`` marks the documents' last symbols.
 
     Pairs are counted by hash buckets first; those in heavy buckets exactly.
+    ``where``: the places to look at (None: all).
     """
-    a, b = seq[:-1], seq[1:]
+    a, b = (seq[:-1], seq[1:]) if where is None else (seq[where], seq[where + 1])
+    inner = ~last[:-1] if where is None else ~last[where]
     # other factors in each round, so pairs that share a bucket in one are apart in the next
     bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)
     heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS) >= often)
     slot = np.full(1 << _BUCKETS, -1, np.int32)
     slot[heavy] = np.arange(len(heavy))
     which = slot[bucket]
-    at = np.flatnonzero((which >= 0) & ~last[:-1])
+    at = np.flatnonzero((which >= 0) & inner)
     which = which[at]
     key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
     pairs = np.zeros(len(heavy), np.uint64)
@@ -58,7 +60,8 @@ def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int) -> tuple
         pairs = np.concatenate([pairs, more])
     counts = np.bincount(which, minlength=len(pairs))
     good = counts[which] >= often
-    return at[good], which[good], pairs, counts
+    at = at[good]
+    return at if where is None else where[at], which[good], pairs, counts
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,12 +76,13 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000,
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     often = max(least, len(seq) // share)
-    turn = 0
+    turn, where = 0, None
     while len(seq) >= 2 * least:
-        at, which, pairs, weight = _frequent(seq, last, turn, often)
+        at, which, pairs, weight = _frequent(seq, last, turn, often, where)
         turn += 1
         if not len(at):
             break
+        every = at
         weight = weight[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
         touch = np.diff(at) == 1
         run = np.append(True, ~touch | (weight[1:] != weight[:-1]))
@@ -102,7 +106,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000,
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        # counts of other pairs only fall, so the next round looks at pairs with a new symbol and at those found now but not replaced
+        touched = ~stay
+        touched[at] = True
+        waiting = every[~(touched[every] | touched[every + 1])]
+        place = np.cumsum(stay) - 1
         seq, last = seq[stay], last[stay]
+        look = np.zeros(len(seq) + 1, bool)
+        look[place[at]] = look[place[at] - 1] = look[place[waiting]] = True
+        where = np.flatnonzero(look[: len(seq) - 1])
     symbols = np.zeros(len(counts), np.int64)
     ends = np.flatnonzero(last) + 1
     symbols[counts > 0] = np.diff(ends, prepend=0)
@@ -170,7 +182,7 @@ class Shard:
         return expand(self.symbols, self.rule_ids, self.rule_start, self.lengths, self.base)
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache_bytes: int = 112 << 20) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the file table to the shared folder; returns it as read back.
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
