@@ -54,13 +54,22 @@ def test_contiguity(spark):
 def test_policies_and_chunks(spark):
     spine = spark.createDataFrame([(0, "g1"), (1, "g2"), (2, "g3")], "row_idx long, gene string")
     f = spark.createDataFrame([("g1", 1.0), ("g3", 3.0), ("g9", 100.0)], "id string, f double")
-    joined = munge.on_spine(spine, munge.long_features([f]))
+    joined = munge.on_spine(spine, [f])
     with pytest.raises(ValueError):
         munge.impute(joined, "raise")
     for policy, want in (("ignore", None), ("zero", 0.0), ("mean", 2.0)):
-        assert [r[1] for r in rows(munge.impute(joined, policy).select("row_idx", "value"), "row_idx")] == [1.0, want, 3.0]
+        assert [r[1] for r in rows(munge.impute(joined, policy).select("row_idx", "x"), "row_idx")] == [[1.0], [want], [3.0]]
     with pytest.raises(ValueError):
-        munge.long_features([f, f])
+        munge.feature_names([f, f])
+    # pieces that end and begin within chunks, a NaN, a gene that only one file has, a column of nothing but nulls
+    a = spark.createDataFrame([("g1", 1.0, float("nan"), 3.0), ("g2", 4.0, 5.0, 6.0)], "id string, a double, b double, c double")
+    b = spark.createDataFrame([("g3", 7.0, 8.0, None), ("g1", 9.0, 10.0, None)], "`a gene` string, d double, `e.1` double, g double")
+    got = {(r["chunk_id"], r["gene"]): r["x"] for r in munge.on_spine(spine, [a, b], 4).collect()}
+    assert got == {(0, "g1"): [1, None, 3, 9], (1, "g1"): [10, None], (0, "g2"): [4, 5, 6, None], (1, "g2"): [None, None], (0, "g3"): [None, None, None, 7], (1, "g3"): [8, None]}
+    means = {(r["chunk_id"], r["gene"]): r["x"] for r in munge.impute(munge.on_spine(spine, [a, b], 4), "mean").collect()}
+    assert means[0, "g3"] == [2.5, 5, 4.5, 7] and means[1, "g2"] == [9, None]
+    assert not munge.repeated_genes(munge.pieces([a, b], 4)).count() and munge.repeated_genes(munge.pieces([a.union(a), b], 4)).count() == 2
+    assert munge.on_spine(spine.where("false"), [a, b], 4).count() == 0
     for n, want in ((5, [2, 2, 1]), (4, [2, 2])):
         cols = spark.range(n).select(F.col("id").alias("col_idx"), F.lit("x").alias("feature"))
         assert [r[1] for r in rows(munge.layout(cols, 2).groupBy("chunk_id").count(), "chunk_id")] == want

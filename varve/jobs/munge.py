@@ -16,11 +16,12 @@ def run(spark: SparkSession, gene_annot_path: str, feature_dir: str, save_prefix
     if nan_policy not in munge.POLICIES:
         raise ValueError(f"nan_policy is one of {', '.join(munge.POLICIES)}")
     spine = files.spine(spark, gene_annot_path)
-    features = munge.long_features(files.feature_files(spark, feature_dir))
-    if features.groupBy("gene", "col_idx").count().where("count > 1").limit(1).count():
+    frames = files.feature_files(spark, feature_dir)
+    features = spark.createDataFrame(list(enumerate(munge.feature_names(frames))), "col_idx long, feature string")
+    values = munge.on_spine(spine, frames, max_cols)
+    if munge.repeated_genes(munge.pieces(frames, max_cols)).limit(1).count():
         raise ValueError("a feature file lists a gene twice")
-    values = munge.impute(munge.on_spine(spine, features), nan_policy)
-    munge.chunks(values, max_cols).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{save_prefix}.mat")
+    munge.impute(values, nan_policy).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{save_prefix}.mat")
     munge.layout(features, max_cols).write.mode("overwrite").parquet(f"{save_prefix}.cols")
     spine.orderBy("row_idx").select(F.col("row_idx"), F.col("gene")).write.mode("overwrite").parquet(f"{save_prefix}.rows")
 

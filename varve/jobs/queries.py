@@ -104,7 +104,7 @@ def _files(spark, d):
     c = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("gene"), F.col("c_acctbal").alias("balance"))
     s = _read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("gene"), F.col("s_acctbal").alias("supply"))
     p = _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-    return munge.long_features([c, s, p])
+    return [c, s, p]
 
 
 FILES = (
@@ -114,27 +114,28 @@ FILES = (
 )
 
 
-def _joined(spark, d):
-    return munge.on_spine(annotation(spark, d), _files(spark, d))
-
-
-def _values(df):
-    return df.select(F.col("row_idx").alias("gene_id"), "feature", F.col("value").alias("value"))
+def _imputed(spark, d, policy):
+    """(gene_id, feature, value) of the files' matrix in chunks of three columns."""
+    frames, width = _files(spark, d), 3
+    chunks = munge.impute(munge.on_spine(annotation(spark, d), frames, width), policy)
+    names = F.array(*[F.lit(n) for n in munge.feature_names(frames)])
+    long = chunks.select(F.col("row_idx").alias("gene_id"), "chunk_id", F.posexplode("x").alias("pos", "value"))
+    return long.select("gene_id", F.get(names, F.col("chunk_id") * width + F.col("pos")).alias("feature"), "value")
 
 
 @query(f"WITH {G}, {FILES} SELECT vec_id AS gene_id, feature, value FROM j")
 def munge_left_join(spark, d):
-    return _values(munge.impute(_joined(spark, d), "ignore"))
+    return _imputed(spark, d, "ignore")
 
 
 @query(f"WITH {G}, {FILES} SELECT vec_id AS gene_id, feature, coalesce(value, 0.0) AS value FROM j")
 def impute_zero(spark, d):
-    return _values(munge.impute(_joined(spark, d), "zero"))
+    return _imputed(spark, d, "zero")
 
 
 @query(f"WITH {G}, {FILES} SELECT vec_id AS gene_id, feature, round(coalesce(value, avg(value) OVER (PARTITION BY col_idx)), 4) + 0.0 AS value FROM j")
 def impute_mean(spark, d):
-    return _values(munge.impute(_joined(spark, d), "mean")).withColumn("value", _r("value", 4))
+    return _imputed(spark, d, "mean").withColumn("value", _r("value", 4))
 
 
 @query(f"WITH {G}, {L} SELECT DISTINCT CAST(col_idx // {MAX_COLS} AS INTEGER) AS chunk_id, CAST(col_idx % {MAX_COLS} AS INTEGER) AS pos, 'f' || col_idx AS feature FROM f")
@@ -230,11 +231,11 @@ def whiten_ar1(spark, d):
 
 
 def whitened(spark, d):
-    """Chunks and basis of genes with a target, whitened."""
-    factors = covariance.whiteners(ar1_blocks(spark, d))
+    """Chunks and basis of genes with a target, whitened; kept, as the passes read them several times."""
+    factors = covariance.whiteners(ar1_blocks(spark, d)).persist()
     b = genes_with_target(spark, d).select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
     white = covariance.whiten(b, factors).select("gene", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("v"))
-    return covariance.whiten(feature_chunks(spark, d), factors).select("chunk_id", "gene", "x"), white
+    return covariance.whiten(feature_chunks(spark, d), factors).select("chunk_id", "gene", "x").persist(), white
 
 
 @query(

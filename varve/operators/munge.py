@@ -1,8 +1,11 @@
-"""Feature tables joined to the gene spine, imputed and laid out in column chunks."""
+"""Feature tables joined to the gene spine, imputed and laid out in column chunks.
 
-from __future__ import annotations
+Values stay in arrays: a file gives each gene one piece for each chunk that its
+columns reach, pieces meet by gene and chunk in one shuffle, and no row stands
+for a single value.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,48 +13,79 @@ from pyspark.sql import functions as F
 POLICIES = ("raise", "ignore", "mean", "zero")
 
 
-def long_features(frames: list[DataFrame]) -> DataFrame:
-    """(col_idx, feature, gene, value) of wide frames whose first column is the gene; columns are numbered in the frames' order.
-
-    A feature name that comes twice is an error.
-    """
+def feature_names(frames: list[DataFrame]) -> list[str]:
+    """The features of wide frames whose first column is the gene, in the frames' order. A name that comes twice is an error."""
     names = [c for f in frames for c in f.columns[1:]]
     if len(set(names)) < len(names):
         raise ValueError(f"feature names come twice: {sorted({n for n in names if names.count(n) > 1})}")
-    parts, at = [], 0
-    for f in frames:
-        gene, columns = f.columns[0], f.columns[1:]
-        pairs = F.array(*[F.struct(F.lit(at + i).cast("long").alias("col_idx"), F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns)])
-        parts.append(f.select(F.col(f"`{gene}`").cast("string").alias("gene"), F.explode(pairs).alias("p")).select("p.col_idx", "p.feature", "gene", "p.value"))
-        at += len(columns)
-    return reduce(DataFrame.union, parts)
-
+    return names
 
-def on_spine(spine: DataFrame, features: DataFrame) -> DataFrame:
-    """(row_idx, gene, col_idx, feature, value): a row for each gene of the spine and each feature, null where the feature has no such gene.
 
-    The list of features is small and is broadcast; values join by gene and feature.
+def _cuts(frames: list[DataFrame], max_cols: int) -> list[list[tuple[int, int, list[str]]]]:
+    """For each frame its pieces (chunk_id, place of the first in the chunk, columns)."""
+    out, at = [], 0
+    for f in frames:
+        own, columns = [], f.columns[1:]
+        while columns:
+            room = max_cols - at % max_cols
+            own.append((at // max_cols, at % max_cols, columns[:room]))
+            at, columns = at + len(columns[:room]), columns[room:]
+        out.append(own)
+    return out
+
+
+def pieces(frames: list[DataFrame], max_cols: int = 5000) -> DataFrame:
+    """(gene, chunk_id, at, part): a frame's values of a gene within a chunk; ``at`` is the place of the first. NaN is null."""
+    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    parts = []
+    for f, own in zip(frames, _cuts(frames, max_cols), strict=True):
+        cut = F.array(*[F.struct(F.lit(chunk).alias("chunk_id"), F.lit(at).alias("at"), F.array(*[number(c) for c in columns]).alias("part")) for chunk, at, columns in own])
+        if own:
+            parts.append(f.select(F.col(f"`{f.columns[0]}`").cast("string").alias("gene"), F.explode(cut).alias("p")).select("gene", "p.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def repeated_genes(parts: DataFrame) -> DataFrame:
+    """(gene, chunk_id, at) that a feature file lists more than once; only keys are shuffled."""
+    return parts.groupBy("gene", "chunk_id", "at").count().where("count > 1").drop("count")
+
+
+def on_spine(spine: DataFrame, frames: list[DataFrame], max_cols: int = 5000) -> DataFrame:
+    """(chunk_id, row_idx, gene, x): each gene's values in a chunk, in column order; null where a file has no such gene.
+
+    spine: (row_idx, gene). A gene that a file lists twice is an error.
     """
-    columns = features.select("col_idx", "feature").distinct()
-    grid = spine.select("row_idx", "gene").join(F.broadcast(columns))
-    value = features.select("gene", "col_idx", F.when(F.isnan("value"), None).otherwise(F.col("value")).alias("value"))
-    return grid.join(value, ["gene", "col_idx"], "left").select("row_idx", "gene", "col_idx", "feature", "value")
-
-
-def impute(joined: DataFrame, policy: str = "raise") -> DataFrame:
-    """Missing values by policy: an error, left null, the feature's mean over the spine, or 0."""
+    expected: dict[int, list] = {}
+    for chunk, at, columns in (piece for own in _cuts(frames, max_cols) for piece in own):
+        expected.setdefault(chunk, []).append((at, len(columns)))
+    if not expected:
+        raise ValueError("there are no features")
+    widths = spine.sparkSession.createDataFrame(list(expected.items()), "chunk_id int, expected array<struct<at: int, width: int>>")
+    got = pieces(frames, max_cols).groupBy("chunk_id", "gene").agg(F.map_from_entries(F.collect_list(F.struct("at", "part"))).alias("got"))
+    rows = spine.select("row_idx", "gene", F.explode(F.sequence(F.lit(0), F.lit(len(expected) - 1))).alias("chunk_id"))
+    joined = rows.join(got, ["chunk_id", "gene"], "left").join(F.broadcast(widths), "chunk_id")  # a row for each chunk
+    none = F.lit(None).cast("double")
+    x = F.flatten(F.transform("expected", lambda e: F.coalesce(F.try_element_at("got", e["at"]), F.array_repeat(none, e["width"]))))
+    return joined.select("chunk_id", "row_idx", "gene", x.alias("x"))
+
+
+def impute(chunks: DataFrame, policy: str = "raise") -> DataFrame:
+    """Missing values of chunks by policy: an error, left null, the feature's mean over the spine, or 0."""
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {', '.join(POLICIES)}")
     if policy == "raise":
-        if joined.where("value is null").limit(1).count():
+        if chunks.where(F.exists("x", lambda v: v.isNull())).limit(1).count():
             raise ValueError("the feature matrix lacks genes")
-        return joined
-    if policy == "zero":
-        return joined.na.fill(0.0, ["value"])
-    if policy == "mean":
-        means = joined.groupBy("col_idx").agg(F.avg("value").alias("mean"))
-        return joined.join(F.broadcast(means), "col_idx").withColumn("value", F.coalesce("value", "mean")).drop("mean")
-    return joined
+    elif policy == "zero":
+        return chunks.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
+    elif policy == "mean":
+        per = chunks.select("chunk_id", F.posexplode("x").alias("pos", "v")).groupBy("chunk_id", "pos").agg(F.avg("v").alias("mean"))  # summed before the shuffle
+        means = per.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("means"))
+        return chunks.join(F.broadcast(means), "chunk_id").withColumn("x", F.zip_with("x", "means", lambda v, m: F.coalesce(v, m))).drop("means")  # a row for each chunk
+    return chunks
 
 
 def layout(features: DataFrame, max_cols: int = 5000) -> DataFrame:
@@ -59,12 +93,6 @@ def layout(features: DataFrame, max_cols: int = 5000) -> DataFrame:
     return features.select("col_idx", "feature").distinct().select(F.floor(F.col("col_idx") / max_cols).cast("int").alias("chunk_id"), (F.col("col_idx") % max_cols).cast("int").alias("pos"), "col_idx", "feature")
 
 
-def chunks(imputed: DataFrame, max_cols: int = 5000) -> DataFrame:
-    """(chunk_id, row_idx, gene, x): each gene's values in a chunk, in column order."""
-    chunk = F.floor(F.col("col_idx") / max_cols).cast("int")
-    return imputed.groupBy(chunk.alias("chunk_id"), "row_idx", "gene").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda s: s["value"]).alias("x"))
-
-
 def numbered(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 by a column; for annotation tables, whose rows are few."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
