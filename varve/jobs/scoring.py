@@ -88,9 +88,10 @@ def relabelled(blocks: DataFrame, annotation: DataFrame) -> DataFrame:
     return covariance.regrouped(other)
 
 
-def whitened(blocks: DataFrame, genes: DataFrame, added: float, values: DataFrame) -> DataFrame:
-    """values (chunk_id, gene, x) of ``genes``, whitened by the factor of their own covariance."""
-    return covariance.whiten(values, covariance.whiteners(covariance.masked_blocks(blocks, genes), added)).select("chunk_id", "gene", "x")
+def whitened(blocks: DataFrame, genes: DataFrame, added: float, *values: DataFrame) -> list[DataFrame]:
+    """Each of values (chunk_id, gene, x) of ``genes``, whitened by the factor of their own covariance. Factors and results are kept, as the steps read them several times."""
+    factors = covariance.whiteners(covariance.masked_blocks(blocks, genes), added).persist()
+    return [covariance.whiten(v, factors).select("chunk_id", "gene", "x").persist() for v in values]
 
 
 def run(spark: SparkSession, c: Config) -> Results:
@@ -114,7 +115,7 @@ def run(spark: SparkSession, c: Config) -> Results:
         white = None
         if blocks is not None:
             rows = y.join(project.with_intercept(cov), "gene").select(F.lit(0).alias("chunk_id"), "gene", F.concat(F.array("y"), "c").alias("x"))
-            white = whitened(blocks, used["project"], added, rows.join(used["project"], "gene", "left_semi")).select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
+            white = whitened(blocks, used["project"], added, rows.join(used["project"], "gene", "left_semi"))[0].select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
         y_proj = project.project_out(y, cov, used["project"], white)
     chunks, layout = matrices.read_matrix(spark, c.feature_mat_prefix, c.num_feature_chunks)
     matrix_rows = matrices.read_rows(spark, c.feature_mat_prefix)
@@ -128,7 +129,7 @@ def run(spark: SparkSession, c: Config) -> Results:
         basis = y_proj.join(genes, "gene", "left_semi").select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
         own = values.join(genes, "gene", "left_semi")
         if blocks is not None:
-            basis, own = whitened(blocks, genes, added, basis), whitened(blocks, genes, added, own)
+            basis, own = whitened(blocks, genes, added, basis, own)
         return own, basis.select("gene", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("v"))
 
     own, basis = prepared(used["select"], chunks)

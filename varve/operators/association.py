@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf1, near_zero
+from .predict import pick
+
+#: A basis up to this size is broadcast, at ROW_BYTES a gene besides its vectors; a larger one is joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 96
 
 
 def basis_moments(basis: DataFrame) -> dict:
@@ -49,26 +53,29 @@ def _summed(joined: DataFrame, run, name: str) -> DataFrame:
 def marginal(chunks: DataFrame, basis: DataFrame) -> DataFrame:
     """(chunk_id, pos, beta, se, z2, pval, r2, n) of every column; null where the column is nearly constant.
 
-    A gene of the basis without values is an error.
+    A gene of the basis without values is an error. The basis (a row for each
+    gene) is kept for the passes, and sent to all tasks where it is small.
     """
+    basis = basis.persist()
     m = basis_moments(basis)
     k = len(m["sv"])
-    found = chunks.join(basis.select("gene"), "gene", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-    if (found or 0) < m["n"]:
-        lacking = [r[0] for r in basis.join(chunks, "gene", "left_anti").select("gene").limit(5).collect()]
-        raise ValueError(f"genes of the target lack features: {lacking}")
-    rows = chunks.select("chunk_id", "gene", "x").join(residual_target(basis, m), "gene")
+    left = residual_target(basis, m)
+    rows = chunks.select("chunk_id", "gene", "x").join(F.broadcast(left) if m["n"] * (8 * k + ROW_BYTES) <= BROADCAST_BYTES else left, "gene")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, own in pdf.groupby("chunk_id"):
                 x, v = np.stack(list(own["x"])), np.stack(list(own["v"]))
-                yield pd.DataFrame({"chunk_id": int(chunk), "pos": np.arange(x.shape[1]), "part": list(x.T @ v)})
+                found = np.full((x.shape[1], 1), float(len(x)))
+                yield pd.DataFrame({"chunk_id": int(chunk), "pos": np.arange(x.shape[1]), "part": list(np.hstack([x.T @ v, found]))})
 
     names = [f"a{i}" for i in range(k)]
-    a = _summed(rows, first, ", ".join(names))
+    a = _summed(rows, first, ", ".join([*names, "found"]))
     inverse = np.linalg.inv(m["vv"])
     moments = a.toPandas().sort_values(["chunk_id", "pos"])  # a row for each column
+    if not len(moments) or moments["found"].min() < m["n"]:
+        lacking = [r[0] for r in basis.join(chunks, "gene", "left_anti").select("gene").limit(5).collect()]
+        raise ValueError(f"genes of the target lack features: {lacking}")
     coef = {int(c): own[names].to_numpy() @ inverse.T for c, own in moments.groupby("chunk_id")}
     sent = chunks.sparkSession.sparkContext.broadcast(coef)
 
@@ -107,18 +114,22 @@ def marginal_sql(long: DataFrame) -> DataFrame:
 def forward_stepwise(chunks: DataFrame, basis: DataFrame, steps: int) -> list[tuple[int, int]]:
     """(chunk_id, pos) of the columns picked, one a step: the smallest p-value given those before, ties to the larger z2, then the first column.
 
-    The chosen column joins the basis as it is; the loop runs on the driver,
-    each step is one job.
+    The chosen columns join the basis as they are. The loop runs on the driver;
+    a step reads the chunks twice, and its basis is made from the first one and
+    the columns so far, so that plans don't grow with the steps.
     """
     chosen: list[tuple[int, int]] = []
-    for _ in range(steps):
-        table = marginal(chunks, basis).where("pval is not null")
+    start = now = basis.persist()
+    while len(chosen) < steps:
+        table = marginal(chunks, now).where("pval is not null")
         for c, p in chosen:
             table = table.where(~((F.col("chunk_id") == c) & (F.col("pos") == p)))
         best = table.orderBy("pval", F.desc("z2"), "chunk_id", "pos").first()
         if best is None:
             raise ValueError("there are fewer usable features than steps")
         chosen.append((best["chunk_id"], best["pos"]))
-        column = chunks.where(F.col("chunk_id") == best["chunk_id"]).select("gene", F.col("x")[best["pos"]].alias("new"))
-        basis = basis.join(column, "gene").select("gene", "y", F.concat("v", F.array("new")).alias("v"))
+        if now is not start:
+            now.unpersist()
+        places = chunks.sparkSession.createDataFrame([(c, p, i) for i, (c, p) in enumerate(chosen)], "chunk_id int, pos int, col_idx long")
+        now = start.join(pick(chunks, places), "gene").select("gene", "y", F.concat("v", "x").alias("v"))
     return chosen
