@@ -82,7 +82,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     got = registry.queries()[name](spark, SMALL).toPandas()
     want = con.sql(registry.oracle_sql()[name]).df()[list(got.columns)]

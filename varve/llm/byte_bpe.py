@@ -397,6 +397,7 @@ def digests(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, decoded and digested. Nulls, repeats, long texts and empty tables: see encode() and digests()."""
     return digests(encode(documents(spark, sf_dir)))
 
 

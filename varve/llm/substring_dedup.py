@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._scan import U, Words, grams, mix, slices
 from ._tables import documents, fits, kept
@@ -328,28 +329,12 @@ def _with(docs: DataFrame, table: DataFrame, name: str, every: bool) -> DataFram
     return some.unionByName(docs.join(ids, "rid", "left_anti").withColumn(name, F.lit(None).cast(table.schema[name].dataType)))
 
 
-def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
-    """``docs`` (doc_id, text) with the words of repeated windows cut from text, and n_words and n_removed.
+def cut(docs: DataFrame, schema: StructType, window: int) -> DataFrame:
+    """The columns of ``schema`` with the words of the runs of windows in cuts (null: none) cut from text, and n_words and n_removed."""
+    columns = schema.names
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
 
-    A window of ``window`` words is repeated if it also starts earlier: in a
-    document of smaller doc_id, or further ahead in the same one. Windows are
-    judged on the text as given. White space before a cut stays. Null texts
-    stay null, texts of fewer words than a window stay as they are, a null
-    doc_id comes after all others, and rows equal in doc_id and text count as
-    one document. Columns of ``docs`` named rid, doc, marks, cuts, n_words or
-    n_removed are replaced.
-    """
-    mine = ["rid", "doc", "marks", "cuts", "n_words", "n_removed"]
-    own = docs.drop(*mine)
-    columns = own.columns
-    keyed = own.withColumn("rid", F.xxhash64("doc_id", "text"))
-    marks, crowded = _marked(mark(keyed, window, gram))
-    ordered = keyed.select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    cuts = _by_document(compare(_with(ordered, marks, "marks", False), window, gram, crowded), "cuts")
-    joined = _with(keyed, cuts, "cuts", True).drop("rid")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column("text"))
             runs = part.column("cuts")
@@ -378,11 +363,36 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if f == "text" else part.column(f) for f in columns]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*columns, "n_words", "n_removed"])
 
-    return joined.select(*columns, "cuts").mapInArrow(cut, ", ".join([*fields, "n_words long", "n_removed long"]))
+    return docs.select(*columns, "cuts").mapInArrow(run, ", ".join([*fields, "n_words long", "n_removed long"]))
+
+
+def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
+    """``docs`` (doc_id, text) with the words of repeated windows cut from text, and n_words and n_removed.
+
+    A window of ``window`` words is repeated if it also starts earlier: in a
+    document of smaller doc_id, or further ahead in the same one. Windows are
+    judged on the text as given. White space before a cut stays. Null texts
+    stay null, texts of fewer words than a window stay as they are, a null
+    doc_id comes after all others, and rows equal in doc_id and text count as
+    one document. Columns of ``docs`` named rid, doc, marks, cuts, n_words or
+    n_removed are replaced.
+    """
+    mine = ["rid", "doc", "marks", "cuts", "n_words", "n_removed"]
+    own = docs.drop(*mine)
+    keyed = own.withColumn("rid", F.xxhash64("doc_id", "text"))
+    marks, crowded = _marked(mark(keyed, window, gram))
+    ordered = keyed.select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    cuts = _by_document(compare(_with(ordered, marks, "marks", False), window, gram, crowded), "cuts")
+    joined = _with(keyed, cuts, "cuts", True).drop("rid")
+    return cut(joined, own.schema, window)
 
 
 def digests(deduped: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the sha256 of the words that stay, joined by spaces."""
+    """doc_id, n_words, n_removed and the sha256 of the words that stay, joined by spaces.
+
+    A null or empty text has no words and the digest of nothing; every row of
+    ``deduped`` gives one, repeated ones too, and an empty table none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -393,6 +403,7 @@ def digests(deduped: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents without repeated passages. Nulls, repeats, short and long texts and empty tables: see dedup()."""
     return digests(dedup(documents(spark, sf_dir).select("doc_id", "text")))
 
 
