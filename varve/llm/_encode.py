@@ -17,9 +17,10 @@ frequent pieces stay and rare ones leave.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Letters of Latin-1, then ASCII marks but the apostrophe, which may open a token with letters.
@@ -82,6 +83,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.cache_bytes = spaces, cache_bytes
+        self.mark = "\x00" if spaces else " "
         vocabulary = self.tokenizer.get_vocab()
         # a token that opens a word with its space, or one that closes a word
         self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -141,7 +143,7 @@ class Encoder:
             made = self.tokenizer.encode([new[k] for k in part], is_pretokenized=True, add_special_tokens=False)
             now.store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64))
             if self.spaces:
-                now.odd[at + np.array(part)] = [new[k][0] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
+                now.odd[at + np.array(part)] = [new[k][:1] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
         if joined:
             own, stem, marks = np.array(joined).T
             ids, per = now.take(np.stack([stem, np.maximum(marks, 0)], 1).ravel())
@@ -150,25 +152,29 @@ class Encoder:
                 per[1::2][marks < 0] = 0
             now.store(own, ids, per[::2] + per[1::2])
 
-    def _split(self, text: str) -> list[str] | None:
-        """A text's pieces; None if it has a zero byte, which marks the cuts."""
+    def _marked(self, text: str) -> str | None:
+        """A text with its cuts marked by ``self.mark``; None if it has that mark itself."""
         if not self.spaces:
-            return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ")
         if "\x00" in text:
             return None
         if "\n" in text and not _WIDE.search(text):
             text = text.replace("\n", "\x00\n\x00")
-        pieces = text.replace(" ", "\x00 ").split("\x00")  # each piece but a line's first keeps the space before it
-        return pieces[not pieces[0] : len(pieces) - (not pieces[-1])] if not pieces[0] or not pieces[-1] else pieces
+        return text.replace(" ", "\x00 ")  # each piece but a line's first keeps the space before it
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.now.bytes > self.cache_bytes:
             self.now, self.old = _Generation(), self.now
-        split = [self._split(t) for t in texts]
-        whole = {i for i, s in enumerate(split) if s is None}
-        sizes = np.array([len(s) if s is not None else 0 for s in split], np.int64)
-        at = np.fromiter(map(self.now.pieces.__getitem__, chain.from_iterable([s for s in split if s is not None])), np.int64, int(sizes.sum()))
-        del split
+        marked = [self._marked(t) for t in texts]
+        whole = {i for i, s in enumerate(marked) if s is None}
+        lists = pc.split_pattern(pa.array([s or "" for s in marked], pa.string()), self.mark)
+        del marked
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()  # each different piece is looked up once
+        del lists
+        different = pieces.dictionary.to_pylist()
+        at = np.fromiter(map(self.now.pieces.__getitem__, different), np.int64, len(different))[pieces.indices.to_numpy()]
+        del pieces, different
         if self.now.pieces.new:
             self._learn()
         now = self.now
