@@ -34,21 +34,19 @@ FILE_SCHEMA = "task int, shard int, first_doc long, n_docs long, n_tokens long,
 _BUCKETS = 20
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int, where: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, pair of each place, pairs, counts): where pairs stand that occur ``often`` times or more; ``last`` marks the documents' last symbols.
+def _frequent(a: np.ndarray, b: np.ndarray, turn: int, often: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, pair of each place, pairs, counts): where pairs (a[i], b[i]) stand that occur ``often`` times or more.
 
     Pairs are counted by hash buckets first; those in heavy buckets exactly.
-    ``where``: the places to look at (None: all).
     """
-    a, b = (seq[:-1], seq[1:]) if where is None else (seq[where], seq[where + 1])
-    inner = ~last[:-1] if where is None else ~last[where]
+    bits = min(_BUCKETS, max(10, len(a).bit_length() + 1))
     # other factors in each round, so pairs that share a bucket in one are apart in the next
-    bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)
-    heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS) >= often)
-    slot = np.full(1 << _BUCKETS, -1, np.int32)
+    bucket = (a * np.uint32(0x9E3779B1 + 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - bits)
+    heavy = np.flatnonzero(np.bincount(bucket, minlength=1 << bits) >= often)
+    slot = np.full(1 << bits, -1, np.int32)
     slot[heavy] = np.arange(len(heavy))
     which = slot[bucket]
-    at = np.flatnonzero((which >= 0) & inner)
+    at = np.flatnonzero(which >= 0)
     which = which[at]
     key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
     pairs = np.zeros(len(heavy), np.uint64)
@@ -60,8 +58,7 @@ def _frequent(seq: np.ndarray, last: np.ndarray, turn: int, often: int, where: n
         pairs = np.concatenate([pairs, more])
     counts = np.bincount(which, minlength=len(pairs))
     good = counts[which] >= often
-    at = at[good]
-    return at if where is None else where[at], which[good], pairs, counts
+    return at[good], which[good], pairs, counts
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,21 +67,24 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000,
     A pair is frequent with ``least`` occurrences, and one in ``share`` places;
     a rule that would be used fewer than ``pays`` times is not made.
     """
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
+    seq, n = ids.astype(np.uint32), len(ids)
+    last = np.zeros(n, bool)
     last[(np.cumsum(counts) - 1)[counts > 0]] = True
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # the next and the previous place that has a symbol
+    alive, flag = np.ones(n, bool), np.zeros(n + 1, bool)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    often = max(least, len(seq) // share)
-    turn, where = 0, None
-    while len(seq) >= 2 * least:
-        at, which, pairs, weight = _frequent(seq, last, turn, often, where)
+    often, left_over = max(least, n // share), n
+    turn, where = 0, np.flatnonzero(~last)
+    while left_over >= 2 * least:
+        at, which, pairs, weight = _frequent(seq[where], seq[after[where]], turn, often)
+        at = where[at]
         turn += 1
         if not len(at):
             break
         every = at
         weight = weight[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
-        touch = np.diff(at) == 1
+        touch = at[1:] == after[at[:-1]]
         run = np.append(True, ~touch | (weight[1:] != weight[:-1]))
         begins = np.flatnonzero(run)
         beats = (np.arange(len(at)) - begins[np.cumsum(run) - 1]) % 2 == 0
@@ -102,19 +102,23 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000,
         added = size(left) + size(right)
         rules.append(np.stack([left, right], 1))
         lengths = np.concatenate([lengths, added])
-        seq[at] = number[which].astype(np.uint32)
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        gone = after[at]
         # counts of other pairs only fall, so the next round looks at pairs with a new symbol and at those found now but not replaced
-        touched = ~stay
-        touched[at] = True
-        waiting = every[~(touched[every] | touched[every + 1])]
-        place = np.cumsum(stay) - 1
-        seq, last = seq[stay], last[stay]
-        look = np.zeros(len(seq) + 1, bool)
-        look[place[at]] = look[place[at] - 1] = look[place[waiting]] = True
-        where = np.flatnonzero(look[: len(seq) - 1])
+        flag[at] = flag[gone] = True
+        waiting = every[~(flag[every] | flag[after[every]])]
+        flag[at] = flag[gone] = False
+        seq[at] = number[which].astype(np.uint32)
+        last[at] = last[gone]
+        alive[gone] = False
+        left_over -= len(gone)
+        after[at] = after[gone]
+        before[after[at]] = at
+        flag[at] = flag[before[at]] = flag[waiting] = True
+        flag[-1] = False  # what stands before the first place
+        where = np.flatnonzero(flag)
+        flag[where] = False
+        where = where[~last[where]]
+    seq, last = seq[alive], last[alive]
     symbols = np.zeros(len(counts), np.int64)
     ends = np.flatnonzero(last) + 1
     symbols[counts > 0] = np.diff(ends, prepend=0)
