@@ -106,6 +106,12 @@ def test_import_of_arrays(spark, files):
     rows = {(r["chunk_id"], r["gene"]): r["x"] for r in chunks.collect()}
     assert len(rows) == 2 * len(genes) and all(np.allclose(rows[0, g] + rows[1, g], x[i], atol=1e-6) for i, g in enumerate(genes))
     assert [r["gene"] for r in matrices.read_rows(spark, str(top / "b")).orderBy("row_idx").collect()] == genes
+    # the scoring job reads the arrays as they lie
+    base = dict(gene_annot_path=str(top / "annot"), magma_prefix=str(top / "s"), feature_selection_p_cutoff=0.5)
+    runs = [scoring.run(spark, scoring.Config(**base, feature_mat_prefix=str(top / name), num_feature_chunks=k)) for name, k in (("a", 2), ("m", 3))]
+    assert runs[0].selected == runs[1].selected
+    scores = [{r["gene"]: r["PoPS_Score"] for r in run.preds.collect()} for run in runs]
+    assert all(abs(scores[0][g] - scores[1][g]) < 1e-5 for g in genes)
     np.save(top / "a.mat.1.npy", x[:-1, 5:])
     with pytest.raises(ValueError):
         matrices.import_arrays(spark, str(top / "a"), 2, str(top / "c"))

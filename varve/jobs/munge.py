@@ -16,6 +16,8 @@ def run(spark: SparkSession, gene_annot_path: str, feature_dir: str, save_prefix
     if nan_policy not in munge.POLICIES:
         raise ValueError(f"nan_policy is one of {', '.join(munge.POLICIES)}")
     spine = files.spine(spark, gene_annot_path)
+    if twice := [r["gene"] for r in spine.groupBy("gene").count().where("count > 1").limit(5).collect()]:
+        raise ValueError(f"genes come twice in the annotation: {twice}")
     frames = files.feature_files(spark, feature_dir)
     features = spark.createDataFrame(list(enumerate(munge.feature_names(frames))), "col_idx long, feature string")
     values = munge.on_spine(spine, frames, max_cols)

@@ -226,13 +226,13 @@ AR1 = (
 @query(f"{AR1} SELECT DISTINCT vec_id AS gene_id, round(y, 6) + 0.0 AS y FROM wh")
 def whiten_ar1(spark, d):
     y = genes_with_target(spark, d).select(F.lit(0).alias("chunk_id"), "gene", F.array("y").alias("x"))
-    white = covariance.whiten(y, covariance.whiteners(ar1_blocks(spark, d)))
+    white = covariance.whiten(y, covariance.factors(ar1_blocks(spark, d)))
     return white.select(F.col("gene").cast("long").alias("gene_id"), _r(F.col("x")[0]).alias("y"))
 
 
 def whitened(spark, d):
     """Chunks and basis of genes with a target, whitened; kept, as the passes read them several times."""
-    factors = covariance.whiteners(ar1_blocks(spark, d)).persist()
+    factors = covariance.factors(ar1_blocks(spark, d)).persist()
     b = genes_with_target(spark, d).select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
     white = covariance.whiten(b, factors).select("gene", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("v"))
     return covariance.whiten(feature_chunks(spark, d), factors).select("chunk_id", "gene", "x").persist(), white
@@ -281,7 +281,7 @@ def covariate_projection_whitened(spark, d):
     t, c = _six(spark, d)
     blocks = ar1_blocks(spark, d)
     rows = t.join(project.with_intercept(c), "gene").join(blocks.select("gene"), "gene", "left_semi").select(F.lit(0).alias("chunk_id"), "gene", F.concat(F.array("y"), "c").alias("x"))
-    white = covariance.whiten(rows, covariance.whiteners(blocks)).select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
+    white = covariance.whiten(rows, covariance.factors(blocks)).select("gene", F.col("x")[0].alias("y"), F.slice("x", 2, F.size("x") - 1).alias("c"))
     return project.project_out(t, c, t, white).select(F.col("gene").cast("long").alias("gene_id"), _r("y").alias("y"))
 
 

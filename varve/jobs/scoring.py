@@ -58,7 +58,7 @@ class Results:
     selected: list[str] = field(default_factory=list)
 
 
-def read_target(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def read_target(spark: SparkSession, c: Config, annotation: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(target, covariates, blocks); the gene statistics win over a custom target."""
     if c.magma_prefix is not None:
         y = files.gene_scores(spark, f"{c.magma_prefix}.genes.out")
@@ -74,7 +74,7 @@ def read_target(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame |
     if c.y_path is not None:
         y = files.target(spark, c.y_path)
         cov = files.custom_covariates(spark, c.y_covariates_path) if c.y_covariates_path else None
-        return y, cov, matrices.read_covariance(spark, c.y_error_cov_path, y) if c.y_error_cov_path else None
+        return y, cov, matrices.read_covariance(spark, c.y_error_cov_path, y, annotation) if c.y_error_cov_path else None
     raise ValueError("give gene statistics or a custom target")
 
 
@@ -90,7 +90,7 @@ def relabelled(blocks: DataFrame, annotation: DataFrame) -> DataFrame:
 
 def whitened(blocks: DataFrame, genes: DataFrame, added: float, *values: DataFrame) -> list[DataFrame]:
     """Each of values (chunk_id, gene, x) of ``genes``, whitened by the factor of their own covariance. Factors and results are kept, as the steps read them several times."""
-    factors = covariance.whiteners(covariance.masked_blocks(blocks, genes), added).persist()
+    factors = covariance.factors(covariance.masked_blocks(blocks, genes), added).persist()
     return [covariance.whiten(v, factors).select("chunk_id", "gene", "x").persist() for v in values]
 
 
@@ -99,7 +99,7 @@ def run(spark: SparkSession, c: Config) -> Results:
     if c.method not in fit.METHODS:
         raise ValueError(f"method is one of {', '.join(fit.METHODS)}")
     annotation = files.annotation(spark, c.gene_annot_path)
-    y, cov, blocks = read_target(spark, c)
+    y, cov, blocks = read_target(spark, c, annotation)
     added = 0.0
     if blocks is not None:
         blocks = relabelled(blocks, annotation).cache()

@@ -53,7 +53,7 @@ def _summed(joined: DataFrame, run, name: str) -> DataFrame:
 def marginal(chunks: DataFrame, basis: DataFrame) -> DataFrame:
     """(chunk_id, pos, beta, se, z2, pval, r2, n) of every column; null where the column is nearly constant.
 
-    A gene of the basis without values is an error. The basis (a row for each
+    A gene of the basis without values, or with several rows of them, is an error. The basis (a row for each
     gene) is kept for the passes, and sent to all tasks where it is small.
     """
     basis = basis.persist()
@@ -76,6 +76,9 @@ def marginal(chunks: DataFrame, basis: DataFrame) -> DataFrame:
     if not len(moments) or moments["found"].min() < m["n"]:
         lacking = [r[0] for r in basis.join(chunks, "gene", "left_anti").select("gene").limit(5).collect()]
         raise ValueError(f"genes of the target lack features: {lacking}")
+    if moments["found"].max() > m["n"]:
+        twice = [r[0] for r in chunks.join(basis.select("gene"), "gene").groupBy("chunk_id", "gene").count().where("count > 1").select("gene").distinct().limit(5).collect()]
+        raise ValueError(f"genes have several rows of values: {twice}")
     coef = {int(c): own[names].to_numpy() @ inverse.T for c, own in moments.groupby("chunk_id")}
     sent = chunks.sparkSession.sparkContext.broadcast(coef)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import skyline
+
+#: Bytes of a table of known size up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
 
 def control_covariates(meta: DataFrame) -> DataFrame:
     """(gene, c): gene size, density, inverse MAC and their logarithms, from nsnps, nparam and mac over 0."""
@@ -41,19 +45,9 @@ def dense_block(i: np.ndarray, tails: list, diagonal: np.ndarray | None = None)
     return out
 
 
-def _block(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    pdf = pdf.sort_values("i")
-    return pdf, dense_block(pdf["i"].to_numpy(), list(pdf["r"]), pdf["d"].to_numpy())
-
-
 def smallest_eigenvalue(blocks: DataFrame) -> DataFrame:
     """(chr, low) of each block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, m = _block(pdf)
-        return pd.DataFrame({"chr": [pdf["chr"].iloc[0]], "low": [float(np.linalg.eigvalsh(m)[0])]})
-
-    return blocks.select("chr", "i", "r", "d").groupBy("chr").applyInPandas(run, "chr string, low double")
+    return skyline.smallest_eigenvalues(blocks)
 
 
 def ridge_constant(low: float, variance: float) -> float:
@@ -68,69 +62,40 @@ def regularisation(blocks: DataFrame, target: DataFrame) -> float:
 
 
 def whiteners(blocks: DataFrame, added: float = 0.0) -> DataFrame:
-    """(chr, i, gene, w): rows of the inverse Cholesky factor of each block with ``added`` on its diagonal.
+    """(chr, i, gene, w): rows of the inverse Cholesky factor of each block with ``added`` on its diagonal, which is what whitening makes of unit vectors.
 
-    Only genes of a mask may be in ``blocks``, since the factor of a part is
-    not the part of a factor; r then has to be re-cut, see masked_blocks().
+    These are square and for looking at small blocks; whiten() works with the factors themselves.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, m = _block(pdf)
-        n = len(pdf)
-        low = np.linalg.cholesky(m + added * np.eye(n))
-        return pd.DataFrame({"chr": pdf["chr"], "i": pdf["i"], "gene": pdf["gene"], "w": list(np.linalg.solve(low, np.eye(n)))})
-
-    return blocks.select("chr", "i", "gene", "r", "d").groupBy("chr").applyInPandas(run, "chr string, i long, gene string, w array<double>")
+    rows = skyline.factors(blocks, added)
+    unit = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: (k == F.col("i")).cast("double"))
+    return skyline.whiten(rows.select(F.lit(0).alias("chunk_id"), "gene", unit.alias("x")), rows).select("chr", "i", "gene", F.col("x").alias("w"))
 
 
 def regrouped(blocks: DataFrame) -> DataFrame:
     """Blocks anew by the label ``own``; what lies across labels is dropped."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, m = _block(pdf)
-        out = []
-        for _, own in pdf.reset_index(drop=True).groupby("own"):
-            at = own.index.to_numpy()
-            sub = m[np.ix_(at, at)]
-            out.append(pd.DataFrame({"chr": own["own"], "part": own["chr"], "y_idx": own["y_idx"], "gene": own["gene"], "r": [sub[k, :k] for k in range(len(at))], "d": np.diag(sub)}))
-        return pd.concat(out)
-
-    parts = blocks.select("chr", "own", "y_idx", "gene", "i", "r", "d").groupBy("chr").applyInPandas(run, "chr string, part string, y_idx long, gene string, r array<double>, d double")
+    parts = skyline.recut(blocks).select(F.col("own").alias("chr"), F.col("chr").alias("part"), "y_idx", "gene", "r", "d")
     # genes of one old block stay next to each other, so their rows still reach back to the right places
     return parts.withColumn("i", F.row_number().over(Window.partitionBy("chr").orderBy("part", "y_idx")) - 1).drop("part")
 
 
 def masked_blocks(blocks: DataFrame, genes: DataFrame) -> DataFrame:
     """Blocks restricted to ``genes`` (gene), with places and correlations anew."""
+    marked = blocks.join(genes.select("gene", F.lit(True).alias("kept")), "gene", "left").withColumn("own", F.when(F.col("kept"), F.col("chr")))
+    return skyline.recut(marked).select("chr", "y_idx", "gene", "i", "r", "d")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, m = _block(pdf)
-        on = pdf["kept"].to_numpy()
-        sub = m[np.ix_(on, on)]
-        own = pdf[on]
-        return pd.DataFrame({"chr": own["chr"], "y_idx": own["y_idx"], "gene": own["gene"], "i": np.arange(len(own)), "r": [sub[k, :k] for k in range(len(own))], "d": np.diag(sub)})
 
-    marked = blocks.join(genes.select("gene", F.lit(True).alias("kept")), "gene", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    return marked.select("chr", "y_idx", "gene", "i", "r", "d", "kept").groupBy("chr").applyInPandas(run, "chr string, y_idx long, gene string, i long, r array<double>, d double")
+def by_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks (chr, i, y_idx, gene, r, d) by label of one whole matrix: rows (y_idx, gene, r, d), r being all that is before the diagonal, and labels (gene, chr).
 
+    Each row picks its own label's columns, so no task sees the matrix. What
+    lies across labels is dropped; a gene without a label is an error.
+    """
+    own = rows.join(labels.select("gene", "chr"), "gene", "left")
+    if lacking := [r[0] for r in own.where("chr is null").select("gene").limit(5).collect()]:
+        raise ValueError(f"genes of the error covariance lack an annotation: {lacking}")
+    members = own.groupBy("chr").agg(F.array_sort(F.collect_list("y_idx")).alias("members"))  # a number for each gene
+    picked = own.join(F.broadcast(members) if rows.count() * 8 <= BROADCAST_BYTES else members, "chr").withColumn("before", F.filter("members", lambda m: m < F.col("y_idx")))
+    return picked.select("chr", F.size("before").cast("long").alias("i"), "y_idx", "gene", F.transform("before", lambda m: F.get("r", m)).alias("r"), "d")
 
-def whiten(values: DataFrame, factors: DataFrame, name: str = "x") -> DataFrame:
-    """(chr, chunk_id, i, gene, x): each chromosome's rows of values (chunk_id, gene, x) times its factor.
 
-    A task gets one chromosome of one chunk, with that chromosome's factor.
-    """
-    ids = values.select("chunk_id").distinct()
-    left = factors.join(F.broadcast(ids)).select(F.col("chr").alias("f_chr"), F.col("chunk_id").alias("f_chunk"), F.col("i").alias("f_i"), F.col("gene").alias("f_gene"), "w")
-    right = values.join(factors.select("gene", "chr"), "gene").select("chr", "chunk_id", "gene", F.col(name).alias("x"))
-
-    def run(f: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(f) or not len(v):
-            return pd.DataFrame({"chr": [], "chunk_id": [], "i": [], "gene": [], "x": []})
-        f = f.sort_values("f_i")
-        by = dict(zip(v["gene"], v["x"], strict=True))
-        if missing := [g for g in f["f_gene"] if g not in by]:
-            raise ValueError(f"genes without values: {missing[:5]}")
-        out = np.stack(list(f["w"])) @ np.stack([by[g] for g in f["f_gene"]])
-        return pd.DataFrame({"chr": f["f_chr"], "chunk_id": f["f_chunk"], "i": f["f_i"], "gene": f["f_gene"], "x": list(out)})
-
-    return left.groupBy("f_chr", "f_chunk").cogroup(right.groupBy("chr", "chunk_id")).applyInPandas(run, "chr string, chunk_id int, i long, gene string, x array<double>")
+factors, whiten = skyline.factors, skyline.whiten

@@ -25,10 +25,12 @@ def pick(chunks: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def predict(chunks: DataFrame, coefs: DataFrame) -> DataFrame:
-    """(gene, score): the raw values times coefficients (chunk_id, pos, beta), for every gene of the matrix."""
+    """(gene, score): the raw values times coefficients (chunk_id, pos, beta), for every gene of the matrix. A gene with several rows of values is an error."""
+    most = coefs.select("chunk_id").distinct().count()
     per = coefs.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "beta"))).alias("b"))
     own = chunks.join(F.broadcast(per), "chunk_id").select("gene", F.aggregate("b", F.lit(0.0), lambda s, c: s + F.col("x")[c["pos"]] * c["beta"]).alias("part"))
-    return own.groupBy("gene").agg(F.sum("part").alias("score"))
+    once = F.count(F.lit(1)) <= most
+    return own.groupBy("gene").agg(F.when(once, F.sum("part")).otherwise(F.raise_error(F.concat(F.lit("a gene has several rows of values: "), "gene"))).alias("score"))
 
 
 def annotate(scores: DataFrame, target: DataFrame, masks: dict[str, DataFrame], projected: DataFrame | None = None) -> DataFrame:

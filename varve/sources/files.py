@@ -74,6 +74,11 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return tokens.select(F.row_number().over(Window.orderBy("row_idx", "at")).cast("long").alias("place"), "feature")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def feature_files(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The files of a folder, in the order of their names, without hidden ones."""
     jvm = spark._jvm
