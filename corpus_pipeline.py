@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from varve.jobs.shipping import ship
 from varve.llm import line_quality, ngram_join, packing, pseudonyms, substring_dedup
-from varve.llm._tables import documents, kept, small_side
+from varve.llm._tables import documents, dropped, kept, small_side
 
 
 _OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,7 +22,10 @@ def extras_aside(stage):
     """The stage, with columns beyond those of documents under names that clash with none of an operator's."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        aside = {c: f"_extra_{i}" for i, c in enumerate(docs.columns) if c not in _OWN}
+        prefix = "_extra_"
+        while any(c.lower().startswith(prefix) for c in docs.columns):  # names differ by more than case
+            prefix = f"_{prefix}"
+        aside = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c not in _OWN}
         back = {v: k for k, v in aside.items()}
         return stage(spark, docs.withColumnsRenamed(aside), sf_dir).withColumnsRenamed(back)
 
@@ -84,6 +87,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, kept(stage(spark, docs, sf_dir), name)
+        if k:
+            dropped(before)  # the stage before wrote it, and this one has read it
     return docs
