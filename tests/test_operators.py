@@ -209,3 +209,45 @@ def test_a_negative_eigenvalue_raises_the_diagonal(spark):
 def test_chi2_tail(spark):
     got = spark.createDataFrame([(3.841458820694124,), (0.0,), (None,)], "z double").select(chi2_sf1("z")).collect()
     assert abs(got[0][0] - 0.05) < 1e-15 and got[1][0] == 1.0 and got[2][0] is None
+
+
+def stepwise(x, y, v, steps):
+    """The definition: at every step all columns are projected anew."""
+    chosen = []
+    for _ in range(steps):
+        q = np.linalg.qr(np.column_stack([v, x[:, chosen]]))[0]
+        xr, yr = x - q @ (q.T @ x), y - q @ (q.T @ y)
+        z = np.array([(a @ yr) ** 2 / (a @ a) / (yr @ yr - (a @ yr) ** 2 / (a @ a)) if a @ a > 1e-8 and j not in chosen else -1 for j, a in enumerate(xr.T)])
+        chosen.append(int(np.argmax(z)))
+    return chosen
+
+
+@pytest.mark.parametrize("whitened", [False, True])
+def test_ten_steps(spark, whitened):
+    """Equal picks for ten steps, with nearly and wholly dependent columns, in two chunks, with and without an error covariance."""
+    rng = np.random.default_rng(11)
+    n = 80
+    x = rng.normal(size=(n, 30))
+    x[:, 7], x[:, 8], x[:, 9] = x[:, 3] + 1e-3 * x[:, 7], x[:, 3], 5.0
+    y = x[:, :14] @ np.linspace(3, 0.2, 14) + 0.3 * rng.normal(size=n)
+    v = np.column_stack([np.ones(n), rng.normal(size=n)])
+    if whitened:
+        w = np.linalg.inv(np.linalg.cholesky(0.4 ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))))
+        x, y, v = w @ x, w @ y, w @ v
+    chunks = spark.createDataFrame([(c, str(i), [float(a) for a in row]) for c, part in enumerate((x[:, :20], x[:, 20:])) for i, row in enumerate(part)], "chunk_id int, gene string, x array<double>").repartition(4)
+    got = association.forward_stepwise(chunks, with_basis(spark, y, v), 10)
+    assert [20 * c + p for c, p in got] == stepwise(x, y, v, 10)
+    with pytest.raises(ValueError, match="fewer usable"):
+        association.forward_stepwise(chunks.withColumn("x", F.slice("x", 1, 2)), with_basis(spark, y, v), 5)
+
+
+def test_one_pass_keeps_nearly_constant_columns(spark):
+    """Values of 10^7 that vary by 1, over many tasks: sums of squares less squares of sums would have nothing left."""
+    rng = np.random.default_rng(12)
+    x = 1e7 + rng.normal(size=(300, 3))
+    y = x[:, 0] - 1e7 + rng.normal(size=300)
+    got = association.marginal(chunked(spark, x).repartition(7), with_basis(spark, y)).orderBy("pos").collect()
+    xc, yc = x - x.mean(0), y - y.mean()
+    assert np.allclose([r["beta"] for r in got], (xc * yc[:, None]).sum(0) / (xc * xc).sum(0), rtol=1e-6)
+    with pytest.raises(Exception, match="linearly dependent"):
+        association.marginal(chunked(spark, x), with_basis(spark, y, np.ones((300, 2))))

@@ -7,9 +7,15 @@ for a single value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orthogonal import lists, matrix
+
 POLICIES = ("raise", "ignore", "mean", "zero")
 
 
@@ -72,6 +78,19 @@ def on_spine(spine: DataFrame, frames: list[DataFrame], max_cols: int = 5000) ->
     return joined.select("chunk_id", "row_idx", "gene", x.alias("x"))
 
 
+def _column_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk the sums of its columns' values, and their counts."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        ids = batch.column("chunk_id").to_numpy()
+        for chunk in np.unique(ids).tolist():
+            x = matrix(batch.column("x").filter(pa.array(ids == chunk)))  # null is NaN
+            part = np.stack([np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)])
+            total[chunk] = total[chunk] + part if chunk in total else part
+    for chunk, (s, n) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), lists(s[None]), lists(n[None])], names=["chunk_id", "s", "n"])
+
+
 def impute(chunks: DataFrame, policy: str = "raise") -> DataFrame:
     """Missing values of chunks by policy: an error, left null, the feature's mean over the spine, or 0."""
     if policy not in POLICIES:
@@ -82,7 +101,8 @@ def impute(chunks: DataFrame, policy: str = "raise") -> DataFrame:
     elif policy == "zero":
         return chunks.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
     elif policy == "mean":
-        per = chunks.select("chunk_id", F.posexplode("x").alias("pos", "v")).groupBy("chunk_id", "pos").agg(F.avg("v").alias("mean"))  # summed before the shuffle
+        summed = chunks.select("chunk_id", "x").mapInArrow(_column_sums, "chunk_id int, s array<double>, n array<double>")  # a row for each task and chunk
+        per = summed.select("chunk_id", F.posexplode(F.arrays_zip("s", "n")).alias("pos", "v")).groupBy("chunk_id", "pos").agg(F.try_divide(F.sum("v.s"), F.sum("v.n")).alias("mean"))
         means = per.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("means"))
         return chunks.join(F.broadcast(means), "chunk_id").withColumn("x", F.zip_with("x", "means", lambda v, m: F.coalesce(v, m))).drop("means")  # a row for each chunk
     return chunks

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import near_zero
+from ..tables import kept
+from .orthogonal import lists, matrix, r_factor, weighed_sums
 
 
 def with_intercept(covariates: DataFrame) -> DataFrame:
@@ -17,53 +22,48 @@ def with_intercept(covariates: DataFrame) -> DataFrame:
 
 
 def project_out(target: DataFrame, covariates: DataFrame, used: DataFrame, whitened: DataFrame | None = None) -> DataFrame:
-    """(gene, y): the target less its fit on the covariates.
+    """(gene, y): the target less its fit on the covariates, of the smallest norm where they are dependent.
 
     The fit is over ``used`` genes, on ``whitened`` (gene, y, c) of them if an
-    error covariance is given; residuals are of all genes and unwhitened.
+    error covariance is given; residuals are of all genes and unwhitened. The
+    covariates, a row for each gene, are written down once; the fit is from the
+    R factor of covariates and target.
     """
-    k = covariates.select(F.size("c")).first()[0]
-    col = [F.col("c")[i] for i in range(k)]
-    some = whitened is None
-    rows = target.join(covariates, "gene", "left")
-    if some:
-        rows = rows.join(used.select("gene", F.lit(True).alias("is_used")), "gene", "left")
-    on = F.coalesce("is_used", F.lit(False)) if some else F.lit(False)
-    # one pass: what is missing, whether a column is constant already (over all genes with covariates), and the sums of the fit with an intercept
-    with_one = [*col, F.lit(1.0)]
-    sums = rows.agg(
-        F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).alias("missing"),
-        F.array(*[F.sum(F.when(on, a * b)) for a in with_one for b in with_one]).alias("cc"),
-        F.array(*[F.sum(F.when(on, a * F.col("y"))) for a in with_one]).alias("cy"),
-    ).first()
-    if sums["missing"]:
+    own = kept(covariates.select("gene", "c"), "covariates")
+    k = own.agg(F.max(F.size("c"))).first()[0] or 0
+    flat = own.agg(F.greatest(*[near_zero(F.var_pop(F.col("c")[i])).cast("int") for i in range(k)], F.lit(0))).first()[0]
+    rows = target.join(own, "gene", "left")
+    if rows.where("c is null").limit(1).count():
         raise ValueError("genes of the target lack covariates")
-    flat = covariates.agg(F.greatest(*[near_zero(F.var_pop(c)).cast("int") for c in col], F.lit(0))).first()[0]
+    terms = F.col("c") if flat else F.concat("c", F.array(F.lit(1.0)))
     width = k if flat else k + 1
-    if whitened is not None:
-        own = [F.col("c")[i] for i in range(width)]
-        sums = whitened.agg(F.array(*[F.sum(a * b) for a in own for b in own]).alias("cc"), F.array(*[F.sum(a * F.col("y")) for a in own]).alias("cy")).first()
-        cc, cy = np.array(sums["cc"]).reshape(width, width), np.array(sums["cy"])
-    else:
-        cc, cy = np.array(sums["cc"], float).reshape(k + 1, k + 1)[:width, :width], np.array(sums["cy"], float)[:width]
-    b = np.linalg.pinv(cc, hermitian=True) @ cy
-    return rows.select("gene", (F.col("y") - sum((F.lit(float(v)) * c for v, c in zip(b, with_one, strict=False)), F.lit(0.0))).alias("y"))
+    fitted = rows.join(used.select("gene"), "gene", "left_semi").select(F.concat(terms, F.array("y")).alias("z")) if whitened is None else whitened.select(F.concat(F.slice("c", 1, width), F.array("y")).alias("z"))
+    r = r_factor(fitted)
+    b = np.linalg.lstsq(r[:, :width], r[:, width], rcond=None)[0]
+    return rows.select("gene", (F.col("y") - sum((F.lit(float(v)) * terms[i] for i, v in enumerate(b)), F.lit(0.0))).alias("y"))
 
 
 def residual_values(values: DataFrame, basis: DataFrame) -> DataFrame:
-    """(gene, x, y) less their fit on basis (gene, y, v): what a model is trained on. values: (gene, x)."""
-    k = basis.select(F.size("v")).first()[0]
-    rows = values.join(basis, "gene")
-    p = rows.select(F.size("x")).first()[0]
-    v = [F.col("v")[i] for i in range(k)]
-    vv = np.array(basis.agg(F.array(*[F.sum(a * b) for a in v for b in v]).alias("s")).first()["s"]).reshape(k, k)
-    # one row for each basis vector; the arrays are added up in place by position
-    long = rows.select(F.posexplode(F.concat("x", F.array("y"))).alias("pos", "z"), "v").groupBy("pos").agg(F.array(*[F.sum(F.col("z") * c) for c in v]).alias("s"))
-    sums = {r["pos"]: r["s"] for r in long.collect()}
-    coef = np.linalg.solve(vv, np.array([sums[i] for i in range(p + 1)]).T)
-    out = F.concat("x", F.array("y"))
-    for i in range(k):
-        fit = F.array(*[F.lit(float(c)) for c in coef[i]])
-        scale = F.col("v")[i]
-        out = F.zip_with(out, F.transform(fit, lambda c: c * scale), lambda a, b: a - b)  # noqa: B023
-    return rows.select("gene", out.alias("z")).select("gene", F.slice("z", 1, p).alias("x"), F.col("z")[p].alias("y"))
+    """(gene, x, y) less their fit on basis (gene, y, v): what a model is trained on. values: (gene, x).
+
+    One pass sums the products with the basis, and a second takes the fit off.
+    """
+    rows = values.select("gene", "x").join(basis.select("gene", "y", "v"), "gene")
+    first = rows.select(F.size("x"), F.size("v")).first()
+    if first is None:
+        return rows.select("gene", "x", "y")
+    p, k = first
+    turned = np.linalg.inv(r_factor(basis.select(F.col("v").alias("z"))))  # v times this is orthonormal
+
+    def weights(batch: pa.RecordBatch, _: np.ndarray) -> np.ndarray:
+        return matrix(batch.column("v")) @ turned
+
+    coef = weighed_sums(rows.select(F.concat("x", F.array("y")).alias("x"), "v"), weights, p + 1, k).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = np.column_stack([matrix(batch.column("x")), batch.column("y").to_numpy()]) - matrix(batch.column("v")) @ turned @ coef
+                yield pa.RecordBatch.from_arrays([batch.column("gene"), lists(z[:, :p]), pa.array(np.ascontiguousarray(z[:, p]))], names=["gene", "x", "y"])
+
+    return rows.mapInArrow(run, "gene string, x array<double>, y double")
