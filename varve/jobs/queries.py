@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import Z2_AT_005, alphas, chi2_sf1
 from ..operators import association, covariance, fit, masks, munge, predict, project, select
+from ..tables import kept
 
 RHO = 0.3
 MAX_COLS = 20
@@ -232,7 +233,7 @@ def whiten_ar1(spark, d):
 
 def whitened(spark, d):
     """Chunks and basis of genes with a target, whitened; kept, as the passes read them several times."""
-    factors = covariance.factors(ar1_blocks(spark, d)).persist()
+    factors = covariance.factors(ar1_blocks(spark, d))
     b = genes_with_target(spark, d).select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
     white = covariance.whiten(b, factors).select("gene", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("v"))
     return covariance.whiten(feature_chunks(spark, d), factors).select("chunk_id", "gene", "x").persist(), white
@@ -257,14 +258,14 @@ def regularization_lambda(spark, d):
 
 @query(f"WITH {G}, {T}, {META}, j AS (SELECT t.vec_id, t.y, ln(nparam) AS c FROM t JOIN meta USING (vec_id) WHERE mac > 0), s AS (SELECT regr_slope(y, c) AS b, regr_intercept(y, c) AS a FROM j) SELECT vec_id AS gene_id, round(y - a - b * c, 6) + 0.0 AS y FROM j, s")
 def covariate_projection_k1(spark, d):
-    c = covariance.control_covariates(metadata(spark, d)).where("c is not null").select("gene", F.array(F.col("c")[3]).alias("c"))
+    c = kept(covariance.control_covariates(metadata(spark, d)).where("c is not null").select("gene", F.array(F.col("c")[3]).alias("c")), "covariates")
     t = target(spark, d).join(c.select("gene"), "gene", "left_semi")
     return project.project_out(t, c, t).select(F.col("gene").cast("long").alias("gene_id"), _r("y").alias("y"))
 
 
 def _six(spark, d):
     """(target, covariates): all six covariates of genes that have them."""
-    c = covariance.control_covariates(metadata(spark, d)).where("c is not null")
+    c = kept(covariance.control_covariates(metadata(spark, d)).where("c is not null"), "covariates")
     return target(spark, d).join(c.select("gene"), "gene", "left_semi"), c
 
 

@@ -89,8 +89,8 @@ def relabelled(blocks: DataFrame, annotation: DataFrame) -> DataFrame:
 
 
 def whitened(blocks: DataFrame, genes: DataFrame, added: float, *values: DataFrame) -> list[DataFrame]:
-    """Each of values (chunk_id, gene, x) of ``genes``, whitened by the factor of their own covariance. Factors and results are kept, as the steps read them several times."""
-    factors = covariance.factors(covariance.masked_blocks(blocks, genes), added).persist()
+    """Each of values (chunk_id, gene, x) of ``genes``, whitened by the factor of their own covariance. Results are kept, as the steps read them several times."""
+    factors = covariance.factors(covariance.masked_blocks(blocks, genes), added)
     return [covariance.whiten(v, factors).select("chunk_id", "gene", "x").persist() for v in values]
 
 

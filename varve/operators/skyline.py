@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import kept
+
 #: Rows of a strip; bytes of a factor up to which one task makes it; bytes of whitened values that a task holds.
 TILE, LARGE, HELD = 64, 256 << 20, 64 << 20
 
@@ -145,7 +147,8 @@ def factors(blocks: DataFrame, added: float = 0.0) -> DataFrame:
     l are the numbers before the diagonal dl; n and band are the block's rows
     and longest way back. A block that isn't positive definite is an error.
     Only genes of a mask may be in ``blocks``, since the factor of a part is not
-    the part of a factor; see recut().
+    the part of a factor; see recut(). The rows are written down, as every
+    whitening reads them.
     """
     from .tiles import tiled
 
@@ -157,7 +160,7 @@ def factors(blocks: DataFrame, added: float = 0.0) -> DataFrame:
     out = _streamed(blocks.where(~F.col("chr").isin(large)) if large else blocks, table, added)
     for chr_, n, band, _ in (s for s in shapes if s[0] in large):
         out = out.union(tiled(blocks.where(F.col("chr") == chr_), n, added).select("chr", "gene", "i", F.lit(n).cast("long").alias("n"), F.lit(band).cast("long").alias("band"), "dl", "l"))
-    return out
+    return kept(out, "factors")
 
 
 def whiten(values: DataFrame, rows: DataFrame, name: str = "x") -> DataFrame:
