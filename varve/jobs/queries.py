@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import Z2_AT_005, alphas, chi2_sf1
 from ..operators import association, covariance, fit, masks, munge, predict, project, select
-from ..tables import kept
+from ..streaming.moments import Moments
+from ..tables import kept, new_path
 
 RHO = 0.3
 MAX_COLS = 20
@@ -44,7 +45,11 @@ def long_features(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_chunks(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, gene, x): the components in chunks of MAX_COLS, straight from the arrays."""
-    e = _read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("gene"), F.transform("embedding", lambda v: v.cast("double")).alias("all"))
+    return feature_chunks_of(_read(spark, d, "embeddings"))
+
+
+def feature_chunks_of(rows: DataFrame) -> DataFrame:
+    e = rows.select(F.col("vec_id").cast("string").alias("gene"), F.transform("embedding", lambda v: v.cast("double")).alias("all"))
     ids = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / MAX_COLS).cast("int"))
     return e.select("gene", F.explode(ids).alias("chunk_id"), "all").select("chunk_id", "gene", F.slice("all", F.col("chunk_id") * MAX_COLS + 1, F.lit(MAX_COLS)).alias("x"))
 
@@ -192,6 +197,15 @@ def marginal_ols_chunked(spark, d):
     return _stats(marginals(spark, d))
 
 
+@query(f"{MARG} SELECT {_STATS} FROM s")
+def marginal_ols_streamed(spark, d):
+    """The same from a stream of the table's files, eight a batch, whose moments add up."""
+    state = Moments(spark, new_path(spark, "streamed"))
+    read = spark.readStream.schema(_read(spark, d, "embeddings").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/embeddings.parque[t]")  # a pattern may be a file, a plain path has to be a folder
+    state.follow(feature_chunks_of(read).join(basis(spark, d), "gene").withColumn("version", F.lit(0)))
+    return _stats(state.marginal().withColumn("col_idx", F.col("chunk_id") * MAX_COLS + F.col("pos")))
+
+
 W = "w AS (SELECT l_partkey AS vec_id, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY l_partkey)"
 
 
