@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from varve.jobs import munge, scoring
+from varve.jobs import munge, scoring, writers
 from varve.sources import matrices
 
 
@@ -65,7 +65,7 @@ def test_default_run(spark, files):
     assert np.allclose([float(b) for _, b in got.coefs[3:]], want)
     preds = {r["gene"]: r for r in got.preds.collect()}
     assert np.allclose([preds[g]["PoPS_Score"] for g in genes], x[:, chosen] @ want) and np.allclose([preds[g]["Y_proj"] for g in genes], y)
-    text = lambda name: "".join(p.read_text() for p in sorted((top / f"out.{name}").glob("part-*")))
+    text = lambda name: (top / f"out.{name}").read_text()
     assert text("preds").startswith("ENSGID\tPoPS_Score\tY\tY_proj\tproject_out_covariates_gene\tfeature_selection_gene\ttraining_gene\nG0\t")
     assert text("marginals").startswith("\tbeta\tse\tpval\tr2\tselected\nx0\t") and text("coefs").startswith("parameter\tbeta\nMETHOD\tRidgeCV\nSELECTED_CV_ALPHA\t")
     assert text("traindata").startswith("\tY_train\t") and [r.split("\t")[0] for r in text("matdata").splitlines()] == ["", *genes]
@@ -94,6 +94,25 @@ def test_custom_target_stepwise_and_covariance(spark, files):
         scoring.run(spark, scoring.Config(**base, method="forest"))
 
 
+def test_results_are_files_in_order(spark, tmp_path):
+    """Parts of many tasks, joined; an older result, a file or a folder, is replaced, and nothing else is left."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0").write_text("old")
+    rows = [(i * 7919 % 5000, f"g{i * 7919 % 5000}", None if i % 3 else float(i), i % 2 == 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "place long, ` ` string, v double, b boolean").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            writers.write_tsv(df, str(tmp_path / "t"), "place")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = "\tv\tb\n" + "".join(f"{g}\t{'' if v is None else v}\t{b}\n" for _, g, v, b in sorted(rows))
+    assert (tmp_path / "t").read_text() == want
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    writers.write_tsv(df.where("false"), str(tmp_path / "t"), "place")
+    assert (tmp_path / "t").read_text() == "\tv\tb\n"
+
+
 def test_import_of_arrays(spark, files):
     top, x, _, _, _, genes = files
     (top / "a.rows.txt").write_text("\n".join(genes) + "\n")

@@ -16,6 +16,8 @@ from .shipping import ship
 from .writers import write_tsv
 
 log = logging.getLogger(__name__)
+#: A column of result tables that says their order, and that no feature is called.
+ORDER = "_order of rows_"
 
 
 @dataclass(frozen=True)
@@ -169,15 +171,15 @@ def run(spark: SparkSession, c: Config) -> Results:
 
 def write(spark: SparkSession, c: Config, r: Results, x: DataFrame) -> None:
     extra = ["selection_rank"] if "selection_rank" in r.marginals.columns else []
-    stats = r.marginals.orderBy("col_idx").select(F.col("feature").alias(""), "beta", "se", "pval", "r2", "selected", *extra)
-    write_tsv(stats, f"{c.out_prefix}.marginals")
-    write_tsv(spark.createDataFrame(r.coefs, "parameter string, beta string").coalesce(1), f"{c.out_prefix}.coefs")
+    write_tsv(r.marginals.select(F.col("feature").alias(" "), "beta", "se", "pval", "r2", "selected", *extra, F.col("col_idx").alias(ORDER)), f"{c.out_prefix}.marginals", ORDER)
+    coefs = spark.createDataFrame([(i, *row) for i, row in enumerate(r.coefs)], f"`{ORDER}` long, parameter string, beta string")
+    write_tsv(coefs, f"{c.out_prefix}.coefs", ORDER)
     columns = [k for k in ("PoPS_Score", "Y", "Y_proj", "project_out_covariates_gene", "feature_selection_gene", "training_gene") if k in r.preds.columns]
-    write_tsv(r.preds.orderBy("row_idx").select(F.col("gene").alias("ENSGID"), *columns), f"{c.out_prefix}.preds")
+    write_tsv(r.preds.select(F.col("gene").alias("ENSGID"), *columns, F.col("row_idx").alias(ORDER)), f"{c.out_prefix}.preds", ORDER)
     if c.save_matrix_files:
         wide = [F.col("x")[i].alias(name) for i, name in enumerate(r.selected)]
-        write_tsv(r.training.orderBy("order").select(F.col("gene").alias(""), F.col("y").alias("Y_train"), *wide), f"{c.out_prefix}.traindata")
-        write_tsv(x.orderBy("row_idx").select(F.col("gene").alias(""), *wide), f"{c.out_prefix}.matdata")
+        write_tsv(r.training.select(F.col("gene").alias(" "), F.col("y").alias("Y_train"), *wide, F.col("order").alias(ORDER)), f"{c.out_prefix}.traindata", ORDER)
+        write_tsv(x.select(F.col("gene").alias(" "), *wide, F.col("row_idx").alias(ORDER)), f"{c.out_prefix}.matdata", ORDER)
 
 
 def arguments(argv: list[str] | None = None) -> Config:
