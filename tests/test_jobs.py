@@ -51,8 +51,9 @@ def dense(x, z, chrs, meta):
     return y, xr, yr, beta
 
 
-def test_default_run(spark, files):
+def test_default_run(spark, files, caplog):
     top, x, z, chrs, meta, genes = files
+    caplog.set_level("INFO", "varve.jobs.scoring")
     c = scoring.Config(gene_annot_path=str(top / "annot"), feature_mat_prefix=str(top / "m"), num_feature_chunks=3, magma_prefix=str(top / "s"), feature_selection_p_cutoff=0.5, out_prefix=str(top / "out"), save_matrix_files=True)
     got = scoring.run(spark, c)
     y, xr, yr, beta = dense(x, z, chrs, meta)
@@ -70,6 +71,7 @@ def test_default_run(spark, files):
     assert text("marginals").startswith("\tbeta\tse\tpval\tr2\tselected\nx0\t") and text("coefs").startswith("parameter\tbeta\nMETHOD\tRidgeCV\nSELECTED_CV_ALPHA\t")
     assert text("traindata").startswith("\tY_train\t") and [r.split("\t")[0] for r in text("matdata").splitlines()] == ["", *genes]
     assert [r.split("\t")[0] for r in text("preds").splitlines()] == ["ENSGID", *genes]
+    assert "training: 48 genes of all chromosomes, without the HLA region (1: 16, 2: 16, 3: 16)" in caplog.text and f"{len(chosen)} of 9 features selected; 0 are nearly constant" in caplog.text and "SELECTED_CV_ALPHA" in caplog.text
 
 
 def test_custom_target_stepwise_and_covariance(spark, files):
@@ -113,6 +115,41 @@ def test_results_are_files_in_order(spark, tmp_path):
     assert (tmp_path / "t").read_text() == "\tv\tb\n"
 
 
+def test_custom_covariates_and_sparse_covariance(spark, files):
+    """A covariate file, a sparse covariance and masks by chromosome, against dense algebra."""
+    top, x, z, chrs, _, genes = files
+    rng = np.random.default_rng(21)
+    cov = rng.normal(size=(len(z), 2))
+    (top / "y2").write_text("ENSGID\tScore\n" + "".join(f"{g}\t{float(v)!r}\n" for g, v in zip(genes, z)))
+    (top / "cov2").write_text("ENSGID\ta\tb\n" + "".join(f"{g}\t{float(a)!r}\t{float(b)!r}\n" for g, (a, b) in reversed(list(zip(genes, cov)))))
+    sigma = np.where(np.equal.outer(chrs, chrs), 0.3 ** np.abs(np.subtract.outer(np.arange(len(z)), np.arange(len(z)))), 0.0)
+    row, col = np.nonzero(sigma)
+    np.savez_compressed(top / "cov2.npz", indices=col, indptr=np.searchsorted(row, np.arange(len(z) + 1)), data=sigma[row, col], shape=sigma.shape, format=b"csr")
+    c = scoring.Config(gene_annot_path=str(top / "annot"), feature_mat_prefix=str(top / "m"), num_feature_chunks=3, y_path=str(top / "y2"), y_covariates_path=str(top / "cov2"), y_error_cov_path=str(top / "cov2.npz"), feature_selection_p_cutoff=None, method="linreg", project_out_covariates_chromosomes=["1", "3"], training_chromosomes=["2", "3"])
+    got = scoring.run(spark, c)
+    whiten = lambda on: np.linalg.inv(np.linalg.cholesky(sigma[np.ix_(on, on)]))
+    v = np.column_stack([cov, np.ones(len(z))])
+    on = np.array([k != "2" for k in chrs])
+    y = z - v @ np.linalg.lstsq(whiten(on) @ v[on], whiten(on) @ z[on], rcond=None)[0]
+    assert np.allclose([r["Y_proj"] for r in got.preds.orderBy("row_idx").collect()], y)
+    on = np.array([k != "1" for k in chrs])
+    want = np.linalg.lstsq(whiten(on) @ np.column_stack([x, np.ones(len(z))])[on], whiten(on) @ y[on], rcond=None)[0][:9]
+    assert np.allclose([float(b) for _, b in got.coefs[1:]], want)
+    (top / "cov2").write_text("ENSGID\ta\n" + "".join(f"{g}\t1.5\n" for g in genes[1:]))
+    with pytest.raises(ValueError, match="lack covariates"):
+        scoring.run(spark, c)
+
+
+def test_munge_command_line(spark, files, tmp_path):
+    top, x, _, _, _, genes = files
+    munge.main(["--gene_annot_path", str(top / "annot"), "--feature_dir", str(top / "features"), "--save_prefix", str(tmp_path / "n"), "--nan_policy", "zero", "--max_cols", "6"])
+    chunks, layout = matrices.read_matrix(spark, str(tmp_path / "n"))
+    assert layout.groupBy("chunk_id").count().orderBy("chunk_id").collect() == [(0, 6), (1, 3)] and chunks.count() == 2 * len(genes)
+    (tmp_path / "twice").write_text("ENSGID\tCHR\tTSS\nG0\t1\t1\nG0\t1\t2\n")
+    with pytest.raises(ValueError, match=r"genes come twice in the annotation: \['G0'\]"):
+        munge.run(spark, str(tmp_path / "twice"), str(top / "features"), str(tmp_path / "n"))
+
+
 def test_import_of_arrays(spark, files):
     top, x, _, _, _, genes = files
     (top / "a.rows.txt").write_text("\n".join(genes) + "\n")

@@ -96,8 +96,16 @@ def whitened(blocks: DataFrame, genes: DataFrame, added: float, *values: DataFra
     return [covariance.whiten(v, factors).select("chunk_id", "gene", "x").persist() for v in values]
 
 
+def told(genes: DataFrame, annotation: DataFrame, chromosomes: list[str] | None, without_hla: bool) -> str:
+    """How many genes a step uses, by chromosome. A job, so only for a log that is on."""
+    per = annotation.join(genes, "gene", "left_semi").groupBy("chr").count().orderBy(*masks.natural_order(F.col("chr"))).collect()
+    which = "all chromosomes" if chromosomes is None else f"chromosomes {', '.join(chromosomes)}"
+    return f"{sum(r['count'] for r in per)} genes of {which}, {'without' if without_hla else 'with'} the HLA region ({', '.join(f'{r["chr"]}: {r["count"]}' for r in per)})"
+
+
 def run(spark: SparkSession, c: Config) -> Results:
     ship(spark)
+    log.info("options: %s", c)
     if c.method not in fit.METHODS:
         raise ValueError(f"method is one of {', '.join(fit.METHODS)}")
     annotation = files.annotation(spark, c.gene_annot_path)
@@ -107,11 +115,15 @@ def run(spark: SparkSession, c: Config) -> Results:
         blocks = relabelled(blocks, annotation).cache()
         if c.magma_prefix is not None:
             added = covariance.regularisation(blocks, y)
+            log.info("the error covariance has %g added to its diagonal", added)
+    log.info("target from %s, %s, %s", c.magma_prefix or c.y_path, "no covariates" if cov is None else "with covariates", "no error covariance" if blocks is None else "with an error covariance")
     used = {}
     for name, chromosomes, remove in (("project", c.project_out_covariates_chromosomes, c.project_out_covariates_remove_hla), ("select", c.feature_selection_chromosomes, c.feature_selection_remove_hla), ("train", c.training_chromosomes, c.training_remove_hla)):
         if chromosomes is not None:
             masks.checked_chromosomes(annotation, chromosomes)
         used[name] = masks.gene_mask(y, annotation, chromosomes, remove).where("used").select("gene")
+        if log.isEnabledFor(logging.INFO):
+            log.info("%s: %s", {"project": "projection of covariates", "select": "association and selection", "train": "training"}[name], told(used[name], annotation, chromosomes, remove))
     y_proj = y.select("gene", "y")
     if cov is not None:
         white = None
@@ -121,23 +133,26 @@ def run(spark: SparkSession, c: Config) -> Results:
         y_proj = project.project_out(y, cov, used["project"], white)
     chunks, layout = matrices.read_matrix(spark, c.feature_mat_prefix, c.num_feature_chunks)
     matrix_rows = matrices.read_rows(spark, c.feature_mat_prefix)
-    log.info("%d genes in the target, %d rows in the matrix, %d features", y.count(), matrix_rows.count(), layout.count())
+    if log.isEnabledFor(logging.INFO):
+        log.info("%d genes in the target, %d rows in the matrix, %d features in %d chunks", y.count(), matrix_rows.count(), layout.count(), layout.select("chunk_id").distinct().count())
     for name, genes in used.items():
         if (n := genes.join(matrix_rows, "gene", "left_anti").count()) and name != "project":
             raise ValueError(f"{n} genes of the target ({name}) are not in the matrix")
-        log.info("%s: %d genes", name, genes.count())
+    held: list[DataFrame] = []
 
     def prepared(genes: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
         basis = y_proj.join(genes, "gene", "left_semi").select(F.lit(-1).alias("chunk_id"), "gene", F.array("y", F.lit(1.0)).alias("x"))
         own = values.join(genes, "gene", "left_semi")
         if blocks is not None:
             basis, own = whitened(blocks, genes, added, basis, own)
+            held.extend((basis, own))
         return own, basis.select("gene", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("v"))
 
     own, basis = prepared(used["select"], chunks)
     marginals = association.marginal(own, basis).join(layout, ["chunk_id", "pos"]).cache()
     if c.feature_selection_fss_num_features is not None:
         picked = association.forward_stepwise(own, basis, c.feature_selection_fss_num_features)
+        log.info("stepwise selection of %d features, in place of all other rules", len(picked))
         ranks = spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(picked)], "chunk_id int, pos int, selection_rank int")
         marginals = marginals.join(F.broadcast(ranks), ["chunk_id", "pos"], "left").withColumn("selected", F.col("selection_rank").isNotNull())
     else:
@@ -147,15 +162,22 @@ def run(spark: SparkSession, c: Config) -> Results:
     if not chosen:
         raise ValueError("no feature is selected")
     picked = spark.createDataFrame([(r["chunk_id"], r["pos"], r["col_idx"]) for r in chosen], "chunk_id int, pos int, col_idx long")
-    log.info("%d features selected", len(chosen))
+    for df in held:
+        df.unpersist()
+    held.clear()
+    if log.isEnabledFor(logging.INFO):
+        n, flat, below = marginals.agg(F.count(F.lit(1)), F.count_if(F.col("pval").isNull()), F.count_if(F.col("pval") < (c.feature_selection_p_cutoff if c.feature_selection_p_cutoff is not None else 2.0))).first()
+        log.info("%d of %d features selected; %d are nearly constant, %d below the cutoff of p (%s), most allowed: %s; subset %s, controls %s", len(chosen), n, flat, below, c.feature_selection_p_cutoff, c.feature_selection_max_num, c.subset_features_path, c.control_features_path)
     x = predict.pick(chunks, picked).select(F.lit(0).alias("chunk_id"), "gene", "x")
     own, basis = prepared(used["train"], x)
     order = y.select("gene", F.col("y_idx").alias("order"))
     training = project.residual_values(own.select("gene", "x"), basis).join(order, "gene").cache()
     numbered = training.drop("order").join(matrices.ranked(training.select("gene", "order")), "gene") if c.method == "lasso" else training
     fitted = fit.fit(numbered, c.method, c.random_seed)
+    for df in held:
+        df.unpersist()
     beta = spark.createDataFrame([(r["chunk_id"], r["pos"], float(b)) for r, b in zip(chosen, fitted.coef, strict=True)], "chunk_id int, pos int, beta double")
-    log.info("fitted: %s", ", ".join(f"{k} {v}" for k, v in fitted.meta.items()))
+    log.info("fitted %d coefficients, %d not 0: %s", len(fitted.coef), int((fitted.coef != 0).sum()), ", ".join(f"{k} {v}" for k, v in fitted.meta.items()))
     scores = predict.predict(chunks, beta).withColumnRenamed("score", "PoPS_Score")
     named = {"feature_selection_gene": used["select"], "training_gene": used["train"]}
     if cov is not None:
