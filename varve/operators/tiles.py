@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..tables import deleted, dropped, kept, new_path
 
-#: Rows and columns of a tile: 8 MB.
-SIDE = 1024
+#: Rows and columns of a tile: 2 MB.
+SIDE = 512
 _TILE = "ti int, tj int, data binary"
 
 
