@@ -179,6 +179,25 @@ def test_array_source(spark, tmp_path):
         arrays.array_rows(spark, f"file://{tmp_path}/m", 2).collect()
 
 
+def test_array_sink(spark, tmp_path):
+    """Parts of many tasks make whole arrays; a missing or repeated row leaves nothing behind."""
+    rng = np.random.default_rng(7)
+    x = [rng.normal(size=(90, 4)), rng.normal(size=(90, 1))]
+    df = spark.createDataFrame([(c, i, [float(v) for v in row]) for c, a in enumerate(x) for i, row in enumerate(a)], "chunk_id int, row_idx long, x array<double>").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):  # the second time over the first
+            arrays.write_array_rows(df, str(tmp_path / "w"))
+        assert all(np.array_equal(np.load(tmp_path / f"w.{i}.npy"), a) for i, a in enumerate(x)) and len(list(tmp_path.iterdir())) == 2
+        assert arrays.array_rows(spark, str(tmp_path / "w"), 2).count() == 180
+        for wrong in (df.where("row_idx <> 17"), df.union(df.where("row_idx = 17"))):
+            with pytest.raises(Exception, match="chunk 0 has no row 17|chunk 0 has no row 18|or one twice"):
+                arrays.write_array_rows(wrong, str(tmp_path / "v"))
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["w.0.npy", "w.1.npy"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_repeated_genes_are_errors(spark):
     chunks = spark.createDataFrame([(0, g, [float(v)]) for g, v in zip("abca", (1, 2, 4, 1))], "chunk_id int, gene string, x array<double>")
     basis = spark.createDataFrame([(g, float(v), [1.0]) for g, v in zip("abc", (1, 3, 2))], "gene string, y double, v array<double>")

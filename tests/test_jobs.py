@@ -145,6 +145,9 @@ def test_munge_command_line(spark, files, tmp_path):
     munge.main(["--gene_annot_path", str(top / "annot"), "--feature_dir", str(top / "features"), "--save_prefix", str(tmp_path / "n"), "--nan_policy", "zero", "--max_cols", "6"])
     chunks, layout = matrices.read_matrix(spark, str(tmp_path / "n"))
     assert layout.groupBy("chunk_id").count().orderBy("chunk_id").collect() == [(0, 6), (1, 3)] and chunks.count() == 2 * len(genes)
+    munge.main(["--gene_annot_path", str(top / "annot"), "--feature_dir", str(top / "features"), "--save_prefix", str(tmp_path / "o"), "--max_cols", "6", "--arrays"])
+    assert (tmp_path / "o.rows.txt").read_text().split() == genes and (tmp_path / "o.cols.1.txt").read_text() == "x6\nx7\nx8\n"
+    assert np.array_equal(np.load(tmp_path / "o.mat.0.npy"), x[:, :6]) and np.array_equal(np.load(tmp_path / "o.mat.1.npy"), x[:, 6:])
     (tmp_path / "twice").write_text("ENSGID\tCHR\tTSS\nG0\t1\t1\nG0\t1\t2\n")
     with pytest.raises(ValueError, match=r"genes come twice in the annotation: \['G0'\]"):
         munge.run(spark, str(tmp_path / "twice"), str(top / "features"), str(tmp_path / "n"))

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators import munge
 from ..sources import files
+from ..sources.matrices import export_arrays
+from .shipping import ship
 
 
-def run(spark: SparkSession, gene_annot_path: str, feature_dir: str, save_prefix: str, nan_policy: str = "raise", max_cols: int = 5000) -> None:
-    """Writes <prefix>.mat (Parquet, a partition for each chunk), <prefix>.cols and <prefix>.rows."""
+def run(spark: SparkSession, gene_annot_path: str, feature_dir: str, save_prefix: str, nan_policy: str = "raise", max_cols: int = 5000, arrays: bool = False) -> None:
+    """Writes <prefix>.mat (Parquet, a partition for each chunk), <prefix>.cols and <prefix>.rows.
+
+    arrays: besides, <prefix>.rows.txt, <prefix>.cols.<i>.txt and <prefix>.mat.<i>.npy.
+    """
     if nan_policy not in munge.POLICIES:
         raise ValueError(f"nan_policy is one of {', '.join(munge.POLICIES)}")
     spine = files.spine(spark, gene_annot_path)
@@ -26,6 +31,9 @@ def run(spark: SparkSession, gene_annot_path: str, feature_dir: str, save_prefix
     munge.impute(values, nan_policy).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{save_prefix}.mat")
     munge.layout(features, max_cols).write.mode("overwrite").parquet(f"{save_prefix}.cols")
     spine.orderBy("row_idx").select(F.col("row_idx"), F.col("gene")).write.mode("overwrite").parquet(f"{save_prefix}.rows")
+    if arrays:
+        ship(spark)
+        export_arrays(spark, save_prefix, save_prefix)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -34,6 +42,7 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--nan_policy", default="raise")
     p.add_argument("--max_cols", type=int, default=5000)
+    p.add_argument("--arrays", action="store_true", help="write arrays and lists of rows and columns, too")
     run(SparkSession.builder.appName("munge").getOrCreate(), **vars(p.parse_args(argv)))
 
 

@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import deleted, new_path
-
-
-def joined(spark: SparkSession, folder: str, path: str, head: str) -> None:
-    """One file of a line and the part files of a folder, in the order of their names. It appears at ``path`` whole or not at all."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    to, half = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.unfinished")
-    target = to.getFileSystem(conf)
-    parts = jvm.org.apache.hadoop.fs.Path(folder)
-    source = parts.getFileSystem(conf)
-    out = target.create(half, True)
-    try:
-        out.write(bytearray(f"{head}\n".encode()))
-        for name in sorted(str(f.getPath()) for f in source.listStatus(parts) if f.getPath().getName().startswith("part-")):
-            data = source.open(jvm.org.apache.hadoop.fs.Path(name))
-            try:
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)  # a stream: no part is held
-            finally:
-                data.close()
-    finally:
-        out.close()
-    if target.exists(to):
-        target.delete(to, True)
-    if not target.rename(half, to):
-        raise OSError(f"{path} can't be written")
+from ..sources.files import write_lines
 
 
 def write_tsv(df: DataFrame, path: str, order: str) -> None:
     """The file ``path`` with a header, in the order of the column ``order``, which isn't written; missing values are empty, booleans True and False.
 
-    A column called " " has a blank header. Rows are dealt out by ranges of the order, sorted and written by many
-    tasks; their parts are then joined.
+    A column called " " has a blank header. Many tasks write, see write_lines().
     """
     kinds, names = dict(df.dtypes), [c for c in df.columns if c != order]
     text = [F.when(F.col(f"`{c}`"), "True").when(~F.col(f"`{c}`"), "False") if kinds[c] == "boolean" else F.col(f"`{c}`").cast("string") for c in names]
-    lines = df.select(F.col(f"`{order}`").alias("place"), F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in text]), "\t").alias("value"))
-    spark, parts = df.sparkSession, new_path(df.sparkSession, "lines")
-    lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(parts)
-    joined(spark, parts, path, "\t".join("" if n == " " else n for n in names))
-    deleted(spark, parts)
+    line = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in text]), "\t")
+    write_lines(df.select(F.col(f"`{order}`").alias("place"), line.alias("value")), "place", "value", path, "\t".join("" if n == " " else n for n in names) + "\n")

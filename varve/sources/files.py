@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import deleted, new_path
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, line), without empty lines."""
@@ -74,6 +76,43 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return tokens.select(F.row_number().over(Window.orderBy("row_idx", "at")).cast("long").alias("place"), "feature")
 
 
+def joined(spark: SparkSession, folder: str, path: str, head: str = "") -> None:
+    """One file of ``head`` and the part files of a folder, in the order of their names. It appears at ``path`` whole or not at all."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, half = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.unfinished")
+    target = to.getFileSystem(conf)
+    parts = jvm.org.apache.hadoop.fs.Path(folder)
+    source = parts.getFileSystem(conf)
+    out = target.create(half, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for name in sorted(str(f.getPath()) for f in source.listStatus(parts) if f.getPath().getName().startswith("part-")):
+            data = source.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)  # a stream: no part is held
+            finally:
+                data.close()
+    finally:
+        out.close()
+    if target.exists(to):
+        target.delete(to, True)
+    if not target.rename(half, to):
+        raise OSError(f"{path} can't be written")
+
+
+def write_lines(df: DataFrame, order: str, value: str, path: str, head: str = "") -> None:
+    """The file ``path`` of the text column ``value``, in the order of another one.
+
+    Rows are dealt out by ranges of the order, sorted and written by many
+    tasks; their parts are then joined.
+    """
+    spark, parts = df.sparkSession, new_path(df.sparkSession, "lines")
+    ordered = df.select(F.col(f"`{order}`").alias("place"), F.col(f"`{value}`").alias("value")).repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select("value").write.text(parts)
+    joined(spark, parts, path, head)
+    deleted(spark, parts)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.covariance import BROADCAST_BYTES, by_label
 from . import files
-from .arrays import PARTITION_BYTES, array_rows, header
+from .arrays import PARTITION_BYTES, array_rows, header, write_array_rows
 
 LAYOUT = "chunk_id int, pos int, col_idx long, feature string"
 
@@ -56,6 +56,17 @@ def import_arrays(spark: SparkSession, prefix: str, chunks: int, to: str, rows_a
     cols.write.mode("overwrite").parquet(f"{to}.cols")
 
 
+def export_arrays(spark: SparkSession, prefix: str, to: str) -> None:
+    """Writes a matrix as <to>.rows.txt, <to>.cols.<i>.txt and <to>.mat.<i>.npy; missing values are NaN."""
+    rows, (mat, cols) = read_rows(spark, prefix), read_matrix(spark, prefix)
+    placed = mat.join(F.broadcast(rows) if rows.count() * 64 <= BROADCAST_BYTES else rows, "gene")
+    array_values = F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))
+    write_array_rows(placed.select("chunk_id", "row_idx", array_values.alias("x")), f"{to}.mat")
+    files.write_lines(rows, "row_idx", "gene", f"{to}.rows.txt")
+    for i in sorted(r["chunk_id"] for r in cols.select("chunk_id").distinct().collect()):
+        files.write_lines(cols.where(F.col("chunk_id") == i), "pos", "feature", f"{to}.cols.{i}.txt")
+
+
 def read_matrix(spark: SparkSession, prefix: str, chunks: int | None = None, rows_at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, gene, x) and the layout (chunk_id, pos, col_idx, feature); ``chunks``: the first so many.
 
