@@ -175,6 +175,82 @@ def test_packing_under_all_limits():
         assert at == t
 
 
+@pytest.mark.parametrize(("tokens", "prompts"), [([5000] * 4, [0] * 4), ([5000] * 4, [4000] * 4), ([900, 900, 400], [100, 900, 0]), ([3] * 40, [0] * 40)])
+def test_bins_under_a_limit_on_loss_are_full_or_powers_of_two(tokens, prompts):
+    block = packing.Block(np.array(tokens), np.array(prompts), 1024, 16, 768)
+    bins = block.pack()
+    sizes = [sum(x[2] for x in c) for c in bins]
+    assert sum(sizes) == sum(tokens) and all(n == 1024 or n & (n - 1) == 0 for n in sizes)
+    assert all(sum(block._loss(*(i, s, s + n)) for i, s, n in c) <= 768 and len(c) <= 16 for c in bins)
+
+
+def test_every_pick_is_the_plain_dot_product_packers(monkeypatch):
+    monkeypatch.setattr(packing.Block, "_even", lambda self, content: [content] if content else [])
+    for seed in range(6):
+        r = random.Random(seed)
+        caps = np.array([64, r.choice([3, 6, 20]), r.choice([20, 40, 64])])
+        tokens = np.array([r.randint(1, 90) for _ in range(120)])
+        prompt = np.array([r.randint(0, int(t)) for t in tokens])
+        block = packing.Block(tokens, prompt, *caps.tolist())
+        bins = block.pack()
+        start = dict.fromkeys(range(len(tokens)), 0)
+        at = 0
+        while at < len(bins) and len(bins[at]) == 1 and bins[at][0][2] == 64 and tokens[bins[at][0][0]] - start[bins[at][0][0]] > 64:
+            start[bins[at][0][0]] += 64
+            at += 1
+
+        def demand(i, start=start, block=block, tokens=tokens):
+            return np.array([tokens[i] - start[i], 1, block._loss(i, start[i], int(tokens[i]))])
+
+        weight = np.mean([demand(i) for i in start if start[i] < tokens[i]], axis=0) / caps**2
+        for content in bins[at:]:
+            rest = caps.copy()
+            for i, s, n in content:
+                assert s == start[i]
+                open_ = [j for j in start if start[j] < tokens[j]]
+                fit = [j for j in open_ if (demand(j) <= rest).all() and (rest[1] > 1 or demand(j)[0] == rest[0])]
+                if fit:  # whole, and of the largest dot product
+                    assert n == demand(i)[0]
+                    assert np.isclose(demand(i) @ (weight * rest), max(demand(j) @ (weight * rest) for j in fit))
+                else:  # cut, and filling most
+                    assert n == block._room(i, start[i], rest) == max(block._room(j, start[j], rest) for j in open_)
+                rest -= (n, 1, block._loss(i, s, s + n))
+                start[i] += n
+            assert (rest >= 0).all()
+        assert all(start[i] == tokens[i] for i in start)
+
+
+def test_conversations_are_joined_in_bounded_items(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "so"), (2, None, None, None), (2, 1, "user", "x" * 300), (None, 0, "user", "lost"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a")]
+    turns += [(3, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(400)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").selectExpr("*", "7 as line", "'x' as prompt").repartition(5)
+    got = packing.conversation_items(df, limit=200).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, -1 if r.turn is None else r.turn)):
+        by.setdefault(r.doc_id, []).append(r)
+        assert r.text.startswith(r.prompt) and (len(r.text) <= 200 or r.text.count("\n") == 1)
+        lines = r.text.splitlines(keepends=True)
+        answers = [i for i, x in enumerate(lines) if x.startswith("assistant: ")]
+        assert r.prompt == "".join(lines[: answers[-1]] if answers else lines)
+    assert sorted(by) == [1, 2, 3, 4]
+    for c, items in by.items():
+        want = [f"{role or ''}: {text or ''}\n" for d, t, role, text in sorted((x for x in turns if x[0] == c), key=lambda x: -1 if x[1] is None else x[1])]
+        assert "".join(r.text for r in items) == "".join(want)
+    assert len(by[3]) >= 400 * 14 // 200
+    assert packing.conversation_items(df.limit(0)).count() == 0
+
+
+def test_conversations_fill_segments_and_tokens(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[t % 2], "word " * (3 + 900 * (c % 7 == t % 2 == 1))) for c in range(300) for t in range(2)] + [(1000, t, "assistant" if t % 5 else "user", "some more words ") for t in range(9000)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = packing.conversation_coverage(spark, str(tmp_path)).collect()
+    assert len(rows) == 301 and all(r.whole and r.good for r in rows)
+    by = {}
+    for r in packing.conversation_packing(spark, str(tmp_path)).collect():
+        by.setdefault(r.sequence_id, []).append(r)
+    assert any(len(p) == packing.SEGMENTS for p in by.values()) and any(sum(r.length for r in p) == 1024 for p in by.values())
+
+
 def test_packing_of_repeats_ties_and_prompts(spark):
     rows = [(1, "one two three " * 40, "one two")] * 30 + [(2, "", ""), (2, None, None), (3, "word " * 9000, "word " * 8000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, prompt string").repartition(2)

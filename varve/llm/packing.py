@@ -7,9 +7,11 @@ row moves between tasks and a lost executor's blocks come out the same again.
 In a block a bin is opened with the whole capacity as its residual. The next
 item is the one with the largest dot product of its demand, each dimension
 weighted by its mean demand, with the bin's residual, among those that fit.
-When none fits, the largest item is cut to fill the rest, and what is left of
-it stays in the block. So only a block's last bin can end short; its pieces are
-cut again into sequences whose lengths are powers of two, which need no padding.
+When none fits, the item that fills most of the rest, the largest of such, is
+cut there, and what is left of it stays in the block. So a bin ends short only
+where nothing is left or the limit on loss or segments keeps it from being
+filled; its pieces are cut again into sequences whose lengths are powers of two,
+which need no padding.
 """
 
 from __future__ import annotations
@@ -56,12 +58,9 @@ class Block:
         start = np.zeros(len(self.tokens), np.int64)
         live = np.flatnonzero(self.tokens > 0)
         for i in live.tolist():  # what fills whole sequences needs no search
-            while self.tokens[i] - start[i] > self.caps[0]:
-                length = self._room(i, int(start[i]), self.caps)
-                bins.append([(i, int(start[i]), length)])
-                start[i] += length
-                if length < self.caps[0]:
-                    break
+            while self.tokens[i] - start[i] > self.caps[0] and self._room(i, int(start[i]), self.caps) == self.caps[0]:
+                bins.append([(i, int(start[i]), int(self.caps[0]))])
+                start[i] += self.caps[0]
         demand = np.ones((len(live), 3), np.int64)
         demand[:, 0] = (self.tokens - start)[live]
         demand[:, 2] = np.maximum(0, self.tokens - np.maximum(start, self.loss_from))[live]
@@ -90,7 +89,9 @@ class Block:
                     continue
                 if not waiting.any():
                     break
-                best = int(np.argmax(np.where(waiting > 0, kinds[:, 0], -1)))
+                # loss-bearing ids end an item, so one whose loss doesn't fit may still have room for what stands before
+                room = np.minimum(kinds[:, 0], kinds[:, 0] - kinds[:, 2] + residual[2]).clip(max=residual[0])
+                best = int(np.argmax(np.where(waiting > 0, room << 40 | kinds[:, 0], -1)))
                 item = stacks[best][-1]
                 length = self._room(item, int(start[item]), residual)
                 if length <= 0:
@@ -131,19 +132,20 @@ class Block:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, prompt_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_column: str | None = None, prompt_column: str | None = None, max_tokens: int = 1024, max_segments: int = 64, max_loss: int | None = None, carry: str | None = None, block_bytes: int = 4 << 20, cache_bytes: int = 64 << 20) -> DataFrame:
     """Packs ``docs`` (doc_id, text) into sequences; a row of SCHEMA for each piece.
 
     Each document is its ids by the tokenizer, then ``end_id``. ``loss_column``:
     how many ids of a document bear no loss. ``prompt_column`` instead: a text
     that the document begins with, whose ids bear none. Without either all bear
-    loss. A text of any length is cut into as many sequences as it takes. A null or empty text is its end id alone; repeated rows are packed as
+    loss. ``carry``: a column of long integers that each piece has, too. A text of any length is cut into as many sequences as it takes. A null or empty text is its end id alone; repeated rows are packed as
     often as they come; an empty table gives no row; other columns are ignored.
     Sequences are numbered within a task of the scan, whose number is in the
     upper bits.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    columns = ["doc_id", "text", *(c for c in (loss_column, prompt_column) if c)]
+    columns = list(dict.fromkeys(["doc_id", "text", *(c for c in (loss_column, prompt_column, carry) if c)]))
+    schema = SCHEMA + (f", {carry} long" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -169,9 +171,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, loss_co
                     offset += length
                 number += 1
             cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            of = [part.column(c).cast(pa.int64()).take(pa.array(cols[0])) for c in ("doc_id", *([carry] if carry else []))]
+            yield pa.RecordBatch.from_arrays([of[0], *map(pa.array, cols[1:]), *of[1:]], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(*columns).mapInArrow(run, SCHEMA)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,20 +192,78 @@ def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(sequences.agg(F.expr("bool_and(gapless)").alias("sequences_gapless"), F.expr("max(n) <= 1024").alias("within"), padded.alias("little_padding"))))
 
 
+def conversation_items(turns: DataFrame, limit: int = 1 << 16) -> DataFrame:
+    """Turns (conv_id, turn, role, text) joined to texts of their conversations: doc_id, turn (of the first in it), prompt, text.
+
+    A turn is a line "role: text", null role or text empty; turns go by turn
+    (null first), role and a hash of the line. Rows are range-partitioned by
+    that order and joined as they stream by, so a conversation of any size lies
+    in as many tasks as it takes: it ends an item before the line that would
+    take it beyond ``limit`` characters, and where a partition ends. A longer
+    line is an item of its own. ``prompt``: what stands before the item's last
+    line by an assistant; the whole, if there is none. Repeated rows are lines
+    each; rows without a conv_id are no conversation's and stay out; an empty
+    table gives none; other columns are ignored.
+    """
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), line.alias("line")).withColumn("tie", F.xxhash64("line"))
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "turn", "role", "tie")]
+    schema = pa.schema([("doc_id", pa.int64()), ("turn", pa.int64()), ("prompt", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = first = None
+        lines: list[str] = []
+        size = last = 0  # characters in all, and lines before the last answer
+
+        def item() -> dict:
+            return {"doc_id": doc, "turn": first, "prompt": "".join(lines if last < 0 else lines[:last]), "text": "".join(lines)}
+
+        for batch in batches:
+            made = []
+            for d, t, r, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "turn", "role", "line")), strict=True):
+                if lines and (d != doc or size + len(x) > limit):
+                    made.append(item())
+                    lines = []
+                if not lines:
+                    doc, first, size, last = d, t, 0, -1
+                if r == "assistant":
+                    last = len(lines)
+                lines.append(x)
+                size += len(x)
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+        if lines:
+            yield pa.RecordBatch.from_pylist([item()], schema=schema)
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").mapInArrow(run, "doc_id long, turn long, prompt string, text string")
+
+
+#: Limits on segments and on loss-bearing tokens of a sequence of conversations.
+SEGMENTS, LOSS = 16, 768
+
+
+def _conversations(items: DataFrame) -> DataFrame:
+    return pack(items, prompt_column="prompt", carry="turn", max_segments=SEGMENTS, max_loss=LOSS)
+
+
 def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations under all three limits: turns before the last assistant's are its prompt and bear no loss. A row for each piece, as pack()."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
-    text = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
-    # turns of one conversation are few; a table of its own keeps a conversation's turns together
-    lines = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", text.alias("line")))).alias("t"))
-    last = F.expr("coalesce(array_max(transform(t, (x, i) -> IF(x.role = 'assistant', i, -1))), -1)")
-    parts = lines.select(F.col("conv_id").alias("doc_id"), "t", last.alias("last"))
-    joined = parts.selectExpr("doc_id", "array_join(transform(t, x -> x.line), '') AS text", "IF(last < 0, array_join(transform(t, x -> x.line), ''), array_join(transform(slice(t, 1, last), x -> x.line), '')) AS prompt")
-    return pack(joined, prompt_column="prompt", max_segments=16, max_loss=768)
-
-
-QUERIES = {"op8_vector_packing": op8_vector_packing, "packing_coverage": packing_coverage, "conversation_packing": conversation_packing}
+    """Conversations under all three limits: what stands before the last assistant's turn bears no loss. A row for each piece, as pack(), with its item's first turn; nulls, repeats, long texts and empty tables: see conversation_items() and pack()."""
+    return _conversations(conversation_items(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def conversation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of conversation_packing: each conversation's characters and answers, and that its pieces are whole and its sequences within all limits."""
+    items = kept(conversation_items(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "items")
+    rows = kept(_conversations(items), "pieces")
+    full = F.expr(f"sum(length) <= 1024 and count(*) <= {SEGMENTS} and sum(loss_tokens) <= {LOSS} and min(offset) = 0 and max(offset + length) = sum(length) and (sum(length) = 1024 or bit_count(sum(length)) = 1)")
+    sequences = rows.groupBy("sequence_id").agg(full.alias("good"))
+    pieces = rows.join(sequences, "sequence_id").groupBy("doc_id").agg(F.sum("length").alias("length"), F.expr("sum(IF(start = 0, doc_tokens, 0))").alias("tokens"), F.expr("count(IF(start = 0, 1, null))").alias("begun"), F.expr("bool_and(good)").alias("good"))
+    texts = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return texts.join(pieces, "doc_id").select(F.col("doc_id").alias("conv_id"), "n_chars", F.expr("length = tokens and begun = n").alias("whole"), "good")
+
+
+QUERIES = {"op8_vector_packing": op8_vector_packing, "packing_coverage": packing_coverage, "conversation_packing": conversation_packing, "conversation_coverage": conversation_coverage}
 #: Token ids are not for SQL.
 SQL = {
     "packing_coverage": "SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, TRUE AS docs_whole, TRUE AS sequences_gapless, TRUE AS within, TRUE AS little_padding FROM documents",
+    "conversation_coverage": "SELECT conv_id, CAST(sum(length(coalesce(role, '')) + length(coalesce(text, '')) + 3) AS BIGINT) AS n_chars, TRUE AS whole, TRUE AS good FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id",
 }
