@@ -61,11 +61,11 @@ def _frequent(a: np.ndarray, b: np.ndarray, turn: int, often: int) -> tuple[np.n
     return at[good], which[good], pairs, counts
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rule pairs, expansion lengths) of ids, of which each document has counts[i].
 
-    A pair is frequent with ``least`` occurrences, and one in ``share`` places;
-    a rule that would be used fewer than ``pays`` times is not made.
+    A pair is frequent with ``least`` occurrences; a rule that would be used
+    fewer than ``pays`` times is not made.
     """
     seq, n = ids.astype(np.uint32), len(ids)
     last = np.zeros(n, bool)
@@ -74,10 +74,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, share: int = 40000,
     alive, flag = np.ones(n, bool), np.zeros(n + 1, bool)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    often, left_over = max(least, n // share), n
+    left_over = n
     turn, where = 0, np.flatnonzero(~last)
     while left_over >= 2 * least:
-        at, which, pairs, weight = _frequent(seq[where], seq[after[where]], turn, often)
+        at, which, pairs, weight = _frequent(seq[where], seq[after[where]], turn, least)
         at = where[at]
         turn += 1
         if not len(at):
@@ -191,8 +191,8 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
     alone; a text longer than ``block_bytes`` is a shard of its own. Rows come
-    in ascending doc_id order (null first); repeated doc_ids stand next to each
-    other; an empty table gives an empty one; other columns are ignored. base:
+    in ascending doc_id order (null first); those of one doc_id go by a hash of
+    the text; an empty table gives an empty one; other columns are ignored. base:
     above all ids.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -216,7 +216,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base:
             shard += 1
             yield pa.RecordBatch.from_pylist([row], schema=_FILE)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return kept(ordered.mapInArrow(run, FILE_SCHEMA), "repair")
 
 
