@@ -17,14 +17,17 @@ frequent pieces stay and rare ones leave.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Letters of Latin-1, then ASCII marks but the apostrophe, which may open a token with letters.
-_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters of Latin-1.
+_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
+#: ASCII marks but the apostrophe, which may open a token with letters.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _FOLD = {i: i + 32 for i in range(65, 91)}
 #: A line feed with other white space beside it.
 _WIDE = re.compile(r"\n(?:\s|(?<=\s\n))")
@@ -42,6 +45,16 @@ class _Pieces(dict):
         self.new.append(piece)
         return at
 
+    def places(self, different: np.ndarray) -> np.ndarray:
+        """The places of pieces that differ from each other; those not seen yet get the next ones."""
+        at = np.fromiter(map(self.get, different, repeat(-1)), np.int64, len(different))
+        unknown = np.flatnonzero(at < 0)
+        at[unknown] = np.arange(len(self), len(self) + len(unknown))
+        new = different[unknown].tolist()
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.new += new
+        return at
+
 
 class _Generation:
     """Pieces by their place, and the ids of each."""
@@ -102,19 +115,18 @@ class Encoder:
             if (place := old(piece)) is not None:
                 known.append((at + i, place))
                 continue
-            m = _SIMPLE.fullmatch(piece)
-            if m is None:
+            stem = piece.rstrip(_MARKS)
+            letters = stem[1:] if self.spaces and stem[:1] == " " else stem
+            if not (letters.isascii() and letters.isalpha() or letters and _LETTERS.issuperset(letters)):
                 rest.append(i)
                 continue
-            stem, marks = m[1], m[2]
+            marks = piece[len(stem) :]
             if not self.spaces and not stem.islower():
-                stem = stem.translate(_FOLD)
+                stem = stem.lower() if stem.isascii() else stem.translate(_FOLD)
             if stem == piece:
-                (words if piece[0] == " " or not self.spaces else heads).append(i)
-            elif marks:
-                joined.append((at + i, pieces[stem], pieces[marks]))
+                (heads if self.spaces and letters is stem else words).append(i)
             else:
-                joined.append((at + i, pieces[stem], -1))
+                joined.append((at + i, pieces[stem], pieces[marks] if marks else -1))
         pieces.new = []
         now.room()
         now.bytes += _ENTRY * len(new) + sum(map(len, new))
@@ -172,9 +184,8 @@ class Encoder:
         sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         pieces = lists.flatten().dictionary_encode()  # each different piece is looked up once
         del lists
-        different = pieces.dictionary.to_pylist()
-        at = np.fromiter(map(self.now.pieces.__getitem__, different), np.int64, len(different))[pieces.indices.to_numpy()]
-        del pieces, different
+        at = self.now.pieces.places(pieces.dictionary.to_numpy(zero_copy_only=False))[pieces.indices.to_numpy()]
+        del pieces
         if self.now.pieces.new:
             self._learn()
         now = self.now
