@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +110,32 @@ def test_grammar_round_trip_and_random_access():
     assert len(aaa[0]) < 100
 
 
+def test_no_frequent_pair_that_pays_is_left():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(12)
+    docs = [np.array([*library.encode(" ".join(r.choice(("the", "old", "cat", "rivers", "run", "to sea", "by night")) for _ in range(r.randint(1, 90)))).ids, 1], np.uint32) for _ in range(300)]
+    ids, counts = np.concatenate(docs), np.array([len(d) for d in docs])
+    for least, pays in ((4, 3), (24, 8)):
+        seq, symbols, rules, _ = repair.compress(ids, counts, 49408, least, pays)
+        ends = np.cumsum(symbols)
+        places = [(e - n + i, (int(seq[e - n + i]), int(seq[e - n + i + 1]))) for e, n in zip(ends.tolist(), symbols.tolist()) for i in range(n - 1)]
+        often = {p for p, n in Counter(p for _, p in places).items() if n >= least}
+        at = {i for i, p in places if p in often}
+        # places that overlap none of another frequent pair would all be replaced
+        alone = Counter(p for i, p in places if p in often and i - 1 not in at and i + 1 not in at)
+        assert len(rules) > 20 and all(n < pays for n in alone.values())
+        assert not len(repair.compress(seq, symbols, 49408 + len(rules), least, pays)[2])
+
+
+def test_token_files_of_a_text_above_a_block(spark):
+    long = "many words of some length, again and again. " * 120_000
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in repair.read(repair.write(frame(spark, ["short", long, None]))).collect()}
+    ids = np.array([*library.encode(long, add_special_tokens=False).ids, 1], "<u4")
+    before = len(library.encode("short", add_special_tokens=False).ids) + 1
+    assert got[1] == (before, len(ids), zlib.crc32(ids.tobytes())) and got[2][:2] == (before + len(ids), 1)
+
+
 def test_token_files(spark):
     texts = [*mixed(7, 60), None, "same", "same"]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -61,7 +61,7 @@ def _frequent(a: np.ndarray, b: np.ndarray, turn: int, often: int) -> tuple[np.n
     return at[good], which[good], pairs, counts
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 24, pays: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 4, pays: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rule pairs, expansion lengths) of ids, of which each document has counts[i].
 
     A pair is frequent with ``least`` occurrences; a rule that would be used
