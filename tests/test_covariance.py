@@ -207,3 +207,31 @@ def test_repeated_genes_are_errors(spark):
     with pytest.raises(Exception, match="several rows of values: a"):
         predict.predict(chunks, coefs).collect()
     assert {r["gene"]: r["score"] for r in predict.predict(chunks.distinct(), coefs).collect()} == {"a": 1.0, "b": 2.0, "c": 4.0}
+
+
+@pytest.mark.parametrize("rho", [0.3, -0.7])
+def test_autoregressive_whitening(spark, rho):
+    """The inverse factor's rows whiten as the dense factor does, and stay one number wide."""
+    rng, sizes = np.random.default_rng(8), {"1": 1, "2": 2, "3": 64, "4": 300}
+    genes = [(c, 10 * i + int(c), f"{c}_{i}") for c, n in sizes.items() for i in range(n)]
+    rows = covariance.autoregressive(spark.createDataFrame(genes, "chr string, y_idx long, gene string").repartition(3), rho)
+    assert {r["chr"]: (r["n"], r["band"]) for r in rows.collect()} == {c: (n, min(1, n - 1)) for c, n in sizes.items()}
+    assert max(len(r["l"]) for r in rows.collect()) == 1
+    x = {c: rng.normal(size=(n, 3)) for c, n in sizes.items()}
+    values = spark.createDataFrame([(0, f"{c}_{i}", [float(a) for a in row]) for c, v in x.items() for i, row in enumerate(v)], "chunk_id int, gene string, x array<double>").repartition(5)
+    got = covariance.whiten(values, rows, inverse=True).collect()
+    assert len(got) == len(genes)
+    for c, n in sizes.items():
+        want = np.linalg.solve(np.linalg.cholesky(rho ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))), x[c])
+        own = sorted((r for r in got if r["chr"] == c), key=lambda r: r["i"])
+        assert [r["gene"] for r in own] == [f"{c}_{i}" for i in range(n)] and np.allclose([r["x"] for r in own], want, rtol=0, atol=1e-12)
+    with pytest.raises(Exception, match="without values"):
+        covariance.whiten(values.where("gene <> '4_299'"), rows, inverse=True).collect()
+
+
+def test_long_narrow_blocks_are_no_tiles(spark, monkeypatch):
+    tails = ragged(np.random.default_rng(9), 900, 3)
+    monkeypatch.setattr(skyline, "LARGE", 8 * 1000)  # the factor has more numbers, its strips fewer
+    monkeypatch.setattr(tiles, "tiled", None)
+    rows = covariance.factors(frame(spark, {"1": tails}), 9.0)
+    assert np.allclose(factor(rows, "1", 900), np.linalg.cholesky(dense(tails) + 9 * np.eye(900)))

@@ -6,7 +6,9 @@ ragged rows, too, and no square block or inverse is made. A block streams
 through a task in the order of its places, a strip of TILE rows at a time,
 which is a few products of small matrices; what is held is the strips that
 later rows can still reach. Blocks whose factor is beyond LARGE go to tiles
-that many tasks share, see tiles.py.
+that many tasks share, see tiles.py. Where it is the inverse of the factor
+that is ragged, as with an autoregression, its rows are given in the factor's
+place, and whitening multiplies by them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..tables import kept
 
-#: Rows of a strip; bytes of a factor up to which one task makes it; bytes of whitened values that a task holds.
+#: Rows of a strip; bytes of a factor, or of its strips held at once, up to which one task makes it; bytes of whitened values that a task holds.
 TILE, LARGE, HELD = 64, 256 << 20, 64 << 20
 
 
@@ -155,7 +157,8 @@ def factors(blocks: DataFrame, added: float = 0.0) -> DataFrame:
     shapes = [(r["chr"], r["n"], r["band"], r["cells"]) for r in _shapes(blocks).collect()]  # a row for each block
     kinds = "chr string, n long, band long, cells long"
     spark = blocks.sparkSession
-    large = [s[0] for s in shapes if s[3] * 8 > LARGE]
+    # a narrow band's strips are few, however long the block
+    large = [s[0] for s in shapes if min(s[3], s[2] * (s[2] + TILE)) * 8 > LARGE]
     table = spark.createDataFrame(shapes, kinds).drop("cells")
     out = _streamed(blocks.where(~F.col("chr").isin(large)) if large else blocks, table, added)
     for chr_, n, band, _ in (s for s in shapes if s[0] in large):
@@ -163,10 +166,11 @@ def factors(blocks: DataFrame, added: float = 0.0) -> DataFrame:
     return kept(out, "factors")
 
 
-def whiten(values: DataFrame, rows: DataFrame, name: str = "x") -> DataFrame:
+def whiten(values: DataFrame, rows: DataFrame, name: str = "x", inverse: bool = False) -> DataFrame:
     """(chr, chunk_id, i, gene, x): values (chunk_id, gene, x) of the genes of factors ``rows``, each block solved by its factor.
 
-    A task takes one block of one chunk, or a slice of its columns where the
+    ``inverse``: the rows are those of the factors' inverses, by which values
+    are multiplied. A task takes one block of one chunk, or a slice of its columns where the
     factor reaches far back, and holds only what later rows reach. A gene with
     no values in a chunk, or with two rows of them, is an error.
     """
@@ -190,9 +194,10 @@ def whiten(values: DataFrame, rows: DataFrame, name: str = "x") -> DataFrame:
                 low[k, done + k - len(l) - first : done + k - first] = l
                 low[k, len(window) + k] = dl
             x = np.stack([h[3] for h in held])
-            z = np.linalg.solve(low[:, len(window) :], x - low[:, : len(window)] @ window)
+            before, corner = low[:, : len(window)] @ window, low[:, len(window) :]
+            z = before + corner @ x if inverse else np.linalg.solve(corner, x - before)
             out = _batch({"chr": [last[0]] * t, "chunk_id": pa.array([last[1]] * t, pa.int32()), "cut": pa.array([last[2]] * t, pa.int32()), "i": list(range(done, done + t)), "gene": [h[0] for h in held]}, {"x": list(z)})
-            window = np.vstack([window, z])[-held[0][4] :] if held[0][4] else window[:0]
+            window = np.vstack([window, x if inverse else z])[-held[0][4] :] if held[0][4] else window[:0]
             done, held = done + t, []
             return out
 
