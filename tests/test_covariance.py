@@ -235,3 +235,20 @@ def test_long_narrow_blocks_are_no_tiles(spark, monkeypatch):
     monkeypatch.setattr(tiles, "tiled", None)
     rows = covariance.factors(frame(spark, {"1": tails}), 9.0)
     assert np.allclose(factor(rows, "1", 900), np.linalg.cholesky(dense(tails) + 9 * np.eye(900)))
+
+
+def test_smallest_eigenvalue_of_inverse_factors(spark):
+    """From the ragged rows of the inverse factor, whatever its band."""
+    rng = np.random.default_rng(10)
+    for tails in (ragged(rng, 200, 5), ragged(rng, 90, 60), [np.zeros(0)]):
+        diagonal = 0.5 + rng.random(len(tails))
+        w = np.tril(dense(tails), -1) + np.diag(diagonal)
+        product, own = skyline._precision(tails, diagonal)
+        assert np.allclose(covariance.dense_block(np.arange(len(tails)), product, own), w @ w.T)
+        assert [len(t) for t in product] == [len(t) for t in tails]
+    sizes = {"1": 1, "2": 2, "3": 64, "4": 700}
+    rows = covariance.autoregressive(spark.createDataFrame([(c, i, f"{c}_{i}") for c, n in sizes.items() for i in range(n)], "chr string, y_idx long, gene string"), 0.3)
+    got = {r["chr"]: r["low"] for r in covariance.smallest_eigenvalue(rows, inverse=True).collect()}
+    for c, n in sizes.items():
+        want = np.linalg.eigvalsh(0.3 ** np.abs(np.subtract.outer(np.arange(n), np.arange(n))))[0]
+        assert abs(got[c] - want) < 1e-8

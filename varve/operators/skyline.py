@@ -231,17 +231,18 @@ def _lanczos(n: int, times, steps: int) -> float:
     """The smallest Ritz value after ``steps`` steps, each made orthogonal to all before."""
     rng = np.random.default_rng(n)
     q = rng.normal(size=n)
-    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
-    for _ in range(min(steps, n)):
-        w = times(basis[-1])
-        alpha.append(w @ basis[-1])
-        whole = np.array(basis)
+    basis, alpha, beta = np.zeros((min(steps, n) + 1, n)), [], []
+    basis[0] = q / np.linalg.norm(q)
+    for k in range(min(steps, n)):
+        w = times(basis[k])
+        alpha.append(w @ basis[k])
+        whole = basis[: k + 1]
         for _ in range(2):
             w = w - whole.T @ (whole @ w)
         beta.append(np.linalg.norm(w))
         if beta[-1] <= 1e-12 * max(1.0, abs(alpha[0])):
             break
-        basis.append(w / beta[-1])
+        basis[k + 1] = w / beta[-1]
     k = len(alpha)
     return float(np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta[: k - 1], 1) + np.diag(beta[: k - 1], -1))[0])
 
@@ -280,12 +281,32 @@ def smallest_eigenvalue(tails: list[np.ndarray], diagonal: np.ndarray, steps: in
     return (low + high) / 2
 
 
-def smallest_eigenvalues(blocks: DataFrame) -> DataFrame:
-    """(chr, low) of each block; a task holds one block's ragged rows and their products' vectors."""
+def _precision(tails: list[np.ndarray], diagonal: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """W W' for the ragged rows of a triangle W, with rows as ragged as W's, and its diagonal; it has the eigenvalues of W' W."""
+    rows, out = [], []
+    for tail, d in zip(tails, diagonal, strict=True):
+        rows.append(np.append(tail, d))
+        pairs = ((rows[-1][:-s], rows[-1 - s]) for s in range(len(tail), 0, -1))
+        out.append(np.array([a[-min(len(a), len(b)) :] @ b[-min(len(a), len(b)) :] for a, b in pairs]))
+    return out, np.array([w @ w for w in rows])
+
+
+def smallest_eigenvalues(blocks: DataFrame, inverse: bool = False) -> DataFrame:
+    """(chr, low) of each block; a task holds one block's ragged rows and their products' vectors.
+
+    ``inverse``: blocks are given as rows (chr, i, l, dl) of their inverse
+    factors, and the reciprocal of the inverse's largest eigenvalue is theirs.
+    """
+
+    def lowest(tails: list[np.ndarray], diagonal: np.ndarray) -> float:
+        if not inverse:
+            return smallest_eigenvalue(tails, diagonal)
+        tails, diagonal = _precision(tails, diagonal)
+        return -1.0 / smallest_eigenvalue([-t for t in tails], -diagonal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tails, diagonal = None, [], []
-        row = lambda: pa.RecordBatch.from_pydict({"chr": [last], "low": [smallest_eigenvalue(tails, np.array(diagonal))]})
+        row = lambda: pa.RecordBatch.from_pydict({"chr": [last], "low": [lowest(tails, np.array(diagonal))]})
         for batch in batches:
             values, at = _lists(batch.column("r"))
             for k, (chr_, d) in enumerate(zip(batch.column("chr").to_pylist(), batch.column("d").to_pylist(), strict=True)):
@@ -298,4 +319,5 @@ def smallest_eigenvalues(blocks: DataFrame) -> DataFrame:
         if tails:
             yield row()
 
-    return blocks.select("chr", "i", "r", "d").repartition("chr").sortWithinPartitions("chr", "i").mapInArrow(run, "chr string, low double")
+    rows = blocks.select("chr", "i", F.col("l").alias("r"), F.col("dl").alias("d")) if inverse else blocks.select("chr", "i", "r", "d")
+    return rows.repartition("chr").sortWithinPartitions("chr", "i").mapInArrow(run, "chr string, low double")
