@@ -301,3 +301,27 @@ def test_byte_bpe_of_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], SCHEMA).selectExpr("*", "1 as n_tokens", "'x' as bytes", "2 as ends")
     got = sorted((r.doc_id or 0, r.n_tokens) for r in byte_bpe.digests(byte_bpe.encode(df)).collect())
     assert got == [(0, 0), (1, 2), (1, 2), (2, 0)]
+
+
+def test_plain_words_go_past_the_normaliser():
+    """Lower-case ASCII words meet the model alone, with and without capitals and marks; others meet the whole tokenizer."""
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["some plain words", "Some PLAIN (words) qzxvk, and-more!!", "", "  a  b\nc "]
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+
+    class Counted:
+        words = 0
+
+        def encode_batch_fast(self, texts, **named):
+            self.words += sum(len(t.split()) for t in texts)
+            return whole.encode_batch_fast(texts, **named)
+
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+    own.tokenizer = counted = Counted()
+    ids, counts = own.encode(texts)
+    assert counted.words == 0 and ids.tolist() == [i for t in texts for i in whole.encode(t, add_special_tokens=False).ids]
+    odd = ["Stra\u00dfe \u00c0B \u00f7 \u00d7y na\u00efve!", "\u00aab \u00b5m e\u0301a K\u212a", "I\u0130 \u017ft's"]
+    ids, counts = own.encode(odd)
+    assert counted.words and ids.tolist() == [i for t in odd for i in whole.encode(t, add_special_tokens=False).ids]

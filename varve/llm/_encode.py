@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Letters of Latin-1.
-_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: ASCII marks but the apostrophe, which may open a token with letters.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_FOLD = {i: i + 32 for i in range(65, 91)}
 #: A line feed with other white space beside it.
 _WIDE = re.compile(r"\n(?:\s|(?<=\s\n))")
 #: Bytes that an entry takes besides its text.
@@ -96,6 +96,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.cache_bytes = spaces, cache_bytes
+        # the same model for lower-case ASCII words, which the normaliser leaves as they are and no pattern parts
+        self.lean = Tokenizer(self.tokenizer.model)
+        self.lean.pre_tokenizer = WhitespaceSplit()
+        self.lettered = f"^{' ?' * spaces}[{_LETTERS}]+$"
         self.mark = "\x00" if spaces else " "
         vocabulary = self.tokenizer.get_vocab()
         # a token that opens a word with its space, or one that closes a word
@@ -106,48 +110,50 @@ class Encoder:
         self.now, self.old = _Generation(), _Generation()
 
     def _learn(self) -> None:
-        now, old = self.now, self.old.pieces.get
+        while self.now.pieces.new:  # the parts of joined pieces are new ones, too
+            self._learn_new()
+
+    def _learn_new(self) -> None:
+        now = self.now
         pieces, new = now.pieces, now.pieces.new
-        at = len(pieces) - len(new)
-        known: list[tuple[int, int]] = []  # places here and in the older generation
-        words, heads, rest, joined = [], [], [], []  # places in new of words, of words without a space before, of what else goes to the library, and (place, letters, marks)
-        for i, piece in enumerate(new):  # grows by the parts of joined pieces
-            if (place := old(piece)) is not None:
-                known.append((at + i, place))
-                continue
-            stem = piece.rstrip(_MARKS)
-            letters = stem[1:] if self.spaces and stem[:1] == " " else stem
-            if not (letters.isascii() and letters.isalpha() or letters and _LETTERS.issuperset(letters)):
-                rest.append(i)
-                continue
-            marks = piece[len(stem) :]
-            if not self.spaces and not stem.islower():
-                stem = stem.lower() if stem.isascii() else stem.translate(_FOLD)
-            if stem == piece:
-                (heads if self.spaces and letters is stem else words).append(i)
-            else:
-                joined.append((at + i, pieces[stem], pieces[marks] if marks else -1))
         pieces.new = []
+        at = len(pieces) - len(new)
         now.room()
-        now.bytes += _ENTRY * len(new) + sum(map(len, new))
-        if known:
-            own, from_ = np.array(known).T
-            now.store(own, *self.old.take(from_))
-            now.odd[own] = self.old.odd[from_]
+        own = pa.array(new, pa.string())
+        now.bytes += _ENTRY * len(new) + own.nbytes
+        former = np.fromiter(map(self.old.pieces.get, new, repeat(-1)), np.int64, len(new))
+        if (known := np.flatnonzero(former >= 0)).size:
+            now.store(at + known, *self.old.take(former[known]))
+            now.odd[at + known] = self.old.odd[former[known]]
+        stem = pc.utf8_rtrim(own, characters=_MARKS)
+        if not self.spaces:
+            stem = pc.ascii_lower(stem)
+        flags = lambda a: a.to_numpy(zero_copy_only=False)
+        unknown, lettered, whole = former < 0, flags(pc.match_substring_regex(stem, self.lettered)), flags(pc.equal(stem, own))
+        rest = np.flatnonzero(unknown & ~lettered).tolist()
+        parted = np.flatnonzero(unknown & lettered & ~whole)
+        words = unknown & lettered & whole
         # words one after another are one call to the library, and their tokens show where each begins or ends
-        for places, between in ((words, "" if self.spaces else " "), (heads, "\n")):
+        if self.spaces:
+            behind = flags(pc.starts_with(own, " "))
+            kinds = ((words & behind, "", self.tokenizer), (words & ~behind, "\n", self.tokenizer))
+        else:
+            plain = flags(pc.string_is_ascii(own))
+            kinds = ((words & plain, " ", self.lean), (words & ~plain, " ", self.tokenizer))
+        for chosen, between, tokenizer in kinds:
+            places = np.flatnonzero(chosen).tolist()
             for i in range(0, len(places), 1024):
                 part = places[i : i + 1024]
-                ids = np.array(self.tokenizer.encode_batch_fast([between.join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+                ids = np.array(tokenizer.encode_batch_fast([between.join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
                 if between == "\n":
                     feed = ids == self.feed
-                    own, which, found = ids[~feed], np.cumsum(feed)[~feed], int(feed.sum()) + 1
+                    made, which, found = ids[~feed], np.cumsum(feed)[~feed], int(feed.sum()) + 1
                 else:
                     edge = self.edge[ids]
-                    own, which, found = ids, np.cumsum(edge) - (1 if self.spaces else edge), int(edge.sum())
+                    made, which, found = ids, np.cumsum(edge) - (1 if self.spaces else edge), int(edge.sum())
                     found = -1 if len(ids) and not edge[0 if self.spaces else -1] else found
                 if found == len(part):
-                    now.store(at + np.array(part), own, np.bincount(which, minlength=len(part)))
+                    now.store(at + np.array(part), made, np.bincount(which, minlength=len(part)))
                 else:
                     rest += part
         for i in range(0, len(rest), 1024):
@@ -156,13 +162,19 @@ class Encoder:
             now.store(at + np.array(part), np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64))
             if self.spaces:
                 now.odd[at + np.array(part)] = [new[k][:1] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
-        if joined:
-            own, stem, marks = np.array(joined).T
-            ids, per = now.take(np.stack([stem, np.maximum(marks, 0)], 1).ravel())
-            if (marks < 0).any():
-                ids = ids[np.repeat(np.stack([np.ones(len(marks), bool), marks >= 0], 1).ravel(), per)]
-                per[1::2][marks < 0] = 0
-            now.store(own, ids, per[::2] + per[1::2])
+        if len(parted):
+            stems, whole = stem.take(pa.array(parted)), own.take(pa.array(parted))
+            # a stem differs from its piece's beginning only by case, so marks are what is beyond it
+            marks = pa.array([w[n:] for w, n in zip(whole.to_pylist(), pc.utf8_length(stems).to_pylist(), strict=True)], pa.string())
+            places = [self._places(parts) for parts in (stems, marks)]
+            self._learn()
+            ids, per = now.take(np.stack(places, 1).ravel())
+            now.store(at + parted, ids, per[::2] + per[1::2])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Of parts of pieces, an empty one's too."""
+        parts = parts.dictionary_encode()
+        return self.now.pieces.places(parts.dictionary.to_numpy(zero_copy_only=False))[parts.indices.to_numpy()]
 
     def _marked(self, text: str) -> str | None:
         """A text with its cuts marked by ``self.mark``; None if it has that mark itself."""
