@@ -1,6 +1,8 @@
 """Token files, byte-level BPE and packing, against the public libraries."""
 
+import inspect
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -325,3 +327,22 @@ def test_plain_words_go_past_the_normaliser():
     odd = ["Stra\u00dfe \u00c0B \u00f7 \u00d7y na\u00efve!", "\u00aab \u00b5m e\u0301a K\u212a", "I\u0130 \u017ft's"]
     ids, counts = own.encode(odd)
     assert counted.words and ids.tolist() == [i for t in odd for i in whole.encode(t, add_special_tokens=False).ids]
+
+
+def test_an_executors_caches_stay_small():
+    """What the cache holds of each byte that it counts, times the two generations that four workers may fill."""
+    path, bound = public_tokenizers.path("word_bpe_49k.json"), inspect.signature(repair.write).parameters["cache_bytes"].default
+    rng, sizes, counted = random.Random(4), [], []
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(15000)) for _ in range(14)]
+    own = Encoder(path, False, 8 << 20)
+    own.encode(["warm Up!"])
+    tracemalloc.start()
+    try:
+        for text in texts:
+            own.encode([text])
+            sizes.append(tracemalloc.get_traced_memory()[0])
+            counted.append(own.now.bytes + own.old.bytes)
+    finally:
+        tracemalloc.stop()
+    assert max(sizes[7:]) <= 1.25 * max(sizes[:7])  # full caches grow no more
+    assert 4 * 2 * bound * max(sizes) / max(counted) < 800 << 20

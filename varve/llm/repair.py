@@ -186,7 +186,7 @@ class Shard:
         return expand(self.symbols, self.rule_ids, self.rule_start, self.lengths, self.base)
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache_bytes: int = 112 << 20) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, base: int = 49408, block_bytes: int = 4 << 20, cache_bytes: int = 48 << 20) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the file table to the shared folder; returns it as read back.
 
     A document is its ids, then ``end_id``; a null or empty text is its end id
