@@ -346,3 +346,43 @@ def test_an_executors_caches_stay_small():
         tracemalloc.stop()
     assert max(sizes[7:]) <= 1.25 * max(sizes[:7])  # full caches grow no more
     assert 4 * 2 * bound * max(sizes) / max(counted) < 800 << 20
+
+
+def test_words_are_cached_without_marks_and_capitals():
+    """One entry for a word whatever stands around it, and the library's ids also where a capital letter is composed with what follows."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = Encoder(path, False), Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["River, river! (RIVER) river-river.\n\tRiver", "Été... été, ÉTÉ"]
+    ids, counts = own.encode(texts)
+    assert set(own.now.pieces) == {"river", "été", ",", "!", "(", ")", "-", ".", "..."}
+    odd = [*texts, "H\u0331 h\u0331 T\u0308x, AW\u030a! J\u030c", "endH", "\u0331begins", "À", "\u0300Â\u0301", "a,\u0301b <\u0338c =\u0338", "×÷ßÿÞØ ×A÷", "x's,'S 'tis. O'RE,'ll", "\r\x0b\x0cA\tB\x85C\xa0D ", "", "\n", "AİB ΣΣ, 1A2,3", "\U0001f600.A\U0001f600"]
+    ids, counts = own.encode(odd)
+    for text, e, n in zip(odd, np.cumsum(counts), counts):
+        assert ids[e - n : e].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    marks = ["\u0331", "\u0308", "\u030a", "\u030c", "\u0338", "\u0301", "\u1161", "A", "H", "w", "J", "Â", "ê", ",", "=", "'", "s", "7", " ", "\n", "\u212a"]
+    r = random.Random(31)
+    mixes = ["".join(r.choices(marks, k=r.randint(0, 9))) for _ in range(3000)]
+    ids, counts = own.encode(mixes)
+    for text, e, n in zip(mixes, np.cumsum(counts), counts):
+        assert ids[e - n : e].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_overlapping_pairs_of_a_round():
+    """Of overlapping places whose pairs are equally frequent every other one stays, of others the more frequent."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        ids = rng.choice(3, 200, p=[0.6, 0.3, 0.1]).astype(np.uint32)
+        pairs = list(zip(ids.tolist(), ids[1:].tolist()))
+        n = Counter(pairs)
+        at = [i for i, p in enumerate(pairs) if n[p] >= 4]
+        beats, weight, start = {}, [n[pairs[i]] for i in at], 0
+        for k, i in enumerate(at):
+            start = start if k and at[k - 1] == i - 1 and weight[k - 1] == weight[k] else k
+            beats[i] = (k - start) % 2 == 0
+        out = {i + (weight[k] >= weight[k + 1]) for k, i in enumerate(at[:-1]) if at[k + 1] == i + 1 and weight[k] != weight[k + 1] and beats[i] and beats[i + 1]}
+        kept = [i for i in at if beats[i] and i not in out]
+        uses = Counter(pairs[i] for i in kept)
+        made = {p for p in uses if uses[p] >= 3}
+        seq, _, rules, _ = repair.compress(ids, np.array([200]), 3, 4, 3)
+        assert {tuple(p) for p in rules[: len(made)].tolist()} == made

@@ -5,9 +5,11 @@ use never merge across such a cut: one drops white space, the other lets a
 space open the next token and a line feed between other characters stand alone.
 Only where more white space stands beside a cut does it depend on what lies
 around it; such a text is not cut at line feeds, or goes to the library as a
-whole. A new piece that is letters and then marks is put together from the two,
-as both vocabularies part them, so a word costs the library one call whatever
-marks follow it.
+whole. The vocabulary that drops white space also lower-cases and parts letters
+from marks, so its texts are cut there, too, on bytes, and only words and runs of
+marks are cached. With the other, a new piece that is letters and then marks is
+put together from the two. So a word costs the library one call whatever marks
+follow it.
 
 The cache has two generations: once the younger is full it becomes the older,
 and the one before goes. A piece that comes again moves to the younger, so
@@ -25,16 +27,56 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
+from ._scan import SPACE, text_bytes
+
 #: Letters of Latin-1.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
 #: ASCII marks but the apostrophe, which may open a token with letters.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Kinds of bytes: white space, letters, marks (which differ from letters in both bits), others.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[SPACE] = 0
+_SPACES = bytes(np.flatnonzero(SPACE).tolist())
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[list(_MARKS.encode())] = 2
 #: A line feed with other white space beside it.
 _WIDE = re.compile(r"\n(?:\s|(?<=\s\n))")
 #: Bytes that an entry takes besides its text.
 _ENTRY = 150
 
 
+def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Pieces of texts cut at white space and between letters and marks, in lower case, and how many each text has.
+
+    A capital letter before a character beyond Latin-1 stays, as the two may be
+    composed before they are lower-cased.
+    """
+    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    raw, kind = raw.copy(), _KIND[raw]
+    lead = np.flatnonzero(raw == 0xC3)  # of the letters from U+00C0 on, and of two marks
+    second = raw[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    lead, second = lead[letter] + 1, second[letter]
+    kind[lead - 1] = kind[lead] = 1
+    simple = np.append((raw[1:] < 0x80) | (raw[1:] == 0xC3), True)  # what follows is never composed with what stands before
+    raw += ((raw - np.uint8(65) < 26) & simple[: len(raw)]).view(np.uint8) << 5
+    lead = lead[(second < 0x9F) & simple[lead]]
+    raw[lead] += 32
+    ink = kind != 0
+    begins = ink.copy()
+    begins[1:] &= ~ink[:-1] | (kind[1:] ^ kind[:-1] == 3)
+    at = offsets[:-1][np.diff(offsets) > 0]
+    begins[at] = ink[at]
+    ends = ink.copy()
+    ends[:-1] &= ~ink[1:] | begins[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    sizes = np.diff(np.searchsorted(first, offsets))
+    bounds = np.append(0, np.cumsum(last + 1 - first))
+    pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(raw.tobytes().translate(None, _SPACES)))
+    return pieces.dictionary_encode(), sizes  # each different piece is looked up once
+
+
 class _Pieces(dict):
     def __init__(self):
         super().__init__()
@@ -99,8 +141,7 @@ class Encoder:
         # the same model for lower-case ASCII words, which the normaliser leaves as they are and no pattern parts
         self.lean = Tokenizer(self.tokenizer.model)
         self.lean.pre_tokenizer = WhitespaceSplit()
-        self.lettered = f"^{' ?' * spaces}[{_LETTERS}]+$"
-        self.mark = "\x00" if spaces else " "
+        self.lettered = f"^ ?[{_LETTERS}]+$" if spaces else f"^[{_SMALL}]+$"
         vocabulary = self.tokenizer.get_vocab()
         # a token that opens a word with its space, or one that closes a word
         self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -125,9 +166,7 @@ class Encoder:
         if (known := np.flatnonzero(former >= 0)).size:
             now.store(at + known, *self.old.take(former[known]))
             now.odd[at + known] = self.old.odd[former[known]]
-        stem = pc.utf8_rtrim(own, characters=_MARKS)
-        if not self.spaces:
-            stem = pc.ascii_lower(stem)
+        stem = pc.utf8_rtrim(own, characters=_MARKS) if self.spaces else own
         flags = lambda a: a.to_numpy(zero_copy_only=False)
         unknown, lettered, whole = former < 0, flags(pc.match_substring_regex(stem, self.lettered)), flags(pc.equal(stem, own))
         rest = np.flatnonzero(unknown & ~lettered).tolist()
@@ -164,7 +203,6 @@ class Encoder:
                 now.odd[at + np.array(part)] = [new[k][:1] == " " and (len(new[k]) == 1 or new[k][1].isspace()) for k in part]
         if len(parted):
             stems, whole = stem.take(pa.array(parted)), own.take(pa.array(parted))
-            # a stem differs from its piece's beginning only by case, so marks are what is beyond it
             marks = pa.array([w[n:] for w, n in zip(whole.to_pylist(), pc.utf8_length(stems).to_pylist(), strict=True)], pa.string())
             places = [self._places(parts) for parts in (stems, marks)]
             self._learn()
@@ -177,25 +215,26 @@ class Encoder:
         return self.now.pieces.places(parts.dictionary.to_numpy(zero_copy_only=False))[parts.indices.to_numpy()]
 
     def _marked(self, text: str) -> str | None:
-        """A text with its cuts marked by ``self.mark``; None if it has that mark itself."""
-        if not self.spaces:
-            return text.replace("\n", " ")
+        """A text that keeps white space, with its cuts marked by null characters; None if it has one itself."""
         if "\x00" in text:
             return None
         if "\n" in text and not _WIDE.search(text):
             text = text.replace("\n", "\x00\n\x00")
         return text.replace(" ", "\x00 ")  # each piece but a line's first keeps the space before it
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.now.bytes > self.cache_bytes:
-            self.now, self.old = _Generation(), self.now
+    def _spaced(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, set[int]]:
+        """Pieces of texts that keep white space, how many each text has, and the texts to be encoded as a whole."""
         marked = [self._marked(t) for t in texts]
         whole = {i for i, s in enumerate(marked) if s is None}
-        lists = pc.split_pattern(pa.array([s or "" for s in marked], pa.string()), self.mark)
+        lists = pc.split_pattern(pa.array([s or "" for s in marked], pa.string()), "\x00")
         del marked
         sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        pieces = lists.flatten().dictionary_encode()  # each different piece is looked up once
-        del lists
+        return lists.flatten().dictionary_encode(), sizes, whole
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.now.bytes > self.cache_bytes:
+            self.now, self.old = _Generation(), self.now
+        pieces, sizes, whole = self._spaced(texts) if self.spaces else (*_words(texts), set())
         at = self.now.pieces.places(pieces.dictionary.to_numpy(zero_copy_only=False))[pieces.indices.to_numpy()]
         del pieces
         if self.now.pieces.new:

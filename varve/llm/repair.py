@@ -57,7 +57,7 @@ def _frequent(a: np.ndarray, b: np.ndarray, turn: int, often: int) -> tuple[np.n
         which[other] = len(pairs) + place
         pairs = np.concatenate([pairs, more])
     counts = np.bincount(which, minlength=len(pairs))
-    good = counts[which] >= often
+    good = np.flatnonzero(counts[which] >= often)
     return at[good], which[good], pairs, counts
 
 
@@ -85,17 +85,22 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 4, pay
         every = at
         weight = weight[which]  # where occurrences of one pair overlap, every other one stays; else the more frequent pair's
         touch = at[1:] == after[at[:-1]]
-        run = np.append(True, ~touch | (weight[1:] != weight[:-1]))
-        begins = np.flatnonzero(run)
-        beats = (np.arange(len(at)) - begins[np.cumsum(run) - 1]) % 2 == 0
-        clash = np.flatnonzero(touch & run[1:] & beats[:-1] & beats[1:])
-        beats[np.where(weight[clash] < weight[clash + 1], clash, clash + 1)] = False
-        at, which = at[beats], which[beats]
+        same = touch & (weight[1:] == weight[:-1])
+        beats = np.ones(len(at), bool)
+        later = np.flatnonzero(same) + 1  # in a run of overlapping places, all but its first
+        begins = np.flatnonzero(np.diff(later, prepend=-1) != 1)
+        beats[later[(np.arange(len(later)) - np.repeat(begins, np.diff(begins, append=len(later)))) % 2 == 0]] = False
+        clash, less = touch & ~same & beats[:-1] & beats[1:], weight[:-1] < weight[1:]
+        beats[:-1] &= ~(clash & less)
+        beats[1:] &= ~clash | less
+        won = np.flatnonzero(beats)
+        at, which = at[won], which[won]
         keep = np.bincount(which, minlength=len(pairs)) >= pays
         if not keep.any():
             break
         number = np.cumsum(keep) - 1 + base + len(lengths)
-        at, which = at[keep[which]], which[keep[which]]
+        used = np.flatnonzero(keep[which])
+        at, which = at[used], which[used]
         new = pairs[keep]
         left, right = (new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)
         size = lambda s: np.where(s < base, 1, lengths[np.maximum(s.astype(np.int64) - base, 0)] if len(lengths) else 1)
@@ -105,7 +110,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 4, pay
         gone = after[at]
         # counts of other pairs only fall, so the next round looks at pairs with a new symbol and at those found now but not replaced
         flag[at] = flag[gone] = True
-        waiting = every[~(flag[every] | flag[after[every]])]
+        waiting = every[np.flatnonzero(~(flag[every] | flag[after[every]]))]
         flag[at] = flag[gone] = False
         seq[at] = number[which].astype(np.uint32)
         last[at] = last[gone]
@@ -117,8 +122,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = 4, pay
         flag[-1] = False  # what stands before the first place
         where = np.flatnonzero(flag)
         flag[where] = False
-        where = where[~last[where]]
-    seq, last = seq[alive], last[alive]
+        where = where[np.flatnonzero(~last[where])]
+    left = np.flatnonzero(alive)
+    seq, last = seq[left], last[left]
     symbols = np.zeros(len(counts), np.int64)
     ends = np.flatnonzero(last) + 1
     symbols[counts > 0] = np.diff(ends, prepend=0)
