@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,52 @@ def test_trie_finds_all_links():
             assert sorted(trie.links(i)) == want
 
 
+def first_linked(sets, percent=80):
+    """For each set the first set that links connect it with, from all pairs."""
+    values, often = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[often > 1]
+    dense = np.array([np.isin(values, s) for s in sets], np.float32)
+    size, overlap = np.array([len(s) for s in sets]), dense @ dense.T
+    overlap[np.diag_indices(len(sets))] = size
+    link = (100 + percent) * overlap >= percent * (size[:, None] + size)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(link, root, len(sets)).min(1)
+        least = least[least]
+        if (least == root).all():
+            return root.tolist()
+        root = least
+
+
+@pytest.mark.parametrize("table", [1 << 25, 1500])
+def test_links_of_parts_that_passages_join(table, monkeypatch):
+    """Clusters with passages in common, sets that nothing links, and nested ones; with few sets at once, too."""
+    monkeypatch.setattr(ngram_join.Trie, "TABLE", table, raising=False)
+    monkeypatch.setattr(ngram_join.Trie, "AT_ONCE", table, raising=False)
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        passages, sets = [rng.integers(0, 1 << 40, 6) for _ in range(3)], []
+        for _ in range(6):
+            base = rng.integers(0, 1 << 40, rng.integers(5, 60))
+            for _ in range(rng.integers(1, 12)):
+                own = rng.choice(base, max(1, int(len(base) * rng.uniform(0.8, 1))), replace=False)
+                sets.append(np.unique(np.concatenate([own, *(p for p in passages if rng.random() < 0.3), rng.integers(0, 1 << 40, rng.integers(0, 4))])).astype(np.uint64))
+        sets += [np.arange(k, dtype=np.uint64) for k in range(1, 40)] + [sets[0], sets[3]]
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        assert list(ngram_join.linked(sets, 80)) == first_linked(sets)
+
+
+def test_a_large_group_of_near_copies_takes_no_walk_for_each_pair():
+    """Half of them link; by one Python step for each pair these took 36 CPU seconds."""
+    rng = np.random.default_rng(6)
+    base = np.arange(0, 4000, 10)
+    sets = [np.unique(np.concatenate([rng.choice(base, 400 - int(k), replace=False), rng.integers(5000, 1 << 40, int(k))])).astype(np.uint64) for k in rng.integers(5, 50, 2200)]
+    began = time.process_time()
+    got = ngram_join.linked(sets, 80)
+    assert time.process_time() - began < 15
+    assert list(got) == first_linked(sets)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     many = "one two three four five six seven"
     rows = [(1, many), (1, many), (2, many.upper()), (None, many), (3, None)]

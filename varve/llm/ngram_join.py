@@ -13,12 +13,15 @@ the pairs of a group:
    are one from here on.
 3. Documents with a prefix n-gram in common, and sizes that may link, are
    joined to candidate components.
-4. Within a component the sets, their n-grams in one order with the most
-   common first, are stored in a trie. A traversal for one set carries the
-   overlap so far, shared by all sets below a node, and leaves a subtree when
-   the n-grams still to come in it or in the set can't reach the similarity.
-   Sets found are taken out and traversed for next, until none links. A
-   component too large for a task is cut into blocks, which meet in pairs.
+4. A component is parted once more by the order of its own n-grams, the rarest
+   first, after sets that have too little in common with others are left out.
+   Within a part the sets, their n-grams in one order with the most common
+   first, are stored in a trie. A traversal carries the overlap so far, shared
+   by all sets below a node, and leaves a subtree when the n-grams still to come
+   in it or in the set can't reach the similarity, or when the bits of the most
+   common ones already tell; many sets traverse at once. Sets found are taken
+   out and traversed for next, until none links. A component too large for a
+   task is cut into blocks, which meet in pairs.
 5. The links' components, equal sets with them, are the result.
 """
 
@@ -166,24 +169,110 @@ def _enough(shared: DataFrame, percent: int) -> DataFrame:
     return both.where(f"shared >= ceil(size * {percent} / 100) div 10 + 1").select("id", "size")
 
 
+def _may_link(size: np.ndarray, which: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets, their n-grams being ``which`` one set after the other, have enough in common with other such sets; the rest link with none of them."""
+    owner, on = np.repeat(np.arange(len(size)), size), size > 0
+    while True:
+        # all that a set has in common is in its partner, too: 100 o >= percent a
+        often = np.bincount(which)
+        on = on & (100 * np.bincount(owner[often[which] > 1], minlength=len(size)) >= percent * size)
+        stay = on[owner]
+        if stay.all():
+            return on
+        which, owner = which[stay], owner[stay]
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the first that edges connect it with."""
+    above = list(range(n))
+    for pair in np.unique(a * n + b).tolist():
+        x, y = divmod(pair, n)
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        above[max(x, y)] = min(x, y)
+    for i in range(n):
+        above[i] = above[above[i]]
+    return np.array(above, np.int64)
+
+
+def _parted(sets: list[np.ndarray], percent: int, rounds: int = 8) -> Iterator[np.ndarray]:
+    """The places of sets in parts that no link connects, those of sets without a link left out.
+
+    Sets that link have one of their rarest n - ceil(n percent / 100) + 1
+    n-grams in common, rarest among the sets here: common passages don't bring
+    them together. What is common within a part is another thing, so a part that
+    lost sets is tried again.
+    """
+    at, part = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    for left in range(rounds, 0, -1):
+        size = np.array([len(sets[i]) for i in at], np.int64)
+        if not size.sum():
+            return
+        owner = np.repeat(np.arange(len(at)), size)
+        _, which = np.unique(np.concatenate([sets[i] for i in at]) ^ mix(part.astype(np.uint64))[owner], return_inverse=True)
+        before = np.bincount(part)
+        on = _may_link(size, which, percent)
+        which = which[on[owner]]
+        at, part, size = at[on], part[on], size[on]
+        if not len(at):
+            return
+        owner = np.repeat(np.arange(len(at)), size)
+        often = np.bincount(which)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        first = np.argsort(owner * len(rank) + rank[which])
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        first = first[(inner < (size - (-(-size * percent // 100)) + 1)[owner]) & (often[which[first]] > 1)]
+        first = first[np.lexsort((size[owner[first]], which[first]))]
+        who = owner[first]
+        root, _ = _sweep(which[first], size[who], size[who])
+        _, part_now, many = np.unique(_roots(len(at), who[root], who), return_inverse=True, return_counts=True)
+        many = many[part_now]
+        ready = (many == 2) | (many == before[part]) | (left == 1)
+        order = np.flatnonzero(ready & (many > 1))
+        order = order[np.argsort(part_now[order], kind="stable")]
+        if len(order):
+            yield from np.split(at[order], np.flatnonzero(np.diff(part_now[order])) + 1)
+        on = ~ready & (many > 2)
+        at, part = at[on], part_now[on]
+
+
+def _joined(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the places first[k] to first[k] + count[k], one after the other, and their k."""
+    of = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(of)) + np.repeat(first - (np.cumsum(count) - count), count), of
+
+
 class Trie:
-    """Sets of one component, as paths of n-grams with the most common first; paths without a branch are one node."""
+    """Sets of one component, as paths of n-grams with the most common first; paths without a branch are one node.
+
+    The most common n-grams are bits: a node has those of its own n-grams, and
+    those of all sets below it with the most n-grams that one has besides, which
+    bounds the overlap before a traversal goes down. Many sets traverse the trie
+    at once, as arrays of (set, node).
+    """
+
+    #: Bytes of a table of n-grams by sets, and of the bits of the (set, node) that are taken at once.
+    TABLE, AT_ONCE = 32 << 20, 4 << 20
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent = percent
-        self.size = [len(s) for s in sets]
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        _, which, often = np.unique(flat, return_inverse=True, return_counts=True)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        _, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(often), np.int64)
         rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        ranks = rank[which]
         common = int((often > 1).sum())  # an n-gram of one set adds to its size alone
         ends = np.cumsum(self.size)
-        ranks = rank[which]
         self.paths = []
-        for n, e in zip(self.size, ends.tolist(), strict=True):
+        for n, e in zip(self.size.tolist(), ends.tolist(), strict=True):
             own = np.sort(ranks[e - n : e])
             self.paths.append(own[: np.searchsorted(own, common)])
-        self.mask = np.zeros(common + 1, bool)
+        self.length = np.array([len(p) for p in self.paths], np.int64)
+        self.batch = max(1, min(64, self.TABLE // (common + 1)))
+        self.table = np.zeros((common + 1) * self.batch, bool)
         order = sorted(range(len(sets)), key=lambda i: self.paths[i].astype(">u4").tobytes())
         self.child: list[list[int]] = [[]]
         self.parent, self.segment, self.depth = [-1], [np.zeros(0, np.int64)], [0]
@@ -216,14 +305,7 @@ class Trie:
             self.ends[top].append(i)
             self.node_of[i] = top
             before = path
-        n = len(self.child)
-        self.live, self.low, self.high = [0] * n, [1 << 60] * n, [0] * n
-        for i, node in enumerate(self.node_of):
-            while node >= 0:
-                self.live[node] += 1
-                self.low[node] = min(self.low[node], self.size[i])
-                self.high[node] = max(self.high[node], len(self.paths[i]))
-                node = self.parent[node]
+        self._bounds()
 
     def _new(self, parent: int, segment: np.ndarray) -> int:
         self.child.append([])
@@ -233,56 +315,137 @@ class Trie:
         self.ends.append([])
         return len(self.child) - 1
 
+    def _bits(self, parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of sorted n-grams the most common as bits, and the others."""
+        out, others = np.zeros((len(parts), self.words), np.uint64), []
+        for row, part in zip(out, parts, strict=True):
+            cut = int(np.searchsorted(part, 64 * self.words))
+            np.bitwise_or.at(row, part[:cut] >> 6, U(1) << (part[:cut] & 63).astype(np.uint64))
+            others.append(part[cut:])
+        return out, others
+
+    def _bounds(self) -> None:
+        """What each node knows of its n-grams and of the sets below it."""
+        n = len(self.child)
+        self.words = max(1, -(-2 * int(self.length.sum()) // (64 * max(1, len(self.length)))))  # as many as keep the bits in proportion to the n-grams
+        self.head_of, others = self._bits(self.paths)
+        self.tail_of = np.array([len(t) for t in others], np.int64)
+        self.own, others = self._bits(self.segment)
+        self.rare_count = np.array([len(t) for t in others], np.int64)
+        self.rare, self.rare_first = np.concatenate(others), np.cumsum(self.rare_count) - self.rare_count
+        self.last = np.array([s[-1] if len(s) else -1 for s in self.segment], np.int64)
+        self.below = np.array(self.depth, np.int64)
+        self.live, self.low, high = [0] * n, np.full(n, 1 << 60), np.zeros(n, np.int64)
+        self.head, self.tail = np.zeros((n, self.words), np.uint64), np.zeros(n, np.int64)
+        for i, node in enumerate(self.node_of):
+            self.live[node] += 1
+            self.low[node] = min(self.low[node], self.size[i])
+            high[node] = self.length[i]
+            self.head[node] |= self.head_of[i]
+            self.tail[node] = max(self.tail[node], self.tail_of[i])
+        for node in sorted(range(1, n), key=self.depth.__getitem__, reverse=True):
+            up = self.parent[node]
+            self.live[up] += self.live[node]
+            self.low[up] = min(self.low[up], self.low[node])
+            high[up] = max(high[up], high[node])
+            self.head[up] |= self.head[node]
+            self.tail[up] = max(self.tail[up], self.tail[node])
+        self.more = high - self.below
+        self.empty = np.zeros(n, bool)
+        self.gone = np.zeros(len(self.size), bool)
+        lists = lambda x: (np.array([len(v) for v in x], np.int64), np.concatenate([np.array(v, np.int64) for v in x]))
+        self.kid_count, self.kid = lists(self.child)
+        self.end_count, self.end = lists(self.ends)
+        self.kid_first, self.end_first = (np.cumsum(c) - c for c in (self.kid_count, self.end_count))
+
     def remove(self, i: int) -> None:
+        self.gone[i] = True
         node = self.node_of[i]
-        self.ends[node].remove(i)
         while node >= 0:
             self.live[node] -= 1
+            if not self.live[node]:
+                self.empty[node] = True
             node = self.parent[node]
 
     def links(self, i: int) -> list[int]:
         """The sets still in the trie that link with set i."""
-        own, size, percent = self.paths[i], self.size[i], self.percent
-        self.mask[own] = True
-        found, stack = [], [(0, 0)]
+        return self.links_of([i])[1].tolist()
+
+    def links_of(self, sets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``sets``, at most ``batch`` of them, and the sets still in the trie that link with the one there."""
+        which = np.array(sets, np.int64)
+        size, length, head, tail = self.size[which], self.length[which], self.head_of[which], self.tail_of[which]
+        begin, wide = np.cumsum(length) - length, len(self.table) // self.batch
+        column, row = np.repeat(np.arange(len(which)), length), np.concatenate([self.paths[i] for i in sets])
+        places, cells = column * wide + row, row * self.batch + column
+        self.table[cells] = True
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        few, many, most = self.percent, 100 + self.percent, max(256, self.AT_ONCE // (8 * self.words))
+        stack = [(np.arange(len(which)), np.zeros(len(which), np.int64), np.zeros(len(which), np.int64))]
         while stack:
-            node, overlap = stack.pop()
-            if not self.live[node]:
-                continue
-            segment = self.segment[node]
-            left = len(own)
-            if len(segment):
-                overlap += int(self.mask[segment].sum())
-                left -= int(np.searchsorted(own, segment[-1], "right"))
-            best = overlap + min(left, self.high[node] - self.depth[node])
+            q, node, overlap = stack.pop()
+            if len(q) > most:
+                stack.append((q[most:], node[most:], overlap[most:]))
+                q, node, overlap = q[:most], node[:most], overlap[:most]
             # the overlap that the smallest set below needs: 100 o >= percent (a + b - o)
-            if (100 + percent) * best < percent * (size + self.low[node]):
-                continue
-            for j in self.ends[node]:
-                if (100 + percent) * overlap >= percent * (size + self.size[j]):
-                    found.append(j)
-            stack += [(c, overlap) for c in self.child[node]]
-        self.mask[own] = False
-        return found
+            bits = head[q]
+            best = np.bitwise_count(bits & self.head[node]).sum(1, dtype=np.int64) + np.minimum(tail[q], self.tail[node])
+            able = ~self.empty[node] & (many * best >= few * (size[q] + self.low[node]))
+            q, node, overlap = q[able], node[able], overlap[able]
+            overlap = overlap + np.bitwise_count(bits[able] & self.own[node]).sum(1, dtype=np.int64)
+            at, of = _joined(self.rare_first[node], self.rare_count[node])
+            overlap += np.bincount(of[self.table[self.rare[at] * self.batch + q[of]]], minlength=len(q))
+            left = length[q] - (np.searchsorted(places, q * wide + self.last[node], "right") - begin[q])
+            able = many * (overlap + np.minimum(left, self.more[node])) >= few * (size[q] + self.low[node])
+            q, node, overlap = q[able], node[able], overlap[able]
+            at, of = _joined(self.end_first[node], self.end_count[node])
+            j = self.end[at]
+            links = ~self.gone[j] & (many * overlap[of] >= few * (size[q[of]] + self.size[j]))
+            found.append((q[of][links], j[links]))
+            at, of = _joined(self.kid_first[node], self.kid_count[node])
+            if len(at):
+                stack.append((q[of], self.kid[at], overlap[of]))
+        self.table[cells] = False
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first set that links connect it with."""
+    root = np.arange(len(sets))
+    for part in _parted(sets, percent):
+        if len(part) > 2:
+            root[part] = part[_linked([sets[i] for i in part], percent)]
+        else:  # two are settled by their overlap
+            a, b = part
+            overlap = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if (100 + percent) * overlap >= percent * (len(sets[a]) + len(sets[b])):
+                root[b] = a
+    return root
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the first set that links connect it with."""
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     trie = Trie(sets, percent)
-    root = list(range(len(sets)))
-    waiting = set(root)
-    for i in range(len(sets)):
-        if i not in waiting:
-            continue
-        waiting.discard(i)
-        trie.remove(i)
-        queue = [i]
-        while queue and waiting:
-            for j in trie.links(queue.pop()):
-                root[j] = i
-                waiting.discard(j)
-                trie.remove(j)
-                queue.append(j)
+    root, waiting = np.arange(len(sets)), np.ones(len(sets), bool)
+
+    def take(some: np.ndarray, first: int) -> list[int]:
+        some = np.unique(some[waiting[some]])
+        waiting[some], root[some] = False, first
+        for i in some.tolist():
+            trie.remove(i)
+        return some.tolist()
+
+    while trie.live[0]:
+        # Some sets that wait, all still in the trie. What one of them connects is taken out as a whole, and any other of them in it, before the next one's turn.
+        some = np.flatnonzero(waiting)[: trie.batch]
+        place, other = trie.links_of(some.tolist())
+        for k, i in enumerate(some.tolist()):
+            if not waiting[i]:
+                continue
+            take(some[k : k + 1], i)
+            queue = take(other[place == k], i)
+            while queue and trie.live[0]:
+                now, queue = queue[-trie.batch :], queue[: -trie.batch]
+                queue += take(trie.links_of(now)[1], i)
     return root
 
 
@@ -385,7 +548,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, block_grams: int = 2_00
 
     near = alike.repartition("key").sortWithinPartitions("key", "low").mapInArrow(fifth, "a long, b long")
     groups = kept(components(near).join(fewer, "id"), "groups")
-    blocks = groups.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block_grams)).alias("blocks"))
+    most = F.greatest("size", F.lit(block_grams // 10_000))  # so a block has at most 10,000 sets, too
+    blocks = groups.groupBy("root").agg(F.ceil(F.sum(most) / F.lit(block_grams)).alias("blocks"))
     placed = kept(groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "placed")
 
     def sixth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,27 +559,28 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, block_grams: int = 2_00
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "root", "block", "blocks")), pa.array(data, pa.binary())], names=["id", "root", "block", "blocks", "grams"])
 
     full = base.join(small_side(placed, "40"), "id").select("id", "text", "root", "block", "blocks").mapInArrow(sixth, "id long, root long, block long, blocks long, grams binary")
-    met = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "grams")
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "grams", "blocks").where("x <> y or blocks = 1").drop("blocks")
 
     def seventh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            root = linked([sets[i] for i in order], percent)
-            own = np.array(ids, np.int64)[order]
-            return pa.RecordBatch.from_arrays([pa.array(own[np.array(root, np.int64)]), pa.array(own)], names=["a", "b"])
+        def solve() -> pa.RecordBatch:
+            own = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[linked(sets, percent)]), pa.array(own)], names=["a", "b"])
 
-        last, ids, sets = None, [], []
+        # many small groups at once, each with n-grams of its own
+        last, ids, sets, total, salt = None, [], [], 0, U(0)
         for batch in batches:
             for root, x, y, i, data in zip(*(batch.column(c).to_pylist() for c in ("root", "x", "y", "id", "grams")), strict=True):
-                if (root, x, y) != last:
-                    if len(ids) > 1:
-                        yield solve(ids, sets)
-                    last, ids, sets = (root, x, y), [], []
-                if not ids or ids[-1] != i:
+                if new := (root, x, y) != last:
+                    if total > 1 << 17:
+                        yield solve()
+                        ids, sets, total = [], [], 0
+                    last, salt = (root, x, y), mix(np.array([len(ids) + 1], np.uint64))[0]
+                if new or ids[-1] != i:
                     ids.append(i)
-                    sets.append(np.frombuffer(data, np.uint64))
-        if len(ids) > 1:
-            yield solve(ids, sets)
+                    sets.append(np.frombuffer(data, np.uint64) ^ salt)
+                    total += len(sets[-1])
+        if ids:
+            yield solve()
 
     links = kept(met.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "id").mapInArrow(seventh, "a long, b long").where("a <> b"), "links")
     whole = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
